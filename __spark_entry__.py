@@ -32,27 +32,6 @@ will with you your
 """.split()
 
 
-# -- the deterministic scorer of the annotation queries
-
-
-def length_scorer() -> Callable[[str], str]:
-    """A scorer that judges by the number of characters, and cannot answer some prompts."""
-
-    def score(prompt: str) -> str:
-        n = len(prompt)
-        if n % 10 == 0:
-            raise RuntimeError("Status code 500")
-        if n % 10 == 1:
-            return "Perhaps."
-        return f"DECISION: {'Yes' if n % 3 == 0 else 'No'}\nEXPLANATION: {n} characters "
-
-    return score
-
-
-def _no_wait(seconds: float) -> None:
-    """Stand-in for sleep: the scorer's failures are final, so waiting would not help."""
-
-
 # -- shared inputs
 
 
@@ -131,7 +110,7 @@ def build_prompt(spark, sf):
 
 
 def annotate(spark, sf):
-    return ann.annotate(derived.items(spark, sf), RUBRICS, "M", length_scorer, sleep=_no_wait)
+    return ann.annotate(derived.items(spark, sf), RUBRICS, "M", derived.length_scorer, sleep=derived.no_wait)
 
 
 def annotate_incremental(spark, sf):
@@ -146,7 +125,7 @@ def annotate_incremental(spark, sf):
     items = derived.items_of(stream, spark.read.parquet(f"{sf}/labels.parquet"))
     output, checkpoint = scratch_path(spark, "incremental"), scratch_path(spark, "progress")
     annotate_incrementally(
-        items, output, checkpoint, RUBRICS, "M", length_scorer, sleep=_no_wait
+        items, output, checkpoint, RUBRICS, "M", derived.length_scorer, sleep=derived.no_wait
     ).awaitTermination()
     return read_batches(spark, output).drop("batch_id")
 
@@ -285,11 +264,13 @@ def length_bins_wide(spark, sf):
 
 
 def fp_by_length(spark, sf):
-    return _round(slices.fp_by_length(_rows(spark, sf, "text_length")))
+    by_length = slices.fp_by_length(_rows(spark, sf, "text_length"))
+    return _round(by_length.orderBy("definition", "model", "bin_ordinal"))
 
 
 def fp_by_length_wide(spark, sf):
-    return _round(slices.fp_by_length(_rows(spark, sf, "text_length"), WIDE_EDGES))
+    by_length = slices.fp_by_length(_rows(spark, sf, "text_length"), WIDE_EDGES)
+    return _round(by_length.orderBy("definition", "model", "bin_ordinal"))
 
 
 def fp_length_curve(spark, sf):
@@ -298,7 +279,8 @@ def fp_length_curve(spark, sf):
 
 
 def fp_by_keyword(spark, sf):
-    return _round(slices.fp_by_keyword(_rows(spark, sf, "keyword")))
+    by_keyword = slices.fp_by_keyword(_rows(spark, sf, "keyword"))
+    return _round(slices.highest_rate_first(by_keyword, "keyword"))
 
 
 def fp_keyword_topn(spark, sf):

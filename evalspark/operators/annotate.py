@@ -5,13 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.answers import decision, explanation, prediction
 from evalspark.schemas import Rubric
+from evalspark.session import ship_package
 
 Scorer = Callable[[str], str]
 ScorerFactory = Callable[[], Scorer]
@@ -81,24 +82,27 @@ def annotate(
     ``scorer_factory`` runs once per partition and returns the function from prompt to answer. Spark
     may run a task again, so the scorer must tolerate a repeated prompt. ``parallelism`` bounds the
     number of concurrent scorers at the price of a shuffle of the prompts' inputs; without it, one
-    scorer runs per input partition. Only the ``keep`` columns and the prompt travel to Python.
+    scorer runs per input partition. Only the ``keep`` columns and the prompt travel to Python, in
+    Arrow batches whose kept columns are passed on untouched.
     """
+    ship_package(items.sparkSession)
     kept = list(keep)
+    passed = [*kept, "definition"]
     source = items if parallelism is None else items.repartition(parallelism)
-    prompts = build_prompts(fan_out(source, rubrics)).select(*kept, "definition", "prompt")
+    prompts = build_prompts(fan_out(source, rubrics)).select(*passed, "prompt")
     answered = T.StructType(
         [
-            *[prompts.schema[c] for c in [*kept, "definition"]],
+            *[prompts.schema[c] for c in passed],
             T.StructField("raw_response", T.StringType()),
             T.StructField("error", T.StringType()),
         ]
     )
 
-    def score_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer_factory()
         for batch in batches:
             answers, errors = [], []
-            for prompt in batch.pop("prompt"):
+            for prompt in batch.column("prompt").to_pylist():
                 answer, error = None, None
                 if prompt is None:
                     error = "no text"
@@ -108,12 +112,16 @@ def annotate(
                         answer, error = None, f"scorer returned {type(answer).__name__}, not text"
                 answers.append(answer)
                 errors.append(error)
-            yield batch.assign(
-                raw_response=pd.Series(answers, index=batch.index, dtype=object),
-                error=pd.Series(errors, index=batch.index, dtype=object),
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in passed],
+                    pa.array(answers, pa.string()),
+                    pa.array(errors, pa.string()),
+                ],
+                names=answered.names,
             )
 
-    scored = prompts.mapInPandas(score_partition, answered)
+    scored = prompts.mapInArrow(score_partition, answered)
     parsed = parse_answers(scored, mode=mode)
     return parsed.select(
         *kept,

@@ -7,47 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.counting import count_rows, count_where
 from evalspark.schemas import Variant
 
 
-def dataset_overview(items: DataFrame) -> DataFrame:
+def dataset_overview(items: DataFrame, weight: str | None = None) -> DataFrame:
     """One row: items, labelled items, both classes and the share of positives among the labelled."""
     truth = F.col("truth")
     return items.agg(
-        F.count("*").alias("n_items"),
-        F.count("truth").alias("n_labelled"),
-        F.count_if(truth == 1).alias("n_positive"),
-        F.count_if(truth == 0).alias("n_negative"),
-        F.avg(truth).alias("positive_share"),
-    )
+        count_rows(weight).alias("n_items"),
+        count_where(truth.isNotNull(), weight).alias("n_labelled"),
+        count_where(truth == 1, weight).alias("n_positive"),
+        count_where(truth == 0, weight).alias("n_negative"),
+    ).withColumn("positive_share", F.try_divide("n_positive", "n_labelled"))
 
 
-def keyword_counts(items: DataFrame) -> DataFrame:
+def keyword_counts(items: DataFrame, weight: str | None = None) -> DataFrame:
     counts = items.where(F.col("keyword").isNotNull()).groupBy("keyword")
-    return counts.agg(F.count("*").alias("n_items")).orderBy(F.desc("n_items"), "keyword")
+    return counts.agg(count_rows(weight).alias("n_items")).orderBy(F.desc("n_items"), "keyword")
 
 
-def keyword_positive_rate(items: DataFrame, min_items: int = 10) -> DataFrame:
+def keyword_positive_rate(
+    items: DataFrame, min_items: int = 10, weight: str | None = None
+) -> DataFrame:
     """Share of positives per keyword with enough labelled items, highest first."""
+    truth = F.col("truth")
     return (
         items.where(F.col("keyword").isNotNull())
         .groupBy("keyword")
-        .agg(F.count("truth").alias("n_items"), F.avg("truth").alias("positive_rate"))
+        .agg(
+            count_where(truth.isNotNull(), weight).alias("n_items"),
+            count_where(truth == 1, weight).alias("n_positive"),
+        )
         .where(F.col("n_items") >= min_items)
+        .select("keyword", "n_items", F.try_divide("n_positive", "n_items").alias("positive_rate"))
         .orderBy(F.desc("positive_rate"), "keyword")
     )
 
 
-def _length_frequencies(items: DataFrame) -> DataFrame:
+def _length_frequencies(items: DataFrame, weight: str | None) -> DataFrame:
     """Items per distinct length: as many rows as there are lengths, whatever the number of items."""
     lengths = items.where(F.col("text_length").isNotNull()).groupBy("text_length")
-    return lengths.agg(F.count("*").alias("n"))
+    return lengths.agg(count_rows(weight).alias("n"))
 
 
-def length_stats(items: DataFrame) -> DataFrame:
+def length_stats(items: DataFrame, weight: str | None = None) -> DataFrame:
     """Mean, exact median and extremes of the text length, from the length frequencies."""
     length, n = F.col("text_length"), F.col("n")
-    return _length_frequencies(items).agg(
+    return _length_frequencies(items, weight).agg(
         F.sum("n").alias("n_items"),
         F.try_divide(F.sum(length.cast("double") * n), F.sum("n")).alias("mean_length"),
         F.percentile(length, 0.5, n).alias("median_length"),
@@ -56,13 +63,13 @@ def length_stats(items: DataFrame) -> DataFrame:
     )
 
 
-def length_histogram(items: DataFrame, bins: int = 20) -> DataFrame:
+def length_histogram(items: DataFrame, bins: int = 20, weight: str | None = None) -> DataFrame:
     """Equal-width bins from the shortest to the longest text, the last one closed on both sides.
 
     Every bin is listed, empty ones with 0. Where all texts are equally long, the range is that length
     plus and minus one half.
     """
-    frequencies = _length_frequencies(items)
+    frequencies = _length_frequencies(items, weight)
     bounds = frequencies.agg(
         F.struct(
             F.min("text_length").cast("double").alias("lo"),
@@ -102,6 +109,7 @@ def run_summary(
     comparison: DataFrame,
     improvement: DataFrame,
     transitions: DataFrame,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row with the class counts, the variants, and the three result tables as nested values.
 
@@ -113,7 +121,7 @@ def run_summary(
         entry = F.struct(F.col(key), F.struct(*values))
         return table.agg(F.map_from_entries(F.sort_array(F.collect_list(entry)))).scalar()
 
-    return dataset_overview(items).select(
+    return dataset_overview(items, weight).select(
         "*",
         F.array(*[F.lit(v.name) for v in variants]).alias("variants"),
         nested(comparison, "metric").alias("comparison"),

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.counting import count_where
 from evalspark.functions.scores import COUNTS, relative_change, scores
 from evalspark.schemas import Variant
 
@@ -24,31 +25,36 @@ CUTOFF_REPORTED = (
 )
 
 
-def _cells(prefix: str = "", keep: Column | None = None) -> list[Column]:
+def _cells(
+    weight: str | None, prefix: str = "", keep: Column | None = None
+) -> list[Column]:
     truth, pred = F.col("truth"), F.col("pred")
     keep = F.lit(True) if keep is None else keep
     return [
-        F.count_if(keep & (truth == 1) & (pred == 1)).alias(prefix + "tp"),
-        F.count_if(keep & (truth == 0) & (pred == 1)).alias(prefix + "fp"),
-        F.count_if(keep & (truth == 1) & (pred == 0)).alias(prefix + "fn"),
-        F.count_if(keep & (truth == 0) & (pred == 0)).alias(prefix + "tn"),
+        count_where(keep & (truth == 1) & (pred == 1), weight).alias(prefix + "tp"),
+        count_where(keep & (truth == 0) & (pred == 1), weight).alias(prefix + "fp"),
+        count_where(keep & (truth == 1) & (pred == 0), weight).alias(prefix + "fn"),
+        count_where(keep & (truth == 0) & (pred == 0), weight).alias(prefix + "tn"),
     ]
 
 
-def confusion_matrix(rows: DataFrame, by: Sequence[str] = BY_VARIANT) -> DataFrame:
+def confusion_matrix(
+    rows: DataFrame, by: Sequence[str] = BY_VARIANT, weight: str | None = None
+) -> DataFrame:
     """The four counts per group, with the answers that were missing, unclear or failed beside them.
 
     Rows without a label or without an answer are in none of the four counts. Counting combines
-    before the shuffle, so the size of a group does not matter.
+    before the shuffle, so the size of a group does not matter. ``weight`` names a column that says how
+    many rows each row stands for.
     """
     labelled = F.col("truth").isNotNull()
-    extra = [F.count_if(labelled & F.col("pred").isNull()).alias("n_unscored")]
+    extra = [count_where(labelled & F.col("pred").isNull(), weight).alias("n_unscored")]
     if "decision" in rows.columns:
         extra += [
-            F.count_if(labelled & (F.col("decision") == "Unclear")).alias("n_unclear"),
-            F.count_if(labelled & (F.col("decision") == "Error")).alias("n_error"),
+            count_where(labelled & (F.col("decision") == "Unclear"), weight).alias("n_unclear"),
+            count_where(labelled & (F.col("decision") == "Error"), weight).alias("n_error"),
         ]
-    return rows.groupBy(*by).agg(*_cells(), *extra)
+    return rows.groupBy(*by).agg(*_cells(weight), *extra)
 
 
 def roll_up(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -69,18 +75,23 @@ def score(counts: DataFrame, beta: float = 0.5) -> DataFrame:
 
 
 def classification_metrics(
-    rows: DataFrame, by: Sequence[str] = BY_VARIANT, beta: float = 0.5
+    rows: DataFrame,
+    by: Sequence[str] = BY_VARIANT,
+    beta: float = 0.5,
+    weight: str | None = None,
 ) -> DataFrame:
-    return score(confusion_matrix(rows, by), beta)
+    return score(confusion_matrix(rows, by, weight), beta)
 
 
-def metrics_rollup(rows: DataFrame, slices: Sequence[str], beta: float = 0.5) -> DataFrame:
+def metrics_rollup(
+    rows: DataFrame, slices: Sequence[str], beta: float = 0.5, weight: str | None = None
+) -> DataFrame:
     """Scores per slice, per prefix of the slice columns, and overall, for every variant.
 
     ``level`` says how many slice columns are set. The rows are counted once, at the finest grain; the
     levels above are sums over that small table.
     """
-    finest = confusion_matrix(rows, [*BY_VARIANT, *slices])
+    finest = confusion_matrix(rows, [*BY_VARIANT, *slices], weight)
     entries = [
         F.struct(
             F.lit(level).alias("level"),
@@ -138,13 +149,14 @@ def length_cutoff_metrics(
     cutoffs: Mapping[str, int],
     metrics: Sequence[str] = CUTOFF_REPORTED,
     by: Sequence[str] = BY_VARIANT,
+    weight: str | None = None,
 ) -> DataFrame:
     """Each metric over all items and over those no longer than the definition's cut-off, in one scan."""
     cutoff = F.lit(None).cast("long")
     for d, limit in cutoffs.items():
         cutoff = F.when(F.col("definition") == d, F.lit(limit).cast("long")).otherwise(cutoff)
     counted = rows.groupBy(*by).agg(
-        *_cells("all_"), *_cells("cut_", F.col("text_length") <= cutoff)
+        *_cells(weight, "all_"), *_cells(weight, "cut_", F.col("text_length") <= cutoff)
     )
     full, cut = scores(prefix="all_"), scores(prefix="cut_")
     entries = [

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.bins import LENGTH_EDGES, bin_label, bin_ordinal
+from evalspark.functions.counting import count_rows, count_where
 from evalspark.functions.scores import ratio
 from evalspark.schemas import Variant
 
@@ -21,7 +22,9 @@ def length_bins(
     ).withColumn("length_bin", bin_label(F.col("bin_ordinal"), edges))
 
 
-def fp_by_slice(rows: DataFrame, slices: Sequence[str], min_items: int = 1) -> DataFrame:
+def fp_by_slice(
+    rows: DataFrame, slices: Sequence[str], min_items: int = 1, weight: str | None = None
+) -> DataFrame:
     """Items, negatives, false positives and their rate per slice and variant.
 
     Slices with a NULL value, fewer than ``min_items`` rows or no negative are left out.
@@ -31,9 +34,9 @@ def fp_by_slice(rows: DataFrame, slices: Sequence[str], min_items: int = 1) -> D
         rows.dropna(subset=list(slices))
         .groupBy(*slices, "definition", "model")
         .agg(
-            F.count("*").alias("n_items"),
-            F.count_if(truth == 0).alias("n_negative"),
-            F.count_if((truth == 0) & (pred == 1)).alias("n_fp"),
+            count_rows(weight).alias("n_items"),
+            count_where(truth == 0, weight).alias("n_negative"),
+            count_where((truth == 0) & (pred == 1), weight).alias("n_fp"),
         )
         .where((F.col("n_negative") > 0) & (F.col("n_items") >= min_items))
         .withColumn("fp_rate", ratio(F.col("n_fp"), F.col("n_negative")))
@@ -41,18 +44,22 @@ def fp_by_slice(rows: DataFrame, slices: Sequence[str], min_items: int = 1) -> D
 
 
 def fp_by_length(
-    rows: DataFrame, edges: tuple[int, ...] = LENGTH_EDGES, open_ended: bool = False
+    rows: DataFrame,
+    edges: tuple[int, ...] = LENGTH_EDGES,
+    open_ended: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
+    """``fp_by_slice`` over the length bins; ``bin_ordinal`` gives their order."""
     binned = length_bins(rows, edges, open_ended)
-    return fp_by_slice(binned, ["bin_ordinal", "length_bin"]).orderBy(
-        "definition", "model", "bin_ordinal"
-    )
+    return fp_by_slice(binned, ["bin_ordinal", "length_bin"], weight=weight)
 
 
-def fp_by_keyword(rows: DataFrame, min_items: int = 5) -> DataFrame:
-    return fp_by_slice(rows, ["keyword"], min_items).orderBy(
-        "definition", "model", F.desc("fp_rate"), "keyword"
-    )
+def fp_by_keyword(rows: DataFrame, min_items: int = 5, weight: str | None = None) -> DataFrame:
+    return fp_by_slice(rows, ["keyword"], min_items, weight)
+
+
+def highest_rate_first(by_slice: DataFrame, tie: str) -> DataFrame:
+    return by_slice.orderBy("definition", "model", F.desc("fp_rate"), tie)
 
 
 def top_keywords(by_keyword: DataFrame, n: int = 15) -> DataFrame:

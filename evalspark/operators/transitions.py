@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.counting import count_where
 from evalspark.schemas import Variant
 
 CATEGORIES = ("fixed", "introduced", "persistent")
@@ -32,12 +33,12 @@ def fp_flags(wide: DataFrame, variants: Sequence[Variant]) -> DataFrame:
 
 
 def _change(truth: Column, small: Column, large: Column) -> Column:
-    """Category of an item answered by both models, NULL where there is no false positive."""
+    """Category of a negative answered by both models, NULL where there is no false positive."""
+    negative = truth == 0
     return (
-        F.when((truth != 0) | small.isNull() | large.isNull(), None)
-        .when((small == 1) & (large == 0), "fixed")
-        .when((small == 0) & (large == 1), "introduced")
-        .when((small == 1) & (large == 1), "persistent")
+        F.when(negative & (small == 1) & (large == 0), "fixed")
+        .when(negative & (small == 0) & (large == 1), "introduced")
+        .when(negative & (small == 1) & (large == 1), "persistent")
     )
 
 
@@ -58,7 +59,11 @@ def fp_changes(
 
 
 def fp_transitions(
-    wide: DataFrame, definitions: Sequence[str], small: str, large: str
+    wide: DataFrame,
+    definitions: Sequence[str],
+    small: str,
+    large: str,
+    weight: str | None = None,
 ) -> DataFrame:
     """Counts per category (rows) and definition (columns); empty cells are 0.
 
@@ -69,7 +74,11 @@ def fp_transitions(
         for d in definitions
     }
     counted = wide.agg(
-        *[F.count_if(change[d] == c).alias(f"{d}_{c}") for d in definitions for c in CATEGORIES]
+        *[
+            count_where(change[d] == c, weight).alias(f"{d}_{c}")
+            for d in definitions
+            for c in CATEGORIES
+        ]
     )
     entries = [
         F.struct(F.lit(c).alias("category"), *[F.col(f"{d}_{c}").alias(d) for d in definitions])

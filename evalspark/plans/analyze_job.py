@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evalspark.functions.bins import LENGTH_EDGES
 from evalspark.operators.dataset import (
@@ -18,7 +17,14 @@ from evalspark.operators.dataset import (
 )
 from evalspark.operators.evaluate import classification_metrics, metric_comparison, metric_improvement
 from evalspark.operators.merge import unpivot_predictions
-from evalspark.operators.slices import fp_by_keyword, fp_by_length, fp_length_curve, top_keywords
+from evalspark.operators.profile import WEIGHT, answer_profile
+from evalspark.operators.slices import (
+    fp_by_keyword,
+    fp_by_length,
+    fp_length_curve,
+    highest_rate_first,
+    top_keywords,
+)
 from evalspark.operators.topics import fit_topics, fp_tokens, topic_counts, topic_examples
 from evalspark.operators.transitions import fp_changes, fp_transitions, review_rows
 from evalspark.schemas import Variant
@@ -38,55 +44,51 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """All result tables for a comparative table, written under ``output`` and returned by name.
 
-    ``wide`` has one row per item, ``text`` and an answer column per variant. Everything but topics and
-    review rows reads its narrow columns only; results of a few rows are computed once and shared.
+    ``wide`` has one row per item, ``text`` and an answer column per variant. All counts come from one
+    pass over its narrow columns, the profile; only review rows and topics go back to the items.
     ``topics`` asks for that many topics per variant.
     """
     definitions = list(dict.fromkeys(v.definition for v in variants))
-    narrow = ["item_id", "truth", "keyword", "text_length"]
-    rows = unpivot_predictions(wide, variants, narrow)
-
-    def small_table(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name)
+    profile = materialize(answer_profile(wide, variants), "profile")
+    rows = unpivot_predictions(profile, variants, ["truth", "keyword", "text_length", WEIGHT])
 
-    scored = small_table(classification_metrics(rows), "metrics")
-    by_length = small_table(fp_by_length(rows, edges), "by-length")
-    by_keyword = small_table(fp_by_keyword(rows), "by-keyword")
+    scored = materialize(classification_metrics(rows, weight=WEIGHT), "metrics")
+    by_length = fp_by_length(rows, edges, weight=WEIGHT)
+    by_keyword = fp_by_keyword(rows, weight=WEIGHT)
     comparison = metric_comparison(scored, variants)
     improvement = metric_improvement(scored, definitions, small, large)
-    transitions = small_table(fp_transitions(wide, definitions, small, large), "transitions")
-    results = {
+    transitions = fp_transitions(profile, definitions, small, large, weight=WEIGHT)
+
+    reports = {
         "metrics": scored,
         "metric_comparison": comparison,
         "metric_improvement": improvement,
         "fp_transitions": transitions,
-        "fp_by_length": by_length,
+        "fp_by_length": by_length.orderBy("definition", "model", "bin_ordinal"),
         "fp_length_curve": fp_length_curve(by_length, variants),
-        "fp_by_keyword": by_keyword,
         "fp_keyword_topn": top_keywords(by_keyword),
-        "dataset_overview": dataset_overview(wide),
-        "keyword_counts": keyword_counts(wide),
-        "keyword_positive_rate": keyword_positive_rate(wide),
-        "length_stats": length_stats(wide),
-        "length_histogram": length_histogram(wide),
+        "dataset_overview": dataset_overview(profile, WEIGHT),
+        "length_stats": length_stats(profile, WEIGHT),
+        "length_histogram": length_histogram(profile, weight=WEIGHT),
     }
-    for name, table in results.items():
-        write_report(table, f"{output}/{name}")
-
-    summary = run_summary(wide, variants, comparison, improvement, transitions)
-    write_table(summary, f"{output}/run_summary")
-    results["run_summary"] = summary
-
-    changes = fp_changes(wide, definitions, small, large, narrow)
+    tables = {
+        "fp_by_keyword": highest_rate_first(by_keyword, "keyword"),
+        "keyword_counts": keyword_counts(profile, WEIGHT),
+        "keyword_positive_rate": keyword_positive_rate(profile, weight=WEIGHT),
+        "run_summary": run_summary(profile, variants, comparison, improvement, transitions, WEIGHT),
+    }
+    changes = fp_changes(
+        wide, definitions, small, large, ["item_id", "truth", "keyword", "text_length"]
+    )
     for category in ("fixed", "introduced"):
-        review = review_rows(changes, wide, category)
-        write_table(review, f"{output}/fp_{category}_rows")
-        results[f"fp_{category}_rows"] = review
-
+        tables[f"fp_{category}_rows"] = review_rows(changes, wide, category)
     if topics:
         fitted = fit_topics(fp_tokens(wide, wide, variants), variants, topics)
-        results["topics"] = topic_counts(fitted)
-        results["topic_examples"] = topic_examples(fitted, wide)
-        for name in ("topics", "topic_examples"):
-            write_table(results[name].orderBy(F.col("topic")), f"{output}/{name}")
-    return results
+        tables["topics"] = topic_counts(fitted)
+        tables["topic_examples"] = topic_examples(fitted, wide)
+
+    for name, table in reports.items():
+        write_report(table, f"{output}/{name}")
+    for name, table in tables.items():
+        write_table(table, f"{output}/{name}")
+    return {**reports, **tables}

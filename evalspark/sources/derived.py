@@ -7,6 +7,8 @@ without a label, and asking for labelled items turns the join into an inner one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,3 +138,21 @@ def annotations(source: DataFrame, model: str) -> DataFrame:
             {"decision": f"{definition}_Decision", "explanation": f"{definition}_Explanation"}
         ).drop("raw_response", "pred")
     return table
+
+
+def length_scorer() -> Callable[[str], str]:
+    """A scorer that judges a prompt by its length, and cannot answer some prompts."""
+
+    def score(prompt: str) -> str:
+        n = len(prompt)
+        if n % 10 == 0:
+            raise RuntimeError("Status code 500")
+        if n % 10 == 1:
+            return "Perhaps."
+        return f"DECISION: {'Yes' if n % 3 == 0 else 'No'}\nEXPLANATION: {n} characters "
+
+    return score
+
+
+def no_wait(seconds: float) -> None:
+    """Stand-in for sleep where failures are final, so that waiting would not help."""
