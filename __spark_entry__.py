@@ -115,14 +115,13 @@ def annotate(spark, sf):
 
 def annotate_incremental(spark, sf):
     """The documents arrive as a stream of files; the labels are a table."""
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
     stream = (
-        spark.readStream.schema(documents.schema)
+        spark.readStream.schema(derived.DOCUMENTS)
         .option("pathGlobFilter", "documents.parquet")
         .option("maxFilesPerTrigger", 100)
         .parquet(sf)
     )
-    items = derived.items_of(stream, spark.read.parquet(f"{sf}/labels.parquet"))
+    items = derived.items_of(stream, derived.labels(spark, sf))
     output, checkpoint = scratch_path(spark, "incremental"), scratch_path(spark, "progress")
     annotate_incrementally(
         items, output, checkpoint, RUBRICS, "M", derived.length_scorer, sleep=derived.no_wait
@@ -352,8 +351,15 @@ def fp_vocabulary(spark, sf):
     return topics.vocabulary(texts, ["definition", "model"])
 
 
+_fitted: dict[tuple[str, str], topics.TopicTables] = {}
+
+
 def _topics(spark, sf):
-    return topics.fit_topics(_tokens(spark, sf), VARIANTS)
+    """One fit per session and tables, shared by the topic queries: its results are written tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted[key] = topics.fit_topics(_tokens(spark, sf), VARIANTS)
+    return _fitted[key]
 
 
 def fp_topics(spark, sf):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,12 +128,21 @@ def vocabulary(
     ).drop("n_all")
 
 
-def _collect_vocabulary(words: DataFrame, limit: int) -> list[str]:
-    """The vocabulary in alphabetical order, refused if it would not fit a broadcast model."""
-    found = [row.word for row in words.select("word").limit(limit + 1).collect()]
-    if len(found) > limit:
+def _vectoriser(
+    texts: DataFrame, n: int, min_df: int | float, max_df: int | float, limit: int
+) -> CountVectorizerModel | None:
+    """Fit the vocabulary; None if it is empty, refused if it would not fit a broadcast model."""
+    least = min_df if isinstance(min_df, int) else max(1, math.ceil(min_df * n))
+    most = max_df if isinstance(max_df, int) else math.floor(max_df * n)
+    if most < least:
+        return None
+    vectoriser = CountVectorizer(
+        inputCol="words", outputCol="features", minDF=least, maxDF=most, vocabSize=limit + 1
+    )
+    model = vectoriser.fit(texts)
+    if len(model.vocabulary) > limit:
         raise ValueError(f"more than {limit} words; raise min_df, for example to a share of the texts")
-    return sorted(found)
+    return model if model.vocabulary else None
 
 
 def fit_topics(
@@ -148,26 +160,27 @@ def fit_topics(
 ) -> TopicTables:
     """Fit one topic model per variant on the texts it flags wrongly.
 
-    Each fit is distributed; only the vocabulary and the ``k`` topic vectors live on the driver, and
-    ``max_vocabulary`` bounds both. The word vectors are written once, as every iteration reads them.
-    Variants with fewer than ``min_texts`` texts have no topics. ``sample_rate`` is the share of the
-    texts that an iteration looks at: 1 gives batch learning, a small share suits very many texts.
+    Each fit is distributed, and the fits of the variants run side by side. Only the vocabulary and the
+    ``k`` topic vectors live on the driver, and ``max_vocabulary`` bounds both. The word vectors are
+    written once, as every iteration reads them. Variants with fewer than ``min_texts`` texts have no
+    topics. ``sample_rate`` is the share of the texts that an iteration looks at: 1 gives batch
+    learning, a small share suits very many texts.
     """
     spark = tokens.sparkSession
-    topics = spark.createDataFrame([], TOPICS)
-    assigned = [spark.createDataFrame([], ASSIGNMENTS)]
-    topic_rows = []
     tokens = materialize(tokens, "fp-tokens")
-    for variant in variants:
+
+    def fit(variant: Variant) -> tuple[list[tuple], DataFrame] | None:
         texts = tokens.where(F.col(f"{variant.name}_fp") == 1).select("item_id", "words")
-        if texts.count() < min_texts:
-            continue
-        words = _collect_vocabulary(vocabulary(texts, (), min_df, max_df), max_vocabulary)
-        if not words:
-            continue
-        vectoriser = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="features")
-        vectors = materialize(vectoriser.transform(texts).select("item_id", "features"), "fp-vectors")
-        vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        n = texts.count()
+        vectoriser = _vectoriser(texts, n, min_df, max_df, max_vocabulary) if n >= min_texts else None
+        if vectoriser is None:
+            return None
+        vectors = vectoriser.transform(texts).select("item_id", "features")
+        tasks = max(vectors.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+        # The vectoriser names every word in the column's metadata; nothing needs it from here on.
+        vectors = materialize(
+            vectors.withMetadata("features", {}).repartition(tasks), "fp-vectors"
+        ).persist(StorageLevel.MEMORY_AND_DISK)
         model = LDA(
             k=k,
             seed=SEED,
@@ -180,35 +193,45 @@ def fit_topics(
             topicConcentration=1.0 / k,
             optimizeDocConcentration=False,
         ).fit(vectors)
-        weights = model.topicsMatrix().toArray()
-        for topic in range(k):
-            best = weights[:, topic].argsort(kind="stable")[::-1][:top_words]
-            topic_rows.append(
-                (
-                    variant.definition,
-                    variant.model,
-                    topic,
-                    f"Topic {topic + 1}: " + " ".join(words[i] for i in best[:3]),
-                    [words[i] for i in best],
-                    [float(weights[i, topic]) for i in best],
-                )
-            )
         share = vector_to_array("topicDistribution")
-        assigned.append(
-            materialize(
-                model.transform(vectors).select(
-                    F.lit(variant.definition).alias("definition"),
-                    F.lit(variant.model).alias("model"),
-                    "item_id",
-                    (F.array_position(share, F.array_max(share)) - 1).cast("int").alias("topic"),
-                ),
-                "fp-topic-assignments",
-            )
+        assigned = materialize(
+            model.transform(vectors).select(
+                F.lit(variant.definition).alias("definition"),
+                F.lit(variant.model).alias("model"),
+                "item_id",
+                (F.array_position(share, F.array_max(share)) - 1).cast("int").alias("topic"),
+            ),
+            "fp-topic-assignments",
         )
         vectors.unpersist()
-    if topic_rows:
-        topics = spark.createDataFrame(topic_rows, TOPICS)
-    return TopicTables(topics, reduce(DataFrame.unionByName, assigned))
+        return _topic_rows(variant, model, vectoriser.vocabulary, top_words), assigned
+
+    with ThreadPoolExecutor(len(variants)) as pool:
+        fitted = [f for f in pool.map(inheritable_thread_target(spark)(fit), variants) if f]
+    rows = [row for topics, _ in fitted for row in topics]
+    assignments = [spark.createDataFrame([], ASSIGNMENTS), *[assigned for _, assigned in fitted]]
+    return TopicTables(
+        spark.createDataFrame(rows, TOPICS), reduce(DataFrame.unionByName, assignments)
+    )
+
+
+def _topic_rows(variant: Variant, model: LDAModel, words: list[str], top_words: int) -> list[tuple]:
+    """The heaviest words of each topic, with their weights as pseudo-counts."""
+    weights = model.topicsMatrix().toArray()
+    rows = []
+    for topic in range(weights.shape[1]):
+        best = weights[:, topic].argsort(kind="stable")[::-1][:top_words]
+        rows.append(
+            (
+                variant.definition,
+                variant.model,
+                topic,
+                f"Topic {topic + 1}: " + " ".join(words[i] for i in best[:3]),
+                [words[i] for i in best],
+                [float(weights[i, topic]) for i in best],
+            )
+        )
+    return rows
 
 
 def topic_counts(tables: TopicTables) -> DataFrame:

@@ -48,12 +48,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     The folder has to be visible to every executor. A machine-local folder is used only where the
     setting is absent and the session is local, as in tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="evalspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evalspark-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/evalspark/{label}-{uuid.uuid4().hex}"
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.answers import decision_code
@@ -24,13 +24,19 @@ ANSWER_RULES = {
     Variant("B", "L"): (61, 17, 53, 35),
 }
 VARIANTS = list(ANSWER_RULES)
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LABELS = "doc_id bigint, quality int, toxic int"
 DEFINITIONS = ["A", "B"]
 MODELS = ["S", "L"]
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return items_of(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    documents = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
+    return items_of(documents, labels(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(LABELS).parquet(f"{sf_dir}/labels.parquet")
 
 
 def items_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -49,36 +55,30 @@ def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).where(F.col("truth").isNotNull())
 
 
-def _response(says_yes: Column, reason: Column) -> Column:
-    """A free-form answer in one of the shapes that models give."""
-    item = F.col("item_id")
-    capital = F.when(says_yes, "Yes").otherwise("No")
-    small, shout = F.lower(capital), F.upper(capital)
-    return (
-        F.when(item % 30 == 4, "ERROR: Status code 500")
-        .when(item % 30 == 9, "Perhaps; the item is ambiguous.")
-        .when(item % 30 == 14, "DECISION: Cannot say\nEXPLANATION: unsure")
-        .when(
-            item % 6 == 1,
-            F.concat(
-                F.lit("<think>weighing it</think>\nDECISION: "),
-                small,
-                F.lit(".\n\nEXPLANATION:\t"),
-                reason,
-                F.lit("  "),
-            ),
-        )
-        .when(item % 6 == 2, F.concat(shout, F.lit(", as the rubric states.")))
-        .when(
-            item % 6 == 3,
-            F.concat(
-                F.lit("DECISION: "),
-                capital,
-                F.lit("\nEXPLANATION: first EXPLANATION: second DECISION: No"),
-            ),
-        )
-        .otherwise(F.concat(F.lit("DECISION: "), capital, F.lit("\nEXPLANATION: "), reason))
-    )
+def _response(yes: str, reason: str) -> str:
+    """SQL of a free-form answer, in one of the shapes that models give."""
+    return f"""CASE
+      WHEN item_id % 30 = 4 THEN 'ERROR: Status code 500'
+      WHEN item_id % 30 = 9 THEN 'Perhaps; the item is ambiguous.'
+      WHEN item_id % 30 = 14 THEN 'DECISION: Cannot say\\nEXPLANATION: unsure'
+      WHEN item_id % 6 = 1 THEN concat('<think>weighing it</think>\\nDECISION: ',
+        if({yes}, 'yes', 'no'), '.\\n\\nEXPLANATION:\\t', {reason}, '  ')
+      WHEN item_id % 6 = 2 THEN concat(if({yes}, 'YES', 'NO'), ', as the rubric states.')
+      WHEN item_id % 6 = 3 THEN concat('DECISION: ', if({yes}, 'Yes', 'No'),
+        '\\nEXPLANATION: first EXPLANATION: second DECISION: No')
+      ELSE concat('DECISION: ', if({yes}, 'Yes', 'No'), '\\nEXPLANATION: ', {reason})
+    END"""
+
+
+def _says_yes(k1: int | str, k2: int | str, t0: int | str, t1: int | str) -> str:
+    """SQL of a variant's answer; a second attempt turns the first around."""
+    first = f"(item_id * {k1} + text_length * {k2}) % 100 < {t0} + {t1} * coalesce(truth, 0)"
+    return f"(({first}) = (ingest_seq = 1))"
+
+
+ATTEMPTS = "explode(if(model = 'L' AND item_id % 41 = 3, array(1L, 2L), array(1L))) AS ingest_seq"
+ANSWERED = "model <> 'L' OR item_id % 37 <> 5"
+BY_ID = "concat('reason ', item_id)"
 
 
 def responses(source: DataFrame, quote_text: bool = False) -> DataFrame:
@@ -87,28 +87,19 @@ def responses(source: DataFrame, quote_text: bool = False) -> DataFrame:
     Model L skips some items and answers others twice, the second time the other way round. With
     ``quote_text`` the answers quote the whole text as their reason, otherwise only the id.
     """
-    rules = [
-        F.struct(
-            F.lit(v.definition).alias("definition"),
-            F.lit(v.model).alias("model"),
-            *[F.lit(n).alias(c) for c, n in zip(("k1", "k2", "t0", "t1"), rule)],
-        )
-        for v, rule in ANSWER_RULES.items()
-    ]
-    item = F.col("item_id")
-    reason = F.concat(F.lit("reason "), F.col("text") if quote_text else item.cast("string"))
-    first = (item * F.col("k1") + F.col("text_length") * F.col("k2")) % 100 < (
-        F.col("t0") + F.col("t1") * F.coalesce("truth", F.lit(0))
+    rules = ", ".join(
+        f"struct('{v.definition}' AS definition, '{v.model}' AS model, "
+        f"{k1} AS k1, {k2} AS k2, {t0} AS t0, {t1} AS t1)"
+        for v, (k1, k2, t0, t1) in ANSWER_RULES.items()
     )
-    twice = (F.col("model") == "L") & (item % 41 == 3)
-    attempts = F.when(twice, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    needed = ["item_id", "truth", "keyword", "text_length", *(["text"] if quote_text else [])]
+    reason = "concat('reason ', text)" if quote_text else BY_ID
+    kept = ["item_id", "truth", "keyword", "text_length"]
+    answer = _response(_says_yes("k1", "k2", "t0", "t1"), reason)
     return (
-        source.select(*needed, F.inline(F.array(*rules)))
-        .where((F.col("model") != "L") | (item % 37 != 5))
-        .select("*", F.explode(attempts.cast("array<bigint>")).alias("ingest_seq"))
-        .withColumn("raw_response", _response(first == (F.col("ingest_seq") == 1), reason))
-        .drop("k1", "k2", "t0", "t1", "text")
+        source.selectExpr(*kept, *(["text"] if quote_text else []), f"inline(array({rules}))")
+        .where(ANSWERED)
+        .selectExpr("*", ATTEMPTS)
+        .selectExpr(*kept, "definition", "model", "ingest_seq", f"{answer} AS raw_response")
     )
 
 
@@ -120,24 +111,14 @@ def predictions(source: DataFrame, quote_text: bool = False) -> DataFrame:
 
 def annotations(source: DataFrame, model: str) -> DataFrame:
     """One model's annotation table: a row per item and attempt, columns per definition."""
-    item = F.col("item_id")
-    twice = (item % 41 == 3) if model == "L" else F.lit(False)
-    attempts = F.when(twice, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    answered = source if model != "L" else source.where(item % 37 != 5)
-    table = answered.select("*", F.explode(attempts.cast("array<bigint>")).alias("ingest_seq"))
+    table = source.withColumn("model", F.lit(model)).where(ANSWERED).selectExpr("*", ATTEMPTS)
     for definition in DEFINITIONS:
-        k1, k2, t0, t1 = ANSWER_RULES[Variant(definition, model)]
-        first = (item * k1 + F.col("text_length") * k2) % 100 < (
-            t0 + t1 * F.coalesce("truth", F.lit(0))
-        )
-        answer = _response(
-            first == (F.col("ingest_seq") == 1), F.concat(F.lit("reason "), item.cast("string"))
-        )
-        parsed = parse_answers(table.withColumn("raw_response", answer))
+        answer = _response(_says_yes(*ANSWER_RULES[Variant(definition, model)]), BY_ID)
+        parsed = parse_answers(table.withColumn("raw_response", F.expr(answer)))
         table = parsed.withColumnsRenamed(
             {"decision": f"{definition}_Decision", "explanation": f"{definition}_Explanation"}
         ).drop("raw_response", "pred")
-    return table
+    return table.drop("model")
 
 
 def length_scorer() -> Callable[[str], str]:

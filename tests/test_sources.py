@@ -1,4 +1,5 @@
 import csv
+from types import SimpleNamespace
 
 import pytest
 from helpers import VARIANTS
@@ -95,17 +96,18 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def test_scratch_follows_the_setting(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert scratch_path(spark, "x").startswith(f"{tmp_path}/evalspark/x-")
-        table = materialize(spark.range(3), "numbers")
-        assert table.count() == 3 and str(tmp_path) in table.inputFiles()[0]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+def _fake_session(setting, master, folder=None):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder)
+    return SimpleNamespace(conf={"spark.checkpoint.dir": setting}, sparkContext=context)
+
+
+def test_scratch_follows_the_setting(spark):
+    assert scratch_path(_fake_session("hdfs://x/y/", "yarn"), "t").startswith("hdfs://x/y/evalspark/t-")
+    assert scratch_path(_fake_session(None, "yarn", "s3://c"), "t").startswith("s3://c/evalspark/t-")
+    with pytest.raises(ValueError):
+        scratch_path(_fake_session(None, "yarn"), "t")
+    table = materialize(spark.range(3), "numbers")
+    assert table.count() == 3 and "/evalspark/numbers-" in table.inputFiles()[0]
 
 
 def test_variant_names():
