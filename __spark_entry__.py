@@ -123,9 +123,13 @@ def annotate_incremental(spark, sf):
     )
     items = derived.items_of(stream, derived.labels(spark, sf))
     output, checkpoint = scratch_path(spark, "incremental"), scratch_path(spark, "progress")
-    annotate_incrementally(
-        items, output, checkpoint, RUBRICS, "M", derived.length_scorer, sleep=derived.no_wait
-    ).awaitTermination()
+
+    def annotate_batch(batch, seq):
+        return ann.annotate(
+            batch, RUBRICS, "M", derived.length_scorer, ingest_seq=seq, sleep=derived.no_wait
+        )
+
+    annotate_incrementally(items, output, checkpoint, annotate_batch).awaitTermination()
     return read_batches(spark, output).drop("batch_id")
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.answers import decision, explanation, prediction
-from evalspark.schemas import Rubric
+from evalspark.schemas import ITEMS, Rubric
 from evalspark.session import ship_package
 
 Scorer = Callable[[str], str]
 ScorerFactory = Callable[[], Scorer]
+NARROW = ("item_id", "truth", "keyword", "text_length")
 
 
 def linear_backoff(attempt: int) -> float:
@@ -63,67 +64,85 @@ def ask(
     raise ValueError("max_attempts must be at least 1")
 
 
-def annotate(
+def score_items(
     items: DataFrame,
     rubrics: Sequence[Rubric],
-    model: str,
     scorer_factory: ScorerFactory,
     *,
-    keep: Iterable[str] = ("item_id", "truth", "keyword", "text_length"),
-    ingest_seq: int = 1,
+    keep: Iterable[str] = NARROW,
     max_attempts: int = 3,
     backoff: Callable[[int], float] = linear_backoff,
     sleep: Callable[[float], None] = time.sleep,
     parallelism: int | None = None,
-    mode: str = "compat",
 ) -> DataFrame:
-    """Score every item under every rubric and parse the answers.
+    """Ask for every item under every rubric: ``responses`` and ``errors`` in the rubrics' order.
 
     ``scorer_factory`` runs once per partition and returns the function from prompt to answer. Spark
-    may run a task again, so the scorer must tolerate a repeated prompt. ``parallelism`` bounds the
-    number of concurrent scorers at the price of a shuffle of the prompts' inputs; without it, one
-    scorer runs per input partition. Only the ``keep`` columns and the prompt travel to Python, in
-    Arrow batches whose kept columns are passed on untouched.
+    may run a task again, so the scorer must tolerate a repeated prompt. ``parallelism`` sets the number
+    of partitions, hence of scorers, at the price of a shuffle of the items; without it, one scorer runs
+    per input partition. Only the ``keep`` columns and the prompts travel to Python, in Arrow batches
+    whose kept columns are passed on untouched. An item's answers stay together in its row, so neither
+    the long nor the wide table needs a shuffle.
     """
     ship_package(items.sparkSession)
     kept = list(keep)
-    passed = [*kept, "definition"]
     source = items if parallelism is None else items.repartition(parallelism)
-    prompts = build_prompts(fan_out(source, rubrics)).select(*passed, "prompt")
+    prompts = F.array(*[F.concat(F.lit(r.prefix), "text", F.lit(r.suffix)) for r in rubrics])
+    asked = source.select(*kept, prompts.alias("prompts"))
+    texts = T.ArrayType(T.StringType())
     answered = T.StructType(
         [
-            *[prompts.schema[c] for c in passed],
-            T.StructField("raw_response", T.StringType()),
-            T.StructField("error", T.StringType()),
+            *[asked.schema[c] for c in kept],
+            T.StructField("responses", texts),
+            T.StructField("errors", texts),
         ]
     )
 
+    def answer(score: Scorer, prompt: str | None) -> tuple[str | None, str | None]:
+        if prompt is None:
+            return None, "no text"
+        response = ask(score, prompt, max_attempts, backoff, sleep)
+        if isinstance(response, str):
+            return response, None
+        return None, f"scorer returned {type(response).__name__}, not text"
+
     def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer_factory()
         for batch in batches:
-            answers, errors = [], []
-            for prompt in batch.column("prompt").to_pylist():
-                answer, error = None, None
-                if prompt is None:
-                    error = "no text"
-                else:
-                    answer = ask(score, prompt, max_attempts, backoff, sleep)
-                    if not isinstance(answer, str):
-                        answer, error = None, f"scorer returned {type(answer).__name__}, not text"
-                answers.append(answer)
-                errors.append(error)
+            pairs = [[answer(score, p) for p in row] for row in batch.column("prompts").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in passed],
-                    pa.array(answers, pa.string()),
-                    pa.array(errors, pa.string()),
+                    *[batch.column(c) for c in kept],
+                    *[
+                        pa.array([[pair[i] for pair in row] for row in pairs], pa.list_(pa.string()))
+                        for i in (0, 1)
+                    ],
                 ],
                 names=answered.names,
             )
 
-    scored = prompts.mapInArrow(score_partition, answered)
-    parsed = parse_answers(scored, mode=mode)
-    return parsed.select(
+    return asked.mapInArrow(score_partition, answered)
+
+
+def annotate(
+    items: DataFrame,
+    rubrics: Sequence[Rubric],
+    model: str,
+    scorer_factory: ScorerFactory,
+    *,
+    keep: Iterable[str] = NARROW,
+    ingest_seq: int = 1,
+    mode: str = "compat",
+    **options,
+) -> DataFrame:
+    """The long table of predictions: one row per item and rubric. For options see ``score_items``."""
+    kept = list(keep)
+    scored = score_items(items, rubrics, scorer_factory, keep=kept, **options)
+    definitions = F.array(*[F.lit(r.definition) for r in rubrics])
+    rows = scored.select(*kept, F.inline(F.arrays_zip(definitions, "responses", "errors"))).toDF(
+        *kept, "definition", "raw_response", "error"
+    )
+    return parse_answers(rows, mode=mode).select(
         *kept,
         "definition",
         F.lit(model).alias("model"),
@@ -135,6 +154,27 @@ def annotate(
     )
 
 
+def annotation_table(
+    items: DataFrame,
+    rubrics: Sequence[Rubric],
+    scorer_factory: ScorerFactory,
+    *,
+    keep: Iterable[str] = tuple(ITEMS.names),
+    ingest_seq: int = 1,
+    mode: str = "compat",
+    **options,
+) -> DataFrame:
+    """One model's annotation table: a row per item, a decision and an explanation per rubric."""
+    kept = list(keep)
+    scored = score_items(items, rubrics, scorer_factory, keep=kept, **options)
+    parsed = []
+    for i, r in enumerate(rubrics):
+        response, error = F.col("responses")[i], F.col("errors")[i]
+        parsed.append(decision(response, mode).alias(f"{r.definition}_Decision"))
+        parsed.append(explanation(response, error).alias(f"{r.definition}_Explanation"))
+    return scored.select(*kept, *parsed, F.lit(ingest_seq).cast("long").alias("ingest_seq"))
+
+
 def parse_answers(answers: DataFrame, mode: str = "compat", unclear: str = "zero") -> DataFrame:
     """Add ``decision``, ``explanation`` and ``pred`` to rows with a ``raw_response``."""
     error = F.col("error") if "error" in answers.columns else None

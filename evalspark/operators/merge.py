@@ -143,7 +143,7 @@ def select_models(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def unscored_items(items: DataFrame, predictions: DataFrame, variants: Sequence[Variant]) -> DataFrame:
-    """Items a variant has not answered, one row per item and variant.
+    """Items a variant has not answered: one row per id and variant, also where an id is listed twice.
 
     The answered variants are gathered per item as bits before the join, so an item crosses the
     network once and not once per variant.
@@ -163,6 +163,7 @@ def unscored_items(items: DataFrame, predictions: DataFrame, variants: Sequence[
     ]
     return (
         items.select("item_id")
+        .distinct()
         .join(answered, "item_id", "left")
         .select("item_id", F.coalesce("answered", F.lit(0)).alias("answered"), F.inline(F.array(*entries)))
         .where(F.col("answered").bitwiseAND(F.col("bit")) == 0)

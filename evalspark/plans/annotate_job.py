@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalspark.operators.annotate import ScorerFactory, annotate, decision_counts
+from evalspark.operators.annotate import ScorerFactory, annotation_table, decision_counts
+from evalspark.operators.merge import binarize, long_answers
 from evalspark.schemas import ITEMS, Rubric
-from evalspark.sources.readers import limited, read_items, with_length
+from evalspark.sources.readers import limited, read_items
 from evalspark.sources.writers import write_report, write_table
 from evalspark.streaming.incremental import annotate_incrementally, read_batches
 
 
+def _report(annotations: DataFrame, rubrics: Sequence[Rubric], model: str, output: str) -> None:
+    """Count the decisions in the written table, so that no answer is asked for twice."""
+    definitions = [r.definition for r in rubrics]
+    tagged = binarize(annotations, definitions).withColumn("model", F.lit(model))
+    write_report(decision_counts(long_answers(tagged, definitions, ["item_id"])), f"{output}/decision_counts")
+
+
 def annotate_table(
     spark: SparkSession,
     items_path: str,
@@ -25,17 +34,14 @@ def annotate_table(
     limit: int | None = None,
     **options,
 ) -> DataFrame:
-    """Write ``predictions`` and ``decision_counts`` under ``output``; return the predictions.
-
-    The counts read the written table, so no answer is asked for twice.
-    """
-    items = with_length(limited(read_items(spark, items_path, fmt), limit))
+    """Write ``annotations`` and ``decision_counts`` under ``output``; return the annotations."""
+    items = limited(read_items(spark, items_path, fmt), limit)
     write_table(
-        annotate(items, rubrics, model, scorer_factory, **options), f"{output}/predictions"
+        annotation_table(items, rubrics, scorer_factory, **options), f"{output}/annotations"
     )
-    predictions = spark.read.parquet(f"{output}/predictions")
-    write_report(decision_counts(predictions), f"{output}/decision_counts")
-    return predictions
+    annotations = spark.read.parquet(f"{output}/annotations")
+    _report(annotations, rubrics, model, output)
+    return annotations
 
 
 def annotate_folder(
@@ -58,16 +64,13 @@ def annotate_folder(
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(items_path)
     )
-    query = annotate_incrementally(
-        with_length(stream),
-        f"{output}/predictions",
-        f"{output}/progress",
-        rubrics,
-        model,
-        scorer_factory,
-        **options,
-    )
-    query.awaitTermination()
-    predictions = read_batches(spark, f"{output}/predictions")
-    write_report(decision_counts(predictions), f"{output}/decision_counts")
-    return predictions
+
+    def annotate_batch(batch: DataFrame, ingest_seq: int) -> DataFrame:
+        return annotation_table(batch, rubrics, scorer_factory, ingest_seq=ingest_seq, **options)
+
+    annotate_incrementally(
+        stream, f"{output}/annotations", f"{output}/progress", annotate_batch
+    ).awaitTermination()
+    annotations = read_batches(spark, f"{output}/annotations")
+    _report(annotations, rubrics, model, output)
+    return annotations

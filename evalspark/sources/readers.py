@@ -44,13 +44,18 @@ def limited(items: DataFrame, n: int | None) -> DataFrame:
 def read_annotations(
     spark: SparkSession, path: str, definitions: Sequence[str], fmt: str = "csv"
 ) -> DataFrame:
-    """One model's annotation table, with ``ingest_seq`` following the order of rows in a file.
+    """One model's annotation table, with ``ingest_seq`` telling later rows from earlier ones.
 
-    Spark gives no order between files: where an id is repeated across files, set ``ingest_seq`` from a
-    column or a batch number of your own.
+    Tables written by our own jobs carry that column. In CSV files it follows the order of the rows;
+    Spark gives no order between files, so where an id is repeated across CSV files, convert them to
+    tables with an ``ingest_seq`` first.
     """
-    table = _read(spark, path, annotations_schema(list(definitions)), fmt)
-    return table.withColumn("ingest_seq", F.monotonically_increasing_id())
+    schema = annotations_schema(list(definitions))
+    position = F.monotonically_increasing_id()
+    if fmt == "csv":
+        return _read(spark, path, schema, fmt).withColumn("ingest_seq", position)
+    table = _read(spark, path, schema.add("ingest_seq", T.LongType()), fmt)
+    return table.withColumn("ingest_seq", F.coalesce("ingest_seq", position))
 
 
 def read_comparative(

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from evalspark.operators.annotate import ScorerFactory, annotate
-from evalspark.schemas import Rubric
 from evalspark.sources.writers import write_batch
 
 
@@ -16,20 +14,17 @@ def annotate_incrementally(
     items: DataFrame,
     output: str,
     checkpoint: str,
-    rubrics: Sequence[Rubric],
-    model: str,
-    scorer_factory: ScorerFactory,
-    **options,
+    annotate_batch: Callable[[DataFrame, int], DataFrame],
 ) -> StreamingQuery:
     """Annotate all unseen rows of the stream ``items``, then stop.
 
-    The checkpoint remembers which files are done. Each micro-batch replaces its own folder, so a
-    batch that is run again after a failure leaves no duplicates.
+    ``annotate_batch`` takes the rows of a micro-batch and its number from 1, which serves as
+    ``ingest_seq``. The checkpoint remembers which files are done. Each micro-batch replaces its own
+    folder, so a batch that is run again after a failure leaves no duplicates.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        scored = annotate(batch, rubrics, model, scorer_factory, ingest_seq=batch_id + 1, **options)
-        write_batch(scored, output, batch_id)
+        write_batch(annotate_batch(batch, batch_id + 1), output, batch_id)
 
     return (
         items.writeStream.foreachBatch(save)

@@ -1,7 +1,15 @@
 import pytest
 from helpers import by
 
-from evalspark.operators.annotate import annotate, ask, build_prompts, decision_counts, fan_out, linear_backoff
+from evalspark.operators.annotate import (
+    annotate,
+    annotation_table,
+    ask,
+    build_prompts,
+    decision_counts,
+    fan_out,
+    linear_backoff,
+)
 from evalspark.schemas import Rubric
 from evalspark.streaming.incremental import annotate_incrementally, read_batches
 
@@ -76,6 +84,20 @@ def test_annotate_isolates_failures(spark):
     assert tuple(counts["A"])[2:] == (5, 1, 1, 1, 2)
 
 
+def test_annotation_table_equals_long_predictions(spark):
+    items = _items(spark, ["bad", "good", None]).selectExpr("*", "'u' AS author", "'d' AS created")
+    wide = by(annotation_table(items, RUBRICS, echo, ingest_seq=4).collect(), "item_id")
+    assert {r.ingest_seq for r in wide.values()} == {4}
+    for r in annotate(items, RUBRICS, "M", echo).collect():
+        row = wide[r.item_id]
+        assert (row[f"{r.definition}_Decision"], row[f"{r.definition}_Explanation"]) == (
+            r.decision,
+            r.explanation,
+        )
+    plan = annotation_table(items, RUBRICS, echo)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_incremental_equals_batch_and_resumes(spark, tmp_path):
     source, output, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     everything = [[f"bad {i}" for i in range(4)], ["good", "bad"], ["x" * 20, "{}"]]
@@ -85,7 +107,12 @@ def test_incremental_equals_batch_and_resumes(spark, tmp_path):
         stream = (
             spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
         )
-        query = annotate_incrementally(stream, output, progress, RUBRICS, "M", echo)
+        query = annotate_incrementally(
+            stream,
+            output,
+            progress,
+            lambda batch, seq: annotate(batch, RUBRICS, "M", echo, ingest_seq=seq),
+        )
         query.awaitTermination()
         return read_batches(spark, output)
 
