@@ -101,11 +101,11 @@ def limited_scan(spark, sf):
 
 
 def definition_fanout(spark, sf):
-    return ann.fan_out(derived.items(spark, sf), RUBRICS).select("item_id", "definition", "keyword")
+    return ann.fan_out(derived.texts(spark, sf), RUBRICS).select("item_id", "definition", "keyword")
 
 
 def build_prompt(spark, sf):
-    fanned = ann.fan_out(derived.items(spark, sf), RUBRICS)
+    fanned = ann.fan_out(derived.texts(spark, sf), RUBRICS)
     return ann.build_prompts(fanned).select("item_id", "definition", "prompt")
 
 
@@ -180,7 +180,7 @@ def merge_comparative(spark, sf):
 
 
 def text_length(spark, sf):
-    return readers.with_length(derived.items(spark, sf)).select("item_id", "text_length")
+    return readers.with_length(derived.texts(spark, sf)).select("item_id", "text_length")
 
 
 def unpivot_predictions(spark, sf):
@@ -192,8 +192,8 @@ def select_models(spark, sf):
 
 
 def unscored_items(spark, sf):
-    items = derived.items(spark, sf)
-    return merge.unscored_items(items, derived.predictions(items), VARIANTS)
+    answers = derived.predictions(derived.items(spark, sf))
+    return merge.unscored_items(derived.texts(spark, sf), answers, VARIANTS)
 
 
 def fp_rows(spark, sf):
@@ -215,7 +215,7 @@ def fp_transitions(spark, sf):
 def _review(spark, sf, category):
     keep = ["item_id", "keyword", "text_length"]
     changes = transitions.fp_changes(_wide(spark, sf, *keep[1:]), DEFINITIONS, "S", "L", keep)
-    return transitions.review_rows(changes, derived.items(spark, sf), category)
+    return transitions.review_rows(changes, derived.texts(spark, sf), category)
 
 
 def fp_fixed_rows(spark, sf):
@@ -257,12 +257,12 @@ def length_cutoff_metrics(spark, sf):
 
 
 def length_bins(spark, sf):
-    items = derived.items(spark, sf).select("item_id", "text_length")
+    items = derived.texts(spark, sf).select("item_id", "text_length")
     return slices.length_bins(items)
 
 
 def length_bins_wide(spark, sf):
-    items = derived.items(spark, sf).select("item_id", "text_length")
+    items = derived.texts(spark, sf).select("item_id", "text_length")
     return slices.length_bins(items, WIDE_EDGES, open_ended=True)
 
 
@@ -296,11 +296,11 @@ def dataset_overview(spark, sf):
 
 
 def keyword_counts(spark, sf):
-    return dataset.keyword_counts(derived.items(spark, sf))
+    return dataset.keyword_counts(derived.texts(spark, sf))
 
 
 def keyword_topn(spark, sf):
-    return dataset.keyword_counts(derived.items(spark, sf)).limit(TOP_KEYWORDS)
+    return dataset.keyword_counts(derived.texts(spark, sf)).limit(TOP_KEYWORDS)
 
 
 def keyword_positive_rate(spark, sf):
@@ -309,11 +309,11 @@ def keyword_positive_rate(spark, sf):
 
 
 def length_stats(spark, sf):
-    return _round(dataset.length_stats(derived.items(spark, sf)))
+    return _round(dataset.length_stats(derived.texts(spark, sf)))
 
 
 def length_histogram(spark, sf):
-    return _round(dataset.length_histogram(derived.items(spark, sf), HISTOGRAM_BINS))
+    return _round(dataset.length_histogram(derived.texts(spark, sf), HISTOGRAM_BINS))
 
 
 def run_summary(spark, sf):
@@ -340,7 +340,7 @@ def run_summary(spark, sf):
 
 
 def _tokens(spark, sf, stop_words=None):
-    return topics.fp_tokens(_wide(spark, sf), derived.items(spark, sf), VARIANTS, stop_words)
+    return topics.fp_tokens(_wide(spark, sf), derived.texts(spark, sf), VARIANTS, stop_words)
 
 
 def fp_tokens(spark, sf):
@@ -379,7 +379,7 @@ def fp_topic_counts(spark, sf):
 
 
 def fp_topic_examples(spark, sf):
-    return topics.topic_examples(_topics(spark, sf), derived.items(spark, sf))
+    return topics.topic_examples(_topics(spark, sf), derived.texts(spark, sf))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -30,9 +30,17 @@ DEFINITIONS = ["A", "B"]
 MODELS = ["S", "L"]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items without their labels, for what does not need them."""
+    return _item_columns(documents(spark, sf_dir)).drop("author", "created", "truth")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
-    return items_of(documents, labels(spark, sf_dir))
+    return items_of(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +48,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    return documents.join(labels.select("doc_id", "toxic"), "doc_id", "left").select(
-        F.col("doc_id").alias("item_id"),
-        F.lit(None).cast("string").alias("author"),
-        F.lit(None).cast("string").alias("created"),
-        F.col("toxic").alias("truth"),
-        F.when(F.col("doc_id") % 53 != 7, F.concat_ws("-", "source", "lang")).alias("keyword"),
+    return _item_columns(documents.join(labels.select("doc_id", "toxic"), "doc_id", "left"))
+
+
+def _item_columns(documents: DataFrame) -> DataFrame:
+    return documents.selectExpr(
+        "doc_id AS item_id",
+        "CAST(NULL AS STRING) AS author",
+        "CAST(NULL AS STRING) AS created",
+        f"{'toxic' if 'toxic' in documents.columns else 'CAST(NULL AS INT)'} AS truth",
+        "if(doc_id % 53 <> 7, concat_ws('-', source, lang), NULL) AS keyword",
         "text",
-        F.col("n_chars").cast("int").alias("text_length"),
+        "CAST(n_chars AS INT) AS text_length",
     )
 
 
