@@ -215,7 +215,7 @@ def fp_transitions(spark, sf):
 def _review(spark, sf, category):
     keep = ["item_id", "keyword", "text_length"]
     changes = transitions.fp_changes(_wide(spark, sf, *keep[1:]), DEFINITIONS, "S", "L", keep)
-    return transitions.review_rows(changes, derived.texts(spark, sf), category)
+    return transitions.review_rows(changes, category, derived.texts(spark, sf))
 
 
 def fp_fixed_rows(spark, sf):
@@ -340,7 +340,7 @@ def run_summary(spark, sf):
 
 
 def _tokens(spark, sf, stop_words=None):
-    return topics.fp_tokens(_wide(spark, sf), derived.texts(spark, sf), VARIANTS, stop_words)
+    return topics.fp_tokens(_wide(spark, sf), VARIANTS, stop_words, derived.texts(spark, sf))
 
 
 def fp_tokens(spark, sf):

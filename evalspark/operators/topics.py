@@ -67,22 +67,21 @@ def english_stop_words() -> list[str]:
 
 def fp_tokens(
     wide: DataFrame,
-    items: DataFrame,
     variants: Sequence[Variant],
     stop_words: Sequence[str] | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Words of every text that some variant flags wrongly, with one 0/1 flag per variant.
 
-    A text is joined and split once, however many variants flag it.
+    A text is split once, however many variants flag it. It is a column of ``wide`` or comes from
+    ``texts``, a table with one row per item.
     """
     stops = english_stop_words() if stop_words is None else list(stop_words)
     flags = [f"{v.name}_fp" for v in variants]
     flagged = fp_flags(wide, variants).where(F.greatest(*flags, F.lit(0)) == 1)
-    return (
-        flagged.select("item_id", *flags)
-        .join(items.select("item_id", "text"), "item_id")
-        .select("item_id", *flags, content_words(F.col("text"), stops).alias("words"))
-    )
+    if texts is not None:
+        flagged = flagged.select("item_id", *flags).join(texts.select("item_id", "text"), "item_id")
+    return flagged.select("item_id", *flags, content_words(F.col("text"), stops).alias("words"))
 
 
 def by_variant(tokens: DataFrame, variants: Sequence[Variant]) -> DataFrame:
@@ -249,13 +248,18 @@ def topic_counts(tables: TopicTables) -> DataFrame:
 
 
 def topic_examples(tables: TopicTables, items: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` texts, by id, of every topic.
+    """The texts of the first ``n`` items, by id, of every topic.
 
     The ids are chosen first; at most ``n`` per topic and variant are broadcast to fetch the texts, so
-    the texts are not shuffled.
+    the texts are not shuffled. An id that occurs on many rows gives one example.
     """
-    first = Window.partitionBy("definition", "model", "topic").orderBy("item_id")
-    chosen = tables.assignments.withColumn("example", F.row_number().over(first)).where(
-        F.col("example") <= n
+    topic = ["definition", "model", "topic"]
+    first = Window.partitionBy(*topic).orderBy("item_id")
+    chosen = (
+        tables.assignments.select(*topic, "item_id")
+        .distinct()
+        .withColumn("example", F.row_number().over(first))
+        .where(F.col("example") <= n)
     )
-    return items.select("item_id", "text").join(F.broadcast(chosen), "item_id")
+    found = items.select("item_id", "text").join(F.broadcast(chosen), "item_id")
+    return found.groupBy(*topic, "example", "item_id").agg(F.min("text").alias("text"))

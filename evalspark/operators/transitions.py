@@ -87,11 +87,11 @@ def fp_transitions(
     return counted.select(F.inline(F.array(*entries)))
 
 
-def review_rows(changes: DataFrame, items: DataFrame, category: str) -> DataFrame:
-    """The items behind one category, with their texts, for reading.
+def review_rows(changes: DataFrame, category: str, texts: DataFrame | None = None) -> DataFrame:
+    """The items behind one category, for reading.
 
-    Texts are joined only after the filter, so just those of the wanted items are kept.
+    Where ``changes`` does not keep the text, it comes from ``texts``, a table with one row per item,
+    and is joined only after the filter.
     """
-    return changes.where(F.col("category") == category).join(
-        items.select("item_id", "text"), "item_id"
-    )
+    wanted = changes.where(F.col("category") == category)
+    return wanted if texts is None else wanted.join(texts.select("item_id", "text"), "item_id")

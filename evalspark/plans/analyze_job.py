@@ -45,7 +45,8 @@ def analyze(
     """All result tables for a comparative table, written under ``output`` and returned by name.
 
     ``wide`` has one row per item, ``text`` and an answer column per variant. All counts come from one
-    pass over its narrow columns, the profile; only review rows and topics go back to the items.
+    pass over its narrow columns, the profile; only review rows and topics go back to the items, and
+    neither joins: repeated ids stay as many rows as they are.
     ``topics`` asks for that many topics per variant.
     """
     definitions = list(dict.fromkeys(v.definition for v in variants))
@@ -78,12 +79,12 @@ def analyze(
         "run_summary": run_summary(profile, variants, comparison, improvement, transitions, WEIGHT),
     }
     changes = fp_changes(
-        wide, definitions, small, large, ["item_id", "truth", "keyword", "text_length"]
+        wide, definitions, small, large, ["item_id", "truth", "keyword", "text_length", "text"]
     )
     for category in ("fixed", "introduced"):
-        tables[f"fp_{category}_rows"] = review_rows(changes, wide, category)
+        tables[f"fp_{category}_rows"] = review_rows(changes, category)
     if topics:
-        fitted = fit_topics(fp_tokens(wide, wide, variants), variants, topics)
+        fitted = fit_topics(fp_tokens(wide, variants), variants, topics)
         tables["topics"] = topic_counts(fitted)
         tables["topic_examples"] = topic_examples(fitted, wide)
 

@@ -29,7 +29,7 @@ def test_stop_words(spark):
 
 def test_tokens_and_vocabulary(spark):
     wide, items = _inputs(spark, TEXTS)
-    tokens = topics.fp_tokens(wide, items, VARIANTS, ["ships"])
+    tokens = topics.fp_tokens(wide, VARIANTS, ["ships"], items)
     assert tokens.count() == 40
     assert tokens.where("A_L_fp = 1").count() == 9
     row = by(tokens.collect(), "item_id")[4]
@@ -46,7 +46,7 @@ def test_tokens_and_vocabulary(spark):
 
 def test_topics(spark):
     wide, items = _inputs(spark, TEXTS, 9)
-    tables = topics.fit_topics(topics.fp_tokens(wide, items, VARIANTS), VARIANTS, 3, top_words=4)
+    tables = topics.fit_topics(topics.fp_tokens(wide, VARIANTS, texts=items), VARIANTS, 3, top_words=4)
     found = topics.topic_counts(tables).collect()
     assert {r.model for r in found} == {"S"}  # nine texts are too few
     assert len(found) == 3
@@ -69,18 +69,39 @@ def test_topics(spark):
 
 def test_ten_texts_are_enough(spark):
     wide, items = _inputs(spark, TEXTS, 10)
-    tables = topics.fit_topics(topics.fp_tokens(wide, items, VARIANTS), VARIANTS, 2)
+    tables = topics.fit_topics(topics.fp_tokens(wide, VARIANTS, texts=items), VARIANTS, 2)
     assert {r.model for r in tables.topics.collect()} == {"S", "L"}
 
 
 def test_nothing_to_model(spark):
     wide, items = _inputs(spark, TEXTS[:5])
-    tables = topics.fit_topics(topics.fp_tokens(wide, items, VARIANTS), VARIANTS)
+    tables = topics.fit_topics(topics.fp_tokens(wide, VARIANTS, texts=items), VARIANTS)
     assert tables.topics.count() == tables.assignments.count() == topics.topic_counts(tables).count() == 0
 
 
 def test_vocabulary_is_refused_not_cut(spark):
     wide, items = _inputs(spark, TEXTS)
-    tokens = topics.fp_tokens(wide, items, VARIANTS)
+    tokens = topics.fp_tokens(wide, VARIANTS, texts=items)
     with pytest.raises(ValueError, match="raise min_df"):
         topics.fit_topics(tokens, VARIANTS, max_vocabulary=3)
+
+
+def test_topics_part_disjoint_vocabularies(spark):
+    texts = [("apples pears plums cherries " if i % 2 else "trains trams ships planes ") * (1 + i % 3) for i in range(60)]
+    wide, items = _inputs(spark, texts)
+    tables = topics.fit_topics(topics.fp_tokens(wide, [A_S], texts=items), [A_S], 2, max_iter=30)
+    kinds = tables.assignments.groupBy("topic").agg(F.collect_set(F.col("item_id") % 2).alias("kinds"))
+    assert sorted(r.kinds for r in kinds.collect()) == [[0], [1]]
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id are all modelled, without multiplying each other."""
+    wide, items = _inputs(spark, TEXTS)
+    hot = wide.join(items, "item_id").withColumn("item_id", F.when(F.col("item_id") < 15, 0).otherwise(F.col("item_id")))
+    tokens = topics.fp_tokens(hot, [A_S])
+    assert tokens.count() == 40
+    tables = topics.fit_topics(tokens, [A_S], 2)
+    assert tables.assignments.count() == 40
+    examples = topics.topic_examples(tables, hot)
+    keys = examples.select("topic", "example").distinct().count()
+    assert examples.count() == keys <= 10
