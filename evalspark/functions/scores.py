@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 COUNTS = ("tp", "fp", "fn", "tn")
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Quotient as double, 0 where the denominator is 0."""
-    return F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
+def ratio(numerator: str, denominator: str) -> str:
+    """SQL of the quotient as double, 0 where the denominator is 0."""
+    return f"coalesce(try_divide({numerator}, {denominator}), 0D)"
 
 
 def scores(beta: float = 0.5, prefix: str = "") -> dict[str, Column]:
@@ -18,25 +18,28 @@ def scores(beta: float = 0.5, prefix: str = "") -> dict[str, Column]:
 
     The counts are cast to double first: products of four row counts overflow a long.
     """
-    tp, fp, fn, tn = (F.col(prefix + c).cast("double") for c in COUNTS)
-    positive, negative, flagged = tp + fn, tn + fp, tp + fp
+    tp, fp, fn, tn = (f"CAST({prefix}{c} AS DOUBLE)" for c in COUNTS)
+    positive, negative, flagged = f"({tp} + {fn})", f"({tn} + {fp})", f"({tp} + {fp})"
     recall, specificity = ratio(tp, positive), ratio(tn, negative)
     weight = beta * beta
-    return {
-        "accuracy": ratio(tp + tn, positive + negative),
+    hits = f"{1 + weight}D * {tp}"
+    expressions = {
+        "accuracy": ratio(f"{tp} + {tn}", f"{positive} + {negative}"),
         "precision": ratio(tp, flagged),
         "recall": recall,
         "specificity": specificity,
-        "f1": ratio(2 * tp, 2 * tp + fp + fn),
-        "fbeta": ratio((1 + weight) * tp, (1 + weight) * tp + weight * fn + fp),
+        "f1": ratio(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}"),
+        "fbeta": ratio(hits, f"{hits} + {weight}D * {fn} + {fp}"),
         "fp_rate": ratio(fp, negative),
-        "mcc": ratio(tp * tn - fp * fn, F.sqrt(flagged * positive * negative * (tn + fn))),
-        "balanced_accuracy": F.when(positive == 0, specificity)
-        .when(negative == 0, recall)
-        .otherwise((recall + specificity) / 2),
-        "g_mean": F.sqrt(recall * specificity),
-        "fp_share": F.try_divide(fp, flagged),
+        "mcc": ratio(
+            f"{tp} * {tn} - {fp} * {fn}", f"sqrt({flagged} * {positive} * {negative} * ({tn} + {fn}))"
+        ),
+        "balanced_accuracy": f"CASE WHEN {positive} = 0 THEN {specificity} "
+        f"WHEN {negative} = 0 THEN {recall} ELSE ({recall} + {specificity}) / 2 END",
+        "g_mean": f"sqrt({recall} * {specificity})",
+        "fp_share": f"try_divide({fp}, {flagged})",
     }
+    return {name: F.expr(sql) for name, sql in expressions.items()}
 
 
 def relative_change(small: Column, large: Column, lower_is_better: Column) -> Column:

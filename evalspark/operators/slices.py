@@ -39,7 +39,7 @@ def fp_by_slice(
             count_where((truth == 0) & (pred == 1), weight).alias("n_fp"),
         )
         .where((F.col("n_negative") > 0) & (F.col("n_items") >= min_items))
-        .withColumn("fp_rate", ratio(F.col("n_fp"), F.col("n_negative")))
+        .withColumn("fp_rate", F.expr(ratio("n_fp", "n_negative")))
     )
 
 

@@ -41,12 +41,13 @@ def analyze(
     *,
     edges: tuple[int, ...] = LENGTH_EDGES,
     topics: int | None = None,
+    texts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All result tables for a comparative table, written under ``output`` and returned by name.
 
-    ``wide`` has one row per item, ``text`` and an answer column per variant. All counts come from one
-    pass over its narrow columns, the profile; only review rows and topics go back to the items, and
-    neither joins: repeated ids stay as many rows as they are.
+    ``wide`` has one row per item and an answer column per variant. All counts come from one pass over
+    its narrow columns, the profile; only review rows and topics need the text, either a column of
+    ``wide``, so that nothing is joined, or from ``texts``, a table with one row per item.
     ``topics`` asks for that many topics per variant.
     """
     definitions = list(dict.fromkeys(v.definition for v in variants))
@@ -78,15 +79,16 @@ def analyze(
         "keyword_positive_rate": keyword_positive_rate(profile, weight=WEIGHT),
         "run_summary": run_summary(profile, variants, comparison, improvement, transitions, WEIGHT),
     }
-    changes = fp_changes(
-        wide, definitions, small, large, ["item_id", "truth", "keyword", "text_length", "text"]
-    )
+    keep = ["item_id", "truth", "keyword", "text_length"]
+    if texts is None:
+        keep.append("text")
+    changes = fp_changes(wide, definitions, small, large, keep)
     for category in ("fixed", "introduced"):
-        tables[f"fp_{category}_rows"] = review_rows(changes, category)
+        tables[f"fp_{category}_rows"] = review_rows(changes, category, texts)
     if topics:
-        fitted = fit_topics(fp_tokens(wide, variants), variants, topics)
+        fitted = fit_topics(fp_tokens(wide, variants, texts=texts), variants, topics)
         tables["topics"] = topic_counts(fitted)
-        tables["topic_examples"] = topic_examples(fitted, wide)
+        tables["topic_examples"] = topic_examples(fitted, wide if texts is None else texts)
 
     for name, table in reports.items():
         write_report(table, f"{output}/{name}")

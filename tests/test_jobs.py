@@ -74,6 +74,23 @@ def test_jobs(spark, tmp_path):
         assert (tmp_path / "results" / name / "_SUCCESS").exists()
 
 
+def test_analyze_with_separate_texts(spark, tmp_path):
+    """The same results whether the text is a column of the wide table or a table of its own."""
+    items = _items(spark).selectExpr(
+        "*", "length(text) AS text_length", "int(item_id % 2) AS A_S", "int(item_id % 3 > 0) AS A_L"
+    )
+    variants = VARIANTS[:2]
+    together = analyze(items, variants, "S", "L", str(tmp_path / "a"), topics=2)
+    apart = analyze(
+        items.drop("text"), variants, "S", "L", str(tmp_path / "b"), topics=2, texts=_items(spark)
+    )
+    assert set(together) == set(apart)
+    for name in ("metrics", "fp_by_length", "fp_fixed_rows", "fp_introduced_rows", "length_histogram"):
+        columns = together[name].columns
+        rows = [sorted(map(str, t[name].select(columns).collect())) for t in (together, apart)]
+        assert rows[0] == rows[1] and rows[0]
+
+
 def test_folder_job(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_table(_items(spark, 30).repartition(3), source)
