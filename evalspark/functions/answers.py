@@ -39,7 +39,8 @@ def decision(response: Column, mode: str = "compat") -> Column:
     """
     after_mark = F.split_part(response, F.lit(DECISION_MARK), F.lit(2))
     marked = F.lower(F.split_part(after_mark, F.lit(EXPLANATION_MARK), F.lit(1)))
-    opening = F.substring(F.lower(response), 1, FALLBACK_CHARS)
+    # Cut before lower-casing too, which never shortens a text, so long answers are not lower-cased whole.
+    opening = F.substring(F.lower(F.substring(response, 1, FALLBACK_CHARS)), 1, FALLBACK_CHARS)
     judged = F.when(_formatted(response), marked).otherwise(opening)
     return (
         F.when(response.isNull(), "Error")

@@ -91,6 +91,32 @@ def test_analyze_with_separate_texts(spark, tmp_path):
         assert rows[0] == rows[1] and rows[0]
 
 
+def test_a_later_batch_wins_in_the_merge(spark, tmp_path):
+    """An item that comes again in a later file replaces its first answers."""
+    annotated = {}
+    for model in "SL":
+        source, out = str(tmp_path / f"in-{model}"), str(tmp_path / f"out-{model}")
+        for name, number in (("first", 2), ("second", 3)):
+            if model == "L" or name == "first":
+                again = spark.createDataFrame([(7, "u", "d", 0, "k", f"number {number}")], ITEMS)
+                write_table(again, f"{source}/{name}")
+            annotate_folder(spark, f"{source}/*", out, RUBRICS, model, _scorer(2), files_per_batch=1)
+        annotated[model] = f"{out}/annotations"
+    assert spark.read.parquet(annotated["L"]).count() == 2
+    _, wide = merge_tables(spark, annotated, "S", ["A", "B"], str(tmp_path / "merged"), "parquet")
+    row = wide.first()
+    assert wide.count() == 1
+    assert (row.A_S, row.B_S, row.A_L, row.B_L) == (0, 0, 1, 1)
+
+
+def test_limit_of_items(spark, tmp_path):
+    source = str(tmp_path / "items")
+    write_table(_items(spark), source)
+    out = str(tmp_path / "out")
+    few = annotate_table(spark, source, out, RUBRICS, "S", _scorer(2), fmt="parquet", limit=4)
+    assert sorted(r.item_id for r in few.collect()) == [0, 1, 2, 3]
+
+
 def test_folder_job(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_table(_items(spark, 30).repartition(3), source)
