@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from evalspark.operators import topics
+from evalspark.sources import derived
 
 SF_DIR = "/root/testdata/sf0.001"
 NARROW = [
@@ -69,3 +71,15 @@ def test_top_keywords_are_limited_before_the_shuffle(spark):
 def test_limits_avoid_a_full_sort(spark):
     for name in ("limited_scan", "keyword_topn", "keyword_positive_rate"):
         assert "TakeOrderedAndProject" in _plan(spark, name)
+
+
+def test_topic_examples_are_chosen_before_texts_are_fetched(spark):
+    assigned = spark.range(1000).selectExpr(
+        "'A' AS definition", "'S' AS model", "id AS item_id", "int(id % 3) AS topic"
+    )
+    tables = topics.TopicTables(None, assigned)
+    texts = spark.read.schema(derived.DOCUMENTS).parquet(f"{SF_DIR}/documents.parquet")
+    examples = topics.topic_examples(tables, texts.withColumnRenamed("doc_id", "item_id"))
+    plan = examples._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert examples.count() == 15
