@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,22 @@ will with you your
 """.split()
 
 
+
+def _optional(*names: str) -> list[ModuleType]:
+    """Modules that may be absent as a whole; an error inside one of them is raised."""
+    found = []
+    for name in names:
+        try:
+            found.append(import_module(name))
+        except ModuleNotFoundError as missing:
+            if missing.name not in ("evalspark.llm", *names):
+                raise
+    return found
+
+
+OPTIONAL = _optional("evalspark.llm.queries", "corpus_pipeline")
+
+
 # -- shared inputs
 
 
@@ -388,7 +406,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         "scan_items": scan_items,
         "scan_annotations": scan_annotations,
         "limited_scan": limited_scan,
@@ -441,6 +459,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fp_topic_counts": fp_topic_counts,
         "fp_topic_examples": fp_topic_examples,
     }
+    return {**own, **{k: q for m in OPTIONAL for k, q in m.queries().items()}}
 
 
 # -- the same in SQL
@@ -765,7 +784,7 @@ HAVING count(*) >= 2
 SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * width, 10) AS lower,
        round(lo + (b.bin + 1) * width, 10) AS upper, coalesce(n, 0) AS n_items
 FROM range({HISTOGRAM_BINS}) b(bin) CROSS JOIN bounds LEFT JOIN placed p ON p.bin = b.bin"""
-    return {
+    own = {
         "scan_items": f"WITH {_ITEMS} SELECT * EXCLUDE (text_length) FROM items",
         "scan_annotations": f"""WITH {_answers()},
 tables AS ({_annotation_sql('S')} UNION ALL {_annotation_sql('L')})
@@ -884,3 +903,4 @@ SELECT (SELECT count(*) FROM items) AS n_items, (SELECT count(*) FROM items WHER
         "array_to_string(words, ' ') AS words FROM tokens",
         "fp_vocabulary": f"WITH {_token_sql()} {vocabulary}",
     }
+    return {**own, **{k: sql for m in OPTIONAL for k, sql in m.oracle_sql().items()}}
