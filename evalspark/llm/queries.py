@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.licenses import scan_licenses
+from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality_rules import quality_rules
+from evalspark.llm.simhash import as_hex, simhash_components
+from evalspark.llm.token_counts import token_counts
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -20,12 +23,25 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("matches")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(documents(spark, sf_dir))
+    return found.select("doc_id", as_hex(found["fp"]).alias("fingerprint"), "component_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_license_scan, op10_quality_rules]
+    named = [op2_license_scan, op5_token_counts, op6_simhash, op7_packing, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
