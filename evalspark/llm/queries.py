@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.licenses import scan_licenses
+from evalspark.llm.line_dedup import dedup_lines
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality_rules import quality_rules
 from evalspark.llm.simhash import as_hex, simhash_components
@@ -23,6 +24,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("matches")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -41,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_license_scan, op5_token_counts, op6_simhash, op7_packing, op10_quality_rules]
+    named = [op2_license_scan, op3_line_dedup, op5_token_counts, op6_simhash, op7_packing, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
