@@ -11,6 +11,7 @@ from evalspark.llm.line_dedup import dedup_lines
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.quality_rules import quality_rules
 from evalspark.llm.simhash import as_hex, simhash_components
+from evalspark.llm.substring_dedup import dedup_substrings
 from evalspark.llm.token_counts import token_counts
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -20,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_removed", "gone", "text")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("matches")
 
@@ -46,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_license_scan, op3_line_dedup, op5_token_counts, op6_simhash, op7_packing, op10_quality_rules]
+    named = [op1_substring_dedup, op2_license_scan, op3_line_dedup, op5_token_counts, op6_simhash, op7_packing, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
