@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from evalspark.llm.licenses import scan_licenses
 from evalspark.llm.line_dedup import dedup_lines
 from evalspark.llm.packing import pack_documents
+from evalspark.llm.quality_lm import quality_scores
 from evalspark.llm.quality_rules import quality_rules
 from evalspark.llm.simhash import as_hex, simhash_components
 from evalspark.llm.substring_dedup import dedup_substrings
 from evalspark.llm.token_counts import token_counts
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LABELS = "doc_id bigint, quality int, toxic int"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(LABELS).parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_removed", "gone", "text")
 
@@ -46,12 +52,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir)).drop("lang")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_substring_dedup, op2_license_scan, op3_line_dedup, op5_token_counts, op6_simhash, op7_packing, op10_quality_rules]
+    named = [op1_substring_dedup, op2_license_scan, op3_line_dedup, op5_token_counts, op6_simhash, op7_packing, op8_quality_classifier, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
