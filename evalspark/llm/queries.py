@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalspark.llm.embedding_dedup import near_vectors
 from evalspark.llm.licenses import scan_licenses
 from evalspark.llm.line_dedup import dedup_lines
 from evalspark.llm.packing import pack_documents
@@ -16,6 +17,7 @@ from evalspark.llm.substring_dedup import dedup_substrings
 from evalspark.llm.token_counts import token_counts
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
 LABELS = "doc_id bigint, quality int, toxic int"
 
 
@@ -39,6 +41,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -61,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_substring_dedup, op2_license_scan, op3_line_dedup, op5_token_counts, op6_simhash, op7_packing, op8_quality_classifier, op10_quality_rules]
+    named = [op1_substring_dedup, op2_license_scan, op3_line_dedup, op4_embedding_dedup, op5_token_counts, op6_simhash, op7_packing, op8_quality_classifier, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
