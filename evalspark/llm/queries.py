@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalspark.llm.embedding_dedup import near_vectors
 from evalspark.llm.licenses import scan_licenses
 from evalspark.llm.line_dedup import dedup_lines
 from evalspark.llm.packing import pack_documents
+from evalspark.llm.pieces import MARK, decode, encode
 from evalspark.llm.quality_lm import quality_scores
 from evalspark.llm.quality_rules import quality_rules
 from evalspark.llm.simhash import as_hex, simhash_components
@@ -62,12 +64,30 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir)).drop("lang")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it; a word mark in a text comes back as a blank."""
+    coded = decode(encode(documents(spark, sf_dir), ("doc_id", "text")))
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == plain).alias("same"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_substring_dedup, op2_license_scan, op3_line_dedup, op4_embedding_dedup, op5_token_counts, op6_simhash, op7_packing, op8_quality_classifier, op10_quality_rules]
+    named = [
+        op1_substring_dedup,
+        op2_license_scan,
+        op3_line_dedup,
+        op4_embedding_dedup,
+        op5_token_counts,
+        op6_simhash,
+        op7_packing,
+        op8_quality_classifier,
+        op9_pieces,
+        op10_quality_rules,
+    ]
     return {f.__name__: f for f in named}
 
 
