@@ -14,6 +14,17 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """Numbered rows whose own columns are one struct, ``own``, so that no name can clash."""
+    return numbered(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")))
+
+
+def unpacked(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of ``own``, some of them replaced; others that are new follow and take the place of such names."""
+    old = [new[c] if c in new else F.col(f"own.`{c}`") for c in columns]
+    return [x.alias(c) for x, c in zip(old, columns)] + [x.alias(c) for c, x in new.items() if c not in columns]
+
+
 def bits(keys: DataFrame, key: Column) -> DataFrame:
     """A bit for each hash of ``key`` in a table of fixed size: ``at`` and ``bits``, at most FILTER_BITS / 64 rows."""
     hashed = keys.select(F.pmod(key, F.lit(FILTER_BITS)).alias("h"))
@@ -39,8 +50,8 @@ def table_of(set_bits: DataFrame) -> np.ndarray:
     return table
 
 
-def without_rows(documents: DataFrame, gone: DataFrame) -> DataFrame:
-    """Numbered ``documents`` without the rows whose ``row`` is in ``gone`` (a stored table); ``row`` is dropped."""
-    rows = marked(documents, F.xxhash64("row"), bits(gone, F.xxhash64("row")))
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered ``rows`` without those whose ``row`` is in ``gone`` (a stored table)."""
+    rows = marked(rows, F.xxhash64("row"), bits(gone, F.xxhash64("row")))
     left = rows.where("maybe").join(gone.select("row"), "row", "left_anti")
-    return left.unionByName(rows.where("NOT maybe")).drop("maybe", "row")
+    return left.unionByName(rows.where("NOT maybe")).drop("maybe")

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.components import components, forest
+from evalspark.llm.filters import packed, unpacked, without_rows
 from evalspark.session import materialize, ship_package
 
 SEED = 42
@@ -207,3 +208,11 @@ def simhash_components(
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
     return marked.join(of_class, "fp").select(id_column, "fp", "component_id")
+
+
+def drop_near_duplicates(documents: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
+    """The first row, in the order of the stored table, of every group of linked documents."""
+    rows = packed(documents)
+    found = simhash_components(rows.select("row", F.col("own.text").alias("text")), width, radius, "row")
+    gone = materialize(found.where("row <> component_id").select("row"), "near-duplicates")
+    return without_rows(rows, gone).select(*unpacked(documents.columns))

@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.blocks import ODD, mix, text_blocks
+from evalspark.llm.filters import packed, unpacked
 from evalspark.session import materialize, ship_package
 
 CUT_BITS = 5
@@ -180,21 +181,22 @@ def dedup_substrings(documents: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     ``n_removed`` counts the bytes that went.
     """
-    mine = ("row", "gone", "left", "n_removed")
-    plain = documents.select(*[c for c in documents.columns if c.lower() not in mine])
-    rows = plain.withColumn("row", F.monotonically_increasing_id())
-    spans = repeated_spans(rows.select("doc_id", "row", "text"), min_run)
-    joined = rows.join(spans, "row", "left")
-    whole = F.col("text").cast("binary")
-
-    def part(s):
-        end = F.coalesce(s["end"], F.octet_length("text").cast("long"))
+    rows = packed(documents)
+    texts = rows.select(F.col("own.doc_id").alias("doc_id"), "row", F.col("own.text").alias("text"))
+    joined = rows.join(repeated_spans(texts, min_run), "row", "left")
+    whole = F.col("own.text").cast("binary")
+
+    def part(s: Column) -> Column:
+        end = F.coalesce(s["end"], F.octet_length("own.text").cast("long"))
         return whole.substr((s["start"] + 1).cast("int"), (end - s["start"]).cast("int")).cast("string")
 
-    text = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", part), ""))
+    left = F.array_join(F.transform("left", part), "")
     n_removed = F.aggregate("gone", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in plain.columns],
-        F.coalesce(n_removed, F.lit(0)).alias("n_removed"),
-        "gone",
+        *unpacked(
+            documents.columns,
+            text=F.when(F.col("left").isNull(), F.col("own.text")).otherwise(left),
+            n_removed=F.coalesce(n_removed, F.lit(0)),
+            gone=F.col("gone"),
+        )
     )
