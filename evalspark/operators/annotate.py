@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,18 @@ def annotate(
     )
 
 
+def row_position(batch: int) -> Column:
+    """A number for every row that orders rows by batch, then by task and row: the last of equal ids wins by it.
+
+    The batch has the upper 19 bits, the task 20 and the row 24; more rows in a task stop the job.
+    """
+    own = F.monotonically_increasing_id()
+    task, row = F.shiftright(own, 33), own.bitwiseAND(F.lit((1 << 33) - 1))
+    number = F.lit(batch << 44) + F.shiftleft(task, 24) + row
+    fits = (task < 1 << 20) & (row < 1 << 24)
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("too many rows in a task")).cast("long"))
+
+
 def annotation_table(
     items: DataFrame,
     rubrics: Sequence[Rubric],
@@ -172,7 +184,7 @@ def annotation_table(
         response, error = F.col("responses")[i], F.col("errors")[i]
         parsed.append(decision(response, mode).alias(f"{r.definition}_Decision"))
         parsed.append(explanation(response, error).alias(f"{r.definition}_Explanation"))
-    return scored.select(*kept, *parsed, F.lit(ingest_seq).cast("long").alias("ingest_seq"))
+    return scored.select(*kept, *parsed, row_position(ingest_seq).alias("ingest_seq"))
 
 
 def parse_answers(answers: DataFrame, mode: str = "compat", unclear: str = "zero") -> DataFrame:

@@ -145,19 +145,20 @@ def select_models(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
 def unscored_items(items: DataFrame, predictions: DataFrame, variants: Sequence[Variant]) -> DataFrame:
     """Items a variant has not answered: one row per id and variant, also where an id is listed twice.
 
-    The answered variants are gathered per item as bits before the join, so an item crosses the
-    network once and not once per variant.
+    The answered variants are gathered per item as bits before the join, 62 to a number, so an item crosses
+    the network once and not once per variant.
     """
-    bits = F.lit(None).cast("long")
+    words = range(-(-len(variants) // 62))
+    bits = [F.lit(None).cast("long") for _ in words]
     for i, v in reversed(list(enumerate(variants))):
         mine = (F.col("definition") == v.definition) & (F.col("model") == v.model)
-        bits = F.when(mine, F.lit(1 << i).cast("long")).otherwise(bits)
-    answered = predictions.groupBy("item_id").agg(F.bit_or(bits).alias("answered"))
+        bits[i // 62] = F.when(mine, F.lit(1 << i % 62).cast("long")).otherwise(bits[i // 62])
+    answered = predictions.groupBy("item_id").agg(*[F.bit_or(b).alias(f"answered_{w}") for w, b in enumerate(bits)])
     entries = [
         F.struct(
             F.lit(v.definition).alias("definition"),
             F.lit(v.model).alias("model"),
-            F.lit(1 << i).cast("long").alias("bit"),
+            F.coalesce(f"answered_{i // 62}", F.lit(0)).bitwiseAND(F.lit(1 << i % 62).cast("long")).alias("seen"),
         )
         for i, v in enumerate(variants)
     ]
@@ -165,7 +166,7 @@ def unscored_items(items: DataFrame, predictions: DataFrame, variants: Sequence[
         items.select("item_id")
         .distinct()
         .join(answered, "item_id", "left")
-        .select("item_id", F.coalesce("answered", F.lit(0)).alias("answered"), F.inline(F.array(*entries)))
-        .where(F.col("answered").bitwiseAND(F.col("bit")) == 0)
+        .select("item_id", F.inline(F.array(*entries)))
+        .where("seen = 0")
         .select("item_id", "definition", "model")
     )

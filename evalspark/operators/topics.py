@@ -105,8 +105,7 @@ def vocabulary(
 ) -> DataFrame:
     """Words and the number of texts that hold them, within bounds on that number.
 
-    A bound is a number of texts if an int, and a share of the texts if a float. The table of group
-    sizes that is broadcast has one row per group of ``by``, that is, per variant.
+    A bound is a number of texts if an int, and a share of the texts if a float.
     """
     sizes = texts.groupBy(*by).agg(F.count("*").alias("n_all"))
     counted = (
@@ -115,7 +114,7 @@ def vocabulary(
         .agg(F.count("*").alias("n_texts"))
     )
     if by:
-        counted = counted.join(F.broadcast(sizes), list(by))
+        counted = counted.join(sizes, list(by))
     else:
         counted = counted.withColumn("n_all", sizes.scalar())
 

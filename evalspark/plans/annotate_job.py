@@ -11,7 +11,7 @@ from evalspark.operators.annotate import ScorerFactory, annotation_table, decisi
 from evalspark.operators.merge import binarize, long_answers
 from evalspark.schemas import ITEMS, Rubric
 from evalspark.sources.readers import limited, read_items
-from evalspark.sources.writers import write_report, write_table
+from evalspark.sources.writers import write_batch, write_report, write_table
 from evalspark.streaming.incremental import annotate_incrementally, read_batches
 
 
@@ -36,6 +36,9 @@ def annotate_table(
 ) -> DataFrame:
     """Write ``annotations`` and ``decision_counts`` under ``output``; return the annotations."""
     items = limited(read_items(spark, items_path, fmt), limit)
+    if limit and limit > 0 and options.get("parallelism") is None:
+        # A limit leaves one partition, and one scorer.
+        options["parallelism"] = min(limit, spark.sparkContext.defaultParallelism)
     write_table(
         annotation_table(items, rubrics, scorer_factory, **options), f"{output}/annotations"
     )
@@ -68,6 +71,8 @@ def annotate_folder(
     def annotate_batch(batch: DataFrame, ingest_seq: int) -> DataFrame:
         return annotation_table(batch, rubrics, scorer_factory, ingest_seq=ingest_seq, **options)
 
+    # An empty table first, so that a folder without items has annotations to read.
+    write_batch(annotate_batch(spark.createDataFrame([], ITEMS), 0), f"{output}/annotations", -1)
     annotate_incrementally(
         stream, f"{output}/annotations", f"{output}/progress", annotate_batch
     ).awaitTermination()

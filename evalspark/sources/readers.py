@@ -12,8 +12,16 @@ from pyspark.sql import types as T
 from evalspark.schemas import CSV_ITEM_COLUMNS, ITEMS, Rubric, Variant, annotations_schema
 
 # Texts hold line breaks and doubled quotes. A file read this way is one task, so large inputs should
-# come as many files, or be converted to Parquet once.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "enforceSchema": "false"}
+# come as many files, or be converted to Parquet once. A row with too few or too many fields stops
+# the job, and so does a value that is no number in a column of numbers which the query reads.
+CSV_OPTIONS = {
+    "header": "true",
+    "multiLine": "true",
+    "escape": '"',
+    "enforceSchema": "false",
+    "mode": "FAILFAST",
+    "columnPruning": "false",
+}
 
 
 def _csv_name(column: str) -> str:
@@ -23,8 +31,11 @@ def _csv_name(column: str) -> str:
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     if fmt != "csv":
         return spark.read.format(fmt).schema(schema).load(path)
-    headed = T.StructType([T.StructField(_csv_name(f.name), f.dataType) for f in schema.fields])
-    return spark.read.schema(headed).options(**CSV_OPTIONS).csv(path).toDF(*schema.names)
+    # Whole numbers in a column with gaps are often written as 1.0 and 0.0.
+    kinds = {f.name: T.DoubleType() if f.dataType == T.IntegerType() else f.dataType for f in schema.fields}
+    headed = T.StructType([T.StructField(_csv_name(n), kind) for n, kind in kinds.items()])
+    table = spark.read.schema(headed).options(**CSV_OPTIONS).csv(path).toDF(*schema.names)
+    return table.withColumns({n: F.col(n).cast("int") for n, kind in kinds.items() if kind != schema[n].dataType})
 
 
 def with_length(items: DataFrame) -> DataFrame:
@@ -46,7 +57,7 @@ def read_annotations(
 ) -> DataFrame:
     """One model's annotation table, with ``ingest_seq`` telling later rows from earlier ones.
 
-    Tables written by our own jobs carry that column. In CSV files it follows the order of the rows;
+    Tables written by our own jobs carry that column, different in every row. In CSV files it follows the order of the rows;
     Spark gives no order between files, so where an id is repeated across CSV files, convert them to
     tables with an ``ingest_seq`` first.
     """

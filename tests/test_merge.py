@@ -2,6 +2,7 @@ from helpers import A_L, A_S, B_L, B_S, VARIANTS, by
 from pyspark.sql import functions as F
 
 from evalspark.operators import merge
+from evalspark.schemas import Variant
 
 S2 = (
     "item_id long, author string, created string, truth int, keyword string, text string, "
@@ -127,3 +128,13 @@ def test_combine_and_long(spark):
         ("L", "A", "No", 0),
         ("L", "B", "Error", 0),
     }
+
+
+def test_unscored_with_many_variants(spark):
+    """More variants than a number has bits."""
+    variants = [Variant(f"D{i}", "M") for i in range(130)]
+    answers = [(item, v.definition, "M") for item in (1, 2) for i, v in enumerate(variants) if (i + item) % 3]
+    items = spark.createDataFrame([(1,), (2,), (3,)], "item_id long")
+    found = merge.unscored_items(items, spark.createDataFrame(answers, "item_id long, definition string, model string"), variants)
+    expected = {(item, v.definition) for item in (1, 2, 3) for v in variants} - {a[:2] for a in answers}
+    assert {(r.item_id, r.definition) for r in found.collect()} == expected

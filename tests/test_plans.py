@@ -24,10 +24,11 @@ NARROW = [
     "unscored_items",
     "definition_fanout",
 ]
+OPTIONAL = {n for m in entry.OPTIONAL for n in m.queries()}
 LAZY = [
     n
     for n in entry.queries()
-    if n not in ("scan_annotations", "annotate_incremental", "run_summary") and "topic" not in n
+    if n not in ("scan_annotations", "annotate_incremental", "run_summary", *OPTIONAL) and "topic" not in n
 ]
 
 

@@ -112,3 +112,20 @@ def test_scratch_follows_the_setting(spark):
 
 def test_variant_names():
     assert [v.name for v in VARIANTS] == ["A_S", "A_L", "B_S", "B_L"]
+
+
+def test_labels_with_gaps(spark, tmp_path):
+    """A label column as 1, 1.0 and nothing."""
+    path = tmp_path / "items.csv"
+    head = "TweetID,Username,CreateDate,Biased,Keyword,Text\n"
+    path.write_text(head + "1,u,d,1.0,k,a\n2,u,d,0,k,b\n3,u,d,,k,c\n")
+    rows = readers.read_items(spark, str(path)).orderBy("item_id").collect()
+    assert [r.truth for r in rows] == [1, 0, None]
+
+
+@pytest.mark.parametrize("row", ["x1,u,d,1,k,a", "1,u,d,1", "1,u,d,1,k,a,more", "1,u,d,maybe,k,a"])
+def test_rows_that_do_not_fit_fail(spark, tmp_path, row):
+    path = tmp_path / "items.csv"
+    path.write_text(f"TweetID,Username,CreateDate,Biased,Keyword,Text\n{row}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_items(spark, str(path)).collect()
