@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from evalspark.functions.text import content_words
 from evalspark.operators.transitions import fp_flags
 from evalspark.schemas import Variant
-from evalspark.session import materialize
+from evalspark.session import materialize, ship_package
 
 MIN_TEXTS = 10
-SEED = 42
 
 # How the English stop list of the published analysis differs from Spark's own.
 NOT_STOP_WORDS = """
@@ -126,21 +120,94 @@ def vocabulary(
     ).drop("n_all")
 
 
-def _vectoriser(
-    texts: DataFrame, n: int, min_df: int | float, max_df: int | float, limit: int
-) -> CountVectorizerModel | None:
-    """Fit the vocabulary; None if it is empty, refused if it would not fit a broadcast model."""
-    least = min_df if isinstance(min_df, int) else max(1, math.ceil(min_df * n))
-    most = max_df if isinstance(max_df, int) else math.floor(max_df * n)
-    if most < least:
-        return None
-    vectoriser = CountVectorizer(
-        inputCol="words", outputCol="features", minDF=least, maxDF=most, vocabSize=limit + 1
-    )
-    model = vectoriser.fit(texts)
-    if len(model.vocabulary) > limit:
-        raise ValueError(f"more than {limit} words; raise min_df, for example to a share of the texts")
-    return model if model.vocabulary else None
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """By recurrence up to 8, then the asymptotic series."""
+    x, shift = x.copy(), np.zeros_like(x)
+    while (low := x < 8).any():
+        shift[low] -= 1 / x[low]
+        x[low] += 1
+    y = 1 / (x * x)
+    return shift + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def _infer(n: np.ndarray, beta: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights of texts, and of each of their words, for texts whose words begin at ``starts``.
+
+    Each text goes on until its own weights settle, so the texts beside it do not matter.
+    """
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
+    gamma = np.ones((len(starts), beta.shape[1]))
+    active = np.ones(len(starts), bool)
+    for _ in range(100):
+        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(axis=1))[:, None])
+        norm = np.einsum("ij,ij->i", theta[of], beta) + 1e-100
+        new = alpha + theta * np.add.reduceat(beta * (n / norm)[:, None], starts, axis=0)
+        settled = np.abs(new - gamma).mean(axis=1) < 1e-3
+        gamma[active] = new[active]
+        active &= ~settled
+        if not active.any():
+            break
+    theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(axis=1))[:, None])
+    norm = np.einsum("ij,ij->i", theta[of], beta) + 1e-100
+    return gamma, theta[of] * beta * (n / norm)[:, None]
+
+
+def _by_text(k: int, alpha: float, assign: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by variant and text: the words' shares of the topics, or each text's topic."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).to_numpy()
+        text, variant = column("text_no"), column("variant")
+        starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (variant[1:] != variant[:-1])))
+        weight = np.stack([column(f"w{i}") for i in range(k)], axis=1)
+        total = np.stack([column(f"t{i}") for i in range(k)], axis=1)
+        beta = np.exp(_digamma(weight) - _digamma(total))
+        gamma, shares = _infer(column("n").astype(float), beta, starts, alpha)
+        if assign:
+            values = [pa.array(variant[starts]), pa.array(text[starts]), pa.array(gamma.argmax(axis=1).astype(np.int32))]
+            return pa.RecordBatch.from_arrays(values, ["variant", "text_no", "topic"])
+        words = table.column("word").combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        values = [pa.array(variant), words, *[pa.array(np.ascontiguousarray(shares[:, i])) for i in range(k)]]
+        return pa.RecordBatch.from_arrays(values, ["variant", "word", *[f"s{i}" for i in range(k)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text, variant = batch.column("text_no").to_numpy(), batch.column("variant").to_numpy()
+            # The last text may go on in the next batch.
+            cut = int(np.argmax((text == text[-1]) & (variant == variant[-1])))
+            last = held[-1].slice(held[-1].num_rows - 1) if held else None
+            ends = last is not None and (last["text_no"][0].as_py(), last["variant"][0].as_py()) != (text[0], variant[0])
+            if held and (ends or cut):
+                yield work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            elif cut:
+                yield work(pa.Table.from_batches([batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
+def term_counts(
+    tokens: DataFrame, variants: Sequence[Variant], min_df: int | float = 2, max_df: int | float = 0.95
+) -> DataFrame:
+    """How often each word of a variant's vocabulary occurs in each of its texts (``text_no``)."""
+    entries = [
+        F.struct(F.lit(i).alias("variant"), F.col(f"{v.name}_fp").alias("flag")) for i, v in enumerate(variants)
+    ]
+    texts = tokens.select("text_no", "words", F.inline(F.array(*entries))).where("flag = 1").drop("flag")
+    chosen = vocabulary(texts, ["variant"], min_df, max_df).select("variant", "word")
+    counted = texts.select("variant", "text_no", F.explode("words").alias("word"))
+    counted = counted.groupBy("variant", "text_no", "word").agg(F.count("*").alias("n"))
+    return counted.join(chosen, ["variant", "word"])
 
 
 def fit_topics(
@@ -152,84 +219,85 @@ def fit_topics(
     min_texts: int = MIN_TEXTS,
     min_df: int | float = 2,
     max_df: int | float = 0.95,
-    max_vocabulary: int = 1 << 20,
     max_iter: int = 10,
-    sample_rate: float = 1.0,
 ) -> TopicTables:
-    """Fit one topic model per variant on the texts it flags wrongly.
+    """Fit one topic model per variant on all the texts it flags wrongly, by full-batch variational Bayes.
 
-    Each fit is distributed, and the fits of the variants run side by side. Only the vocabulary and the
-    ``k`` topic vectors live on the driver, and ``max_vocabulary`` bounds both. The word vectors are
-    written once, as every iteration reads them. Variants with fewer than ``min_texts`` texts have no
-    topics. ``sample_rate`` is the share of the texts that an iteration looks at: 1 gives batch
-    learning, a small share suits very many texts.
+    All variants are fitted in the same jobs. Term counts and topic weights are tables with a row per word,
+    joined by word in each pass; a pass reads every text, infers its topics from the weights of the pass before, and
+    the words' shares add up to the next weights. The start is a hash of word and topic. Nothing of the
+    vocabulary comes to the driver. Variants with fewer than ``min_texts`` texts, or without a vocabulary,
+    have no topics; a text without a word of the vocabulary goes to topic 0.
     """
     spark = tokens.sparkSession
-    tokens = materialize(tokens, "fp-tokens")
-
-    def fit(variant: Variant) -> tuple[list[tuple], DataFrame] | None:
-        texts = tokens.where(F.col(f"{variant.name}_fp") == 1).select("item_id", "words")
-        n = texts.count()
-        vectoriser = _vectoriser(texts, n, min_df, max_df, max_vocabulary) if n >= min_texts else None
-        if vectoriser is None:
-            return None
-        vectors = vectoriser.transform(texts).select("item_id", "features")
-        tasks = max(vectors.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-        # The vectoriser names every word in the column's metadata; nothing needs it from here on.
-        vectors = materialize(
-            vectors.withMetadata("features", {}).repartition(tasks), "fp-vectors"
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        model = LDA(
-            k=k,
-            seed=SEED,
-            maxIter=max_iter,
-            optimizer="online",
-            subsamplingRate=sample_rate,
-            learningOffset=1.0,
-            learningDecay=0.51,
-            docConcentration=[1.0 / k],
-            topicConcentration=1.0 / k,
-            optimizeDocConcentration=False,
-        ).fit(vectors)
-        share = vector_to_array("topicDistribution")
-        assigned = materialize(
-            model.transform(vectors).select(
-                F.lit(variant.definition).alias("definition"),
-                F.lit(variant.model).alias("model"),
-                "item_id",
-                (F.array_position(share, F.array_max(share)) - 1).cast("int").alias("topic"),
-            ),
-            "fp-topic-assignments",
+    ship_package(spark)
+    alpha = eta = 1.0 / k
+    tokens = materialize(tokens.withColumn("text_no", F.monotonically_increasing_id()), "fp-tokens")
+    # One row of numbers; variants are configuration.
+    sizes = tokens.agg(*[F.count_if(F.col(f"{v.name}_fp") == 1).alias(v.name) for v in variants]).first()
+    counts = term_counts(tokens, variants, min_df, max_df)
+    enough = [i for i, v in enumerate(variants) if sizes[v.name] >= min_texts]
+    counts = materialize(counts.where(F.col("variant").isin(enough)), "term-counts")
+    names = [f"w{i}" for i in range(k)]
+
+    def start(i: int) -> Column:
+        return 1 + 0.35 * (F.pmod(F.xxhash64("word", F.lit(i)), F.lit(1000003)) / 1000003.0 - 0.5)
+
+    weights = counts.select("variant", "word").distinct().select("variant", "word", *[start(i).alias(c) for i, c in enumerate(names)])
+    weights = materialize(weights, "topic-weights")
+
+    def sorted_by_text(weights: DataFrame) -> DataFrame:
+        totals = weights.groupBy("variant").agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(names)])
+        # One row per variant is broadcast.
+        joined = counts.join(weights, ["variant", "word"]).join(F.broadcast(totals), "variant")
+        return joined.repartition("variant", "text_no").sortWithinPartitions("variant", "text_no", "word")
+
+    shares = ", ".join(["variant int, word string", *[f"s{i} double" for i in range(k)]])
+    for _ in range(max_iter):
+        found = sorted_by_text(weights).mapInArrow(_by_text(k, alpha, False), shares)
+        summed = found.groupBy("variant", "word").agg(*[(eta + F.sum(f"s{i}")).alias(c) for i, c in enumerate(names)])
+        weights = materialize(summed, "topic-weights")
+    topic_of = sorted_by_text(weights).mapInArrow(_by_text(k, alpha, True), "variant int, text_no bigint, topic int")
+    fitted = [r["variant"] for r in weights.select("variant").distinct().collect()]
+    entries = [
+        F.struct(
+            F.lit(i).alias("variant"),
+            F.lit(v.definition).alias("definition"),
+            F.lit(v.model).alias("model"),
+            F.col(f"{v.name}_fp").alias("flag"),
         )
-        vectors.unpersist()
-        return _topic_rows(variant, model, vectoriser.vocabulary, top_words), assigned
-
-    with ThreadPoolExecutor(len(variants)) as pool:
-        fitted = [f for f in pool.map(inheritable_thread_target(spark)(fit), variants) if f]
-    rows = [row for topics, _ in fitted for row in topics]
-    assignments = [spark.createDataFrame([], ASSIGNMENTS), *[assigned for _, assigned in fitted]]
+        for i, v in enumerate(variants)
+        if i in fitted
+    ]
+    if not entries:
+        return TopicTables(spark.createDataFrame([], TOPICS), spark.createDataFrame([], ASSIGNMENTS))
+    texts = tokens.select("text_no", "item_id", F.inline(F.array(*entries))).where("flag = 1")
+    assigned = texts.join(topic_of, ["variant", "text_no"], "left").select(
+        "definition", "model", "item_id", F.coalesce("topic", F.lit(0)).alias("topic")
+    )
     return TopicTables(
-        spark.createDataFrame(rows, TOPICS), reduce(DataFrame.unionByName, assignments)
+        materialize(topic_rows(weights, variants, k, top_words), "topics"), materialize(assigned, "fp-topic-assignments")
     )
 
 
-def _topic_rows(variant: Variant, model: LDAModel, words: list[str], top_words: int) -> list[tuple]:
-    """The heaviest words of each topic, with their weights as pseudo-counts."""
-    weights = model.topicsMatrix().toArray()
-    rows = []
-    for topic in range(weights.shape[1]):
-        best = weights[:, topic].argsort(kind="stable")[::-1][:top_words]
-        rows.append(
-            (
-                variant.definition,
-                variant.model,
-                topic,
-                f"Topic {topic + 1}: " + " ".join(words[i] for i in best[:3]),
-                [words[i] for i in best],
-                [float(weights[i, topic]) for i in best],
-            )
-        )
-    return rows
+def topic_rows(weights: DataFrame, variants: Sequence[Variant], k: int, top_words: int) -> DataFrame:
+    """The heaviest words of each topic, with their weights as pseudo-counts; the first of equals by word."""
+    entries = [F.struct(F.lit(i).alias("topic"), F.col(f"w{i}").alias("weight")) for i in range(k)]
+    ranked = weights.select("variant", "word", F.inline(F.array(*entries))).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("variant", "topic").orderBy(F.desc("weight"), "word"))
+    )
+    best = (
+        ranked.where(F.col("rank") <= top_words)
+        .groupBy("variant", "topic")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "word", "weight"))).alias("best"))
+    )
+    of = F.array(*[F.struct(F.lit(v.definition).alias("definition"), F.lit(v.model).alias("model")) for v in variants])
+    words = F.col("best")["word"]
+    label = F.concat(F.lit("Topic "), F.col("topic") + 1, F.lit(": "), F.array_join(F.slice(words, 1, 3), " "))
+    named = best.withColumn("of", F.get(of, "variant"))
+    return named.select(
+        "of.definition", "of.model", "topic", label.alias("label"), words.alias("words"), F.col("best")["weight"].alias("weights")
+    )
 
 
 def topic_counts(tables: TopicTables) -> DataFrame:

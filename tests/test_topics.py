@@ -79,13 +79,6 @@ def test_nothing_to_model(spark):
     assert tables.topics.count() == tables.assignments.count() == topics.topic_counts(tables).count() == 0
 
 
-def test_vocabulary_is_refused_not_cut(spark):
-    wide, items = _inputs(spark, TEXTS)
-    tokens = topics.fp_tokens(wide, VARIANTS, texts=items)
-    with pytest.raises(ValueError, match="raise min_df"):
-        topics.fit_topics(tokens, VARIANTS, max_vocabulary=3)
-
-
 def test_topics_part_disjoint_vocabularies(spark):
     texts = [("apples pears plums cherries " if i % 2 else "trains trams ships planes ") * (1 + i % 3) for i in range(60)]
     wide, items = _inputs(spark, texts)
@@ -105,3 +98,33 @@ def test_repeated_ids(spark):
     examples = topics.topic_examples(tables, hot)
     keys = examples.select("topic", "example").distinct().count()
     assert examples.count() == keys <= 10
+
+
+def _weights(spark, wide, items, partitions):
+    tokens = topics.fp_tokens(wide, VARIANTS, texts=items).repartition(partitions)
+    return topics.fit_topics(tokens, VARIANTS, 3, top_words=50)
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    wide, items = _inputs(spark, TEXTS, 12)
+    one, many = (_weights(spark, wide, items, n) for n in (1, 23))
+    key = ("model", "topic")
+    a, b = by(one.topics.collect(), *key), by(many.topics.collect(), *key)
+    assert set(a) == set(b)
+    for k in a:
+        x, y = (dict(zip(r[k].words, r[k].weights)) for r in (a, b))
+        assert x == pytest.approx(y, abs=1e-9)
+
+
+def test_every_text_counts_in_every_pass(spark):
+    """The weights of a topic model add up to the words of all texts, and the prior."""
+    wide, items = _inputs(spark, TEXTS, 12)
+    tokens = topics.fp_tokens(wide, VARIANTS, texts=items).withColumn("text_no", F.col("item_id"))
+    counts = topics.term_counts(tokens, VARIANTS)
+    n = {r.variant: r.n for r in counts.groupBy("variant").agg(F.sum("n").alias("n")).collect()}
+    words = {r.variant: r.n for r in counts.groupBy("variant").agg(F.countDistinct("word").alias("n")).collect()}
+    for passes in (1, 2):
+        tables = topics.fit_topics(topics.fp_tokens(wide, VARIANTS, texts=items), VARIANTS, 3, top_words=500, max_iter=passes)
+        for i, v in enumerate(VARIANTS):
+            total = sum(sum(r.weights) for r in tables.topics.where(F.col("model") == v.model).collect())
+            assert total == pytest.approx(n[i] + words[i])
