@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.embedding_dedup import near_vectors
 from evalspark.llm.licenses import scan_licenses
 from evalspark.llm.line_dedup import dedup_lines
+from evalspark.llm.oracles import oracle_sql
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.pieces import MARK, decode, encode
 from evalspark.llm.quality_lm import quality_scores
@@ -18,6 +19,8 @@ from evalspark.llm.simhash import as_hex, simhash_components
 from evalspark.llm.substring_dedup import dedup_substrings
 from evalspark.llm.token_counts import token_counts
 
+__all__ = ["oracle_sql", "queries"]
+
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -89,7 +92,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_quality_rules,
     ]
     return {f.__name__: f for f in named}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
