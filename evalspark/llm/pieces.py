@@ -1,9 +1,10 @@
 """Encoding and decoding with a public piece vocabulary, as a relational lattice.
 
-Texts are cut where no piece can cross: in front of a run of word marks (a mark stands for a blank), and around
-line breaks. The different units of all texts are encoded once. A unit's substrings up to the longest piece are
+Texts are cut where no piece can cross: in front of a run of word marks (a mark stands for a blank), around
+line breaks, and between letters or digits and other characters, which ``read_pieces`` checks. The different units of all texts are encoded once. A unit's substrings up to the longest piece are
 exploded and joined with the piece table; what matches are the edges of its lattice, which are grouped by unit and
-folded with ``aggregate``.
+folded with ``aggregate``. The edges of a unit follow each other, as the join with the broadcast table keeps the
+order, so they are grouped as they come, without a shuffle or a sort of the exploded rows.
 
 * For a unigram table the fold is Viterbi's: the best score and the last edge of every prefix.
 * The vocabulary at hand is a BPE table, for which the best sum of scores is not the encoding. There the fold takes the
@@ -33,12 +34,15 @@ from evalspark.llm.filters import numbered
 from evalspark.session import ship_package
 
 MARK = "▁"
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 48 << 20
 LONG = 128
 PIECES = "piece string, id int, rank int, score double"
 # A row that every unit's edges hold, so that a unit without any edge is not lost.
-NONE = ("", -1, -1, 0.0)
-_UNITS = re.compile(" +[^ \n]*|[^ \n]+|\n")
+NONE = ("", -1, -2, 0.0)
+# Marks in front of letters and digits, or in front of other characters, or alone; line breaks. No piece holds a letter
+# or digit beside another character, but for one: a superscript two and a full stop.
+_OTHER = r"(?:(?![ \n])[\W_])"
+_UNITS = re.compile(rf" *[^\W_]+(?:(?<=²)\.{_OTHER}*)?| *{_OTHER}+| +|\n")
 
 
 def default_model() -> str:
@@ -84,40 +88,95 @@ def read_pieces(path: str | None = None) -> tuple[list[tuple], list[int]]:
     late = [p for p, _, r, _ in rows if len(p) > 1 and merge(p, ranks) != ([p], r)]
     if late:
         raise ValueError(f"pieces that are built by later merges: {late[:5]}")
-    inner = [p for p, *_ in rows if MARK in p.lstrip(MARK)]
+    inner = [p for p, *_ in rows if MARK in p.lstrip(MARK) or len(units_of(p.lstrip(MARK), mark=False)) > 1]
     if inner:
         raise ValueError(f"pieces across words: {inner[:5]}")
     return rows, of_byte
 
 
-def units_of(text: str | None) -> list[str]:
-    """Parts of a text that are encoded on their own, blanks as they are."""
+def units_of(text: str | None, mark: bool = True) -> list[str]:
+    """Parts of a text that are encoded on their own, blanks as they are; ``mark`` puts one in front."""
     if not text:
         return []
-    return _UNITS.findall(" " + text.replace(MARK, " "))
+    return _UNITS.findall((" " if mark else "") + text.replace(MARK, " "))
 
 
-def _lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``unit``, its length ``n`` and its ``edges`` by rank and place, for different units."""
+def _lattice(units: DataFrame, pieces: DataFrame, longest: int, long: int | None) -> DataFrame:
+    """One row per substring that is a piece, those of a unit in a row; the first has its ``blocks``.
+
+    Units of more than ``long`` characters have that first row only.
+    """
 
     def from_(s: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - s)),
             lambda k: F.struct(
-                s.alias("s"), (s + k).alias("e"), F.substr("marked", s + 1, k).alias("piece")
+                s.alias("s"), (s + k).alias("e"), F.substr("marked", s + 1, k).alias("piece"), no_blocks.alias("blocks")
             ),
         )
 
+    no_blocks = F.lit(None).cast("array<int>")
     marked = units.withColumns(
         {"marked": F.replace("unit", F.lit(" "), F.lit(MARK)), "n": F.length("unit")}
     )
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), from_))
-    nothing = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece")))
-    spans = marked.select("unit", "n", F.explode(F.concat(spans, nothing)).alias("x")).select("unit", "n", "x.*")
-    edges = spans.join(F.broadcast(pieces), "piece")
-    return edges.groupBy("unit").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "s", "e", "id", "score"))).alias("edges")
+    head = F.array(
+        F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece"), F.col("blocks").alias("blocks"))
     )
+    rows = F.concat(head, spans) if long is None else F.when(F.col("n") > long, head).otherwise(F.concat(head, spans))
+    exploded = marked.select("unit", F.explode(rows).alias("x")).select("unit", "x.*")
+    return exploded.join(F.broadcast(pieces), "piece").select("unit", "s", "e", "id", "rank", "score", "blocks")
+
+
+GROUPED = (
+    "unit string, n int, blocks array<int>, ids array<int>, "
+    "edges array<struct<rank:int,s:int,e:int,id:int,score:double>>"
+)
+
+
+def _grouper(encode_long: Callable[[str], list[int]], long: int | None) -> Callable:
+    """Edges, as they come, to one row per unit with its edges by rank and place."""
+
+    def group(x: pa.Table) -> pa.RecordBatch:
+        heads = np.flatnonzero(x.column("e").to_numpy() == 0)
+        sizes = np.diff(np.append(heads, x.num_rows))
+        of = np.repeat(np.arange(len(heads)), sizes)
+        s, rank = x.column("s").to_numpy(), x.column("rank").to_numpy()
+        order = np.lexsort((s, rank, of))
+        # The head has the lowest rank and so stays in front; it is left out.
+        order = order[x.column("e").to_numpy()[order] > 0]
+        names = ["rank", "s", "e", "id", "score"]
+        values = [x.column(c).combine_chunks().take(pa.array(order)) for c in names]
+        values = [v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in values]
+        ends = np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)
+        edges = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names))
+        units = x.column("unit").take(pa.array(heads)).combine_chunks()
+        units = units.chunk(0) if isinstance(units, pa.ChunkedArray) else units
+        n = np.array([len(u) for u in units.to_pylist()], np.int32)
+        ids = [encode_long(u) if long is not None and k > long else None for u, k in zip(units.to_pylist(), n.tolist())]
+        blocks = x.column("blocks").take(pa.array(heads)).combine_chunks()
+        blocks = blocks.chunk(0) if isinstance(blocks, pa.ChunkedArray) else blocks
+        return pa.RecordBatch.from_arrays(
+            [units, pa.array(n), blocks, pa.array(ids, pa.list_(pa.int32())), edges],
+            ["unit", "n", "blocks", "ids", "edges"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            heads = np.flatnonzero(batch.column("e").to_numpy() == 0)
+            if not len(heads):
+                held.append(batch)
+                continue
+            cut = int(heads[-1])
+            whole = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            if whole.num_rows:
+                yield group(whole)
+            held = [batch.slice(cut)]
+        if held:
+            yield group(pa.Table.from_batches(held))
+
+    return run
 
 
 def _bpe_fold() -> Column:
@@ -173,7 +232,7 @@ def _viterbi_fold(unknown: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), first, back, lambda done: done["ends"])
 
 
-def _ids(of_byte: list[int]) -> Column:
+def _ids(of_byte: list[int]) -> tuple[Column, Column]:
     """Ids of the symbols in ``ends``: of their edges, or of the bytes of what has none."""
     chosen = F.filter("edges", lambda x: (x["e"] > x["s"]) & (F.get("ends", x["s"]) == x["e"]))
     bytes_ = F.array(*map(F.lit, of_byte))
@@ -191,7 +250,7 @@ def _ids(of_byte: list[int]) -> Column:
     return chosen, F.flatten(F.transform(starts, symbol))
 
 
-def _long_units(rows: list[tuple], of_byte: list[int]) -> Callable:
+def _long_encoder(rows: list[tuple], of_byte: list[int]) -> Callable[[str], list[int]]:
     ranks, ids = {p: r for p, _, r, _ in rows}, {p: i for p, i, _, _ in rows}
 
     def encode(unit: str) -> list[int]:
@@ -200,34 +259,22 @@ def _long_units(rows: list[tuple], of_byte: list[int]) -> Callable:
             out.extend([ids[s]] if s in ids else [of_byte[b] for b in s.replace(MARK, " ").encode()])
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [encode(u) for u in batch.column("unit").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("unit"), pa.array(found, pa.list_(pa.int32()))], ["unit", "ids"]
-            )
-
-    return run
+    return encode
 
 
 def encode_units(
     units: DataFrame, rows: list[tuple], of_byte: list[int], algorithm: str = "bpe", long: int = LONG
 ) -> DataFrame:
-    """``unit`` and ``ids`` for a table of different units."""
-    spark = units.sparkSession
-    pieces = spark.createDataFrame([*rows, NONE], PIECES)
-    short = units.where(F.length("unit") <= long) if algorithm == "bpe" else units
-    lattice = _lattice(short, pieces, max(len(p) for p, *_ in rows))
-    if algorithm == "bpe":
-        ends = _bpe_fold()
-    else:
-        ends = _viterbi_fold(min(s for *_, s in rows) - 10.0)
+    """``unit``, ``blocks`` and ``ids`` for a table of different units with ``blocks`` (an array, may be null)."""
+    ship_package(units.sparkSession)
+    pieces = units.sparkSession.createDataFrame([*rows, NONE], PIECES)
+    limit = long if algorithm == "bpe" else None
+    edges = _lattice(units, pieces, max(len(p) for p, *_ in rows), limit)
+    grouped = edges.mapInArrow(_grouper(_long_encoder(rows, of_byte), limit), GROUPED)
+    ends = _bpe_fold() if algorithm == "bpe" else _viterbi_fold(min(s for *_, s in rows) - 10.0)
     chosen, ids = _ids(of_byte)
-    encoded = lattice.withColumn("ends", ends).withColumn("chosen", chosen).select("unit", ids.alias("ids"))
-    if algorithm != "bpe":
-        return encoded
-    rest = units.where(F.length("unit") > long).mapInArrow(_long_units(rows, of_byte), "unit string, ids array<int>")
-    return encoded.unionByName(rest)
+    folded = grouped.withColumn("ends", F.when(F.col("ids").isNull(), ends)).withColumn("chosen", chosen)
+    return folded.select("unit", "blocks", F.coalesce("ids", ids).alias("ids"))
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +321,9 @@ def encode(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str
     columns = list(dict.fromkeys([*keep, "text"]))
     dealt = numbered(documents.select(*columns)).select(*columns, block.alias("block"))
     dealt = dealt.repartition(n_blocks, "block")
-    asked = dealt.mapInArrow(_ask, "block int, unit string").repartition("unit")
-    encoded = encode_units(asked.select("unit").distinct(), rows, of_byte)
-    answers = asked.join(encoded, "unit").select("block", "unit", "ids")
+    asked = dealt.mapInArrow(_ask, "block int, unit string")
+    units = asked.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    answers = encode_units(units, rows, of_byte).select(F.explode("blocks").alias("block"), "unit", "ids")
     kinds = dict(documents.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "ids array<int>"])
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace(list(keep)), schema)

@@ -121,7 +121,7 @@ def test_long_units_by_both_folds(spark):
     pieces, of_byte = pc.read_pieces()
     r = random.Random(9)
     units = sorted({"".join(r.choices([" ", "th", "e", "re", "tion", "é", "漢", "x"], k=r.randint(1, 14))) for _ in range(80)})
-    df = spark.createDataFrame([(u,) for u in units], "unit string")
+    df = spark.createDataFrame([(u, [k]) for k, u in enumerate(units)], "unit string, blocks array<int>")
     short = {x["unit"]: x["ids"] for x in pc.encode_units(df, pieces, of_byte).collect()}
     assert short == {x["unit"]: x["ids"] for x in pc.encode_units(df, pieces, of_byte, long=0).collect()}
     assert set(short) == set(units)
@@ -132,7 +132,7 @@ def test_unigram_is_the_best_path(spark):
     pieces = [(p, i, 0, s) for i, (p, s) in enumerate(scored)]
     r = random.Random(1)
     units = sorted({"".join(r.choices(" ab", k=1 + k % 9)) for k in range(60)})
-    df = spark.createDataFrame([(u,) for u in units], "unit string")
+    df = spark.createDataFrame([(u, [k]) for k, u in enumerate(units)], "unit string, blocks array<int>")
     score = dict(scored)
 
     def best(t):
