@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from evalspark.session import ship_package
 
 # Words that a task remembers, and the longest of them: a bound on its memory, not on what it encodes.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 _BROKEN_RUN = re.compile(r"\s \s|\s \Z")
 
 
