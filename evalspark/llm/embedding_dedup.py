@@ -1,16 +1,16 @@
 """Near-duplicate vectors by inverted lists with product-quantised residuals.
 
 Equal vectors are one class with a weight. Classes are unit vectors in coarse cells; within a cell a
-vector is known by the codes of its residual's parts. Two vectors of different cells are compared in the later cell:
-the other one is sent there if the cell's border is near enough. Distances come from lookup tables of the
-sent vector (asymmetric), and what they leave is reranked by exact cosines in double precision, so no pair below the limit
-is linked. Cells larger than ``BLOCK_ROWS`` are split into blocks, each with its own task. A task returns counts and
-a spanning forest per vector, never its pairs.
+vector is known by the codes of its residual's parts. Neighbouring cells form groups. Two vectors of different groups
+are compared in the later one: the other one is sent there, once, if the border of one of its cells is near enough.
+Distances come from lookup tables of the sent vector (asymmetric), and what they leave is reranked by exact cosines in
+double precision, so no pair below the limit is linked. Groups larger than ``BLOCK_ROWS`` are split into blocks, each
+with its own task. A task returns counts and a spanning forest per vector, never its pairs.
 
 Cells and codes are fitted on a bounded sample (``SAMPLE`` vectors, or fewer of many dimensions); every
-vector is in the index. How near a border has to be, and how large a distance by codes may be, allows for ``Z`` standard
-deviations of a random direction in so many dimensions: with 2.5, fewer than one linked pair in a hundred
-is missed at the limit itself and practically none above it (tests and README have the measured recall).
+vector is in the index. Both filters are triangle inequalities: two vectors at most the radius apart are no further than
+that from any border between them, and a code is no further from the vector than what it leaves out. So no linked pair
+is missed, however the vectors lie; where most borders are near, most vectors are sent to most later groups.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold nulls, NaN or infinities link
 with nothing and are their own component; copies link with each other; rows with the same id stay rows of
@@ -35,8 +35,10 @@ SIMILARITY = 0.9
 SAMPLE, SAMPLE_NUMBERS = 1 << 15, 1 << 22
 CELL_ROWS, MAX_CELLS = 200, 2048
 BLOCK_ROWS = 4096
+GROUP_ROWS = 4096
 PART, CODES = 8, 64
-Z = 2.5
+# Room for rounding.
+SLACK = 1e-9
 ROUNDS = 8
 
 
@@ -88,17 +90,23 @@ class Index:
         self.books = [_means(np.ascontiguousarray(rest[:, p]), min(CODES, len(x)), random) for p in self.parts]
         self.apart = np.sqrt(np.maximum(_square_distances(self.centers, self.centers), 1e-12))
         self.radius = math.sqrt(max(0.0, 2 - 2 * similarity))
-        self.spread = min(1.0, Z / math.sqrt(self.dimension))
+        n_groups = int(min(max(1, -(-n_rows // GROUP_ROWS)), k))
+        heads = _means(self.centers, n_groups, random)
+        self.group = np.unique(_nearest(self.centers, heads)[0], return_inverse=True)[1]
+        self.n_groups = int(self.group.max()) + 1
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The home cell of each vector, and a table of the cells whose border is near."""
+        """The home cell of each vector, and a table of the cells whose border is near, its own among them."""
         d = _square_distances(x, self.centers)
         home = d.argmin(axis=1)
         border = (d - d[np.arange(len(x)), home][:, None]) / (2 * self.apart[home])
-        near = border <= self.radius * self.spread + 1e-9
-        near[np.arange(len(x)), home] = False
+        near = border <= self.radius + SLACK
         return home, near
 
+    def near_groups(self, near: np.ndarray) -> np.ndarray:
+        """A table of the groups with a near cell."""
+        return np.stack([near[:, self.group == g].any(axis=1) for g in range(self.n_groups)], axis=1)
+
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the length of what the codes leave out."""
         rest = x - self.centers[home]
@@ -117,7 +125,7 @@ class Index:
         return total
 
 
-ROUTED = "cell int, block int, asks boolean, cid bigint, w bigint, embedding {kind}"
+ROUTED = "part int, block int, asks boolean, cid bigint, w bigint, embedding {kind}"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,36 +135,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _router(index: Broadcast, blocks: Broadcast | None) -> Callable:
-    """Home rows, and the questions to later cells and blocks; without ``blocks`` only the home cells."""
+    """Home rows, and the questions to later groups and blocks; without ``blocks`` only the home groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                home, near = index.value.place(unit(_matrix(batch.column("embedding"))))
+                cell, near_cells = index.value.place(unit(_matrix(batch.column("embedding"))))
+                home = index.value.group[cell]
                 if blocks is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32))], ["cell"])
+                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32))], ["part"])
                     continue
+                near = index.value.near_groups(near_cells)
                 n_blocks = blocks.value
                 cid = batch.column("cid").to_numpy()
                 own = (cid.view(np.uint64) % n_blocks[home].astype(np.uint64)).astype(np.int64)
                 near &= np.arange(near.shape[1])[None] > home[:, None]
-                row, cell = np.nonzero(near)
-                # Later blocks of the own cell, and all blocks of later cells.
-                asks = [np.concatenate([row, np.arange(len(home))]), np.concatenate([cell, home])]
+                row, part = np.nonzero(near)
+                # Later blocks of the own group, and all blocks of later groups.
+                asks = [np.concatenate([row, np.arange(len(home))]), np.concatenate([part, home])]
                 first = np.concatenate([np.zeros(len(row), np.int64), own + 1])
                 times = n_blocks[asks[1]] - first
                 block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
                 rows = np.concatenate([np.arange(len(home)), np.repeat(asks[0], times)])
-                cells = np.concatenate([home, np.repeat(asks[1], times)])
+                parts = np.concatenate([home, np.repeat(asks[1], times)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cells.astype(np.int32)),
+                        pa.array(parts.astype(np.int32)),
                         pa.array(np.concatenate([own, block]).astype(np.int32)),
                         pa.array(np.arange(len(rows)) >= len(home)),
                         *[batch.column(c).take(pa.array(rows)) for c in ("cid", "w", "embedding")],
                     ],
-                    ["cell", "block", "asks", "cid", "w", "embedding"],
+                    ["part", "block", "asks", "cid", "w", "embedding"],
                 )
 
     return run
@@ -173,23 +183,30 @@ def _searcher(index: Broadcast) -> Callable[[pa.Table], pa.Table]:
         x = unit(_matrix(table.column("embedding").chunk(0)))
         links, roots = np.zeros(len(x), np.int64), []
         if n_home:
-            cell = int(block.column("cell")[0].as_py())
-            codes, lost = ix.encode(x[:n_home], np.full(n_home, cell))
-            # What codes leave out is, seen from another vector, a nearly orthogonal part of the distance.
-            limit = ix.radius**2 + lost**2 + 2 * ix.spread * ix.radius * lost + 1e-9
-            step = max(1, (1 << 21) // n_home)
-            for at in range(0, len(x), step):
-                q = x[at : at + step]
-                i, j = np.nonzero(ix.distances(q, cell, codes) <= limit[None])
-                later = at + i > j
-                i, j = i[later], j[later]
-                for k in range(0, len(i), 1 << 17):
-                    a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-                    hit = np.einsum("ij,ij->i", q[a], x[b]) >= ix.similarity
-                    a, b = at + a[hit], b[hit]
-                    np.add.at(links, a, w[b])
-                    np.add.at(links, b, w[a])
-                    roots.append(forest(a, b))
+            cell = np.empty(len(x), np.int64)
+            near = np.empty((len(x), len(ix.centers)), bool)
+            for at in range(0, len(x), 2048):
+                cell[at : at + 2048], near[at : at + 2048] = ix.place(x[at : at + 2048])
+            codes, lost = ix.encode(x[:n_home], cell[:n_home])
+            # A vector is no nearer than its code's distance without what the code leaves out.
+            limit = (ix.radius + lost) ** 2 + SLACK
+            for c in np.unique(cell[:n_home]).tolist():
+                own, asking = np.flatnonzero(cell[:n_home] == c), np.flatnonzero(near[:, c])
+                step = max(1, (1 << 21) // len(own))
+                for at in range(0, len(asking), step):
+                    q = asking[at : at + step]
+                    i, j = np.nonzero(ix.distances(x[q], c, codes[own]) <= limit[own][None])
+                    i, j = q[i], own[j]
+                    # Each pair once: two of the same block by their cells, then by their places.
+                    later = (i >= n_home) | (cell[i] < c) | ((cell[i] == c) & (i > j))
+                    i, j = i[later], j[later]
+                    for k in range(0, len(i), 1 << 17):
+                        a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+                        hit = np.einsum("ij,ij->i", x[a], x[b]) >= ix.similarity
+                        a, b = a[hit], b[hit]
+                        np.add.at(links, a, w[b])
+                        np.add.at(links, b, w[a])
+                        roots.append(forest(a, b))
         u = np.concatenate([np.empty(0, np.int64), *[r[0] for r in roots]])
         v = np.concatenate([np.empty(0, np.int64), *[r[1] for r in roots]])
         u, v = forest(u, v)
@@ -229,14 +246,14 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFram
         fitted = Index(_matrix(sample.column("embedding").combine_chunks()), n, similarity)
         index = spark.sparkContext.broadcast(fitted)
         given = classes.select("cid", "w", "embedding")
-        cells = given.mapInArrow(_router(index, None), "cell int").groupBy("cell").count()
-        # One row per cell, at most ``MAX_CELLS``.
-        n_blocks = np.ones(len(fitted.centers), np.int64)
+        cells = given.mapInArrow(_router(index, None), "part int").groupBy("part").count()
+        # One row per group, at most ``MAX_CELLS``.
+        n_blocks = np.ones(fitted.n_groups, np.int64)
         for x in cells.collect():
-            n_blocks[x["cell"]] = -(-x["count"] // BLOCK_ROWS)
+            n_blocks[x["part"]] = -(-x["count"] // BLOCK_ROWS)
         blocks = spark.sparkContext.broadcast(n_blocks)
         routed = given.mapInArrow(_router(index, blocks), ROUTED.format(kind=kind))
-        found = routed.groupBy("cell", "block").applyInArrow(_searcher(index), "cid bigint, n bigint, root bigint")
+        found = routed.groupBy("part", "block").applyInArrow(_searcher(index), "cid bigint, n bigint, root bigint")
         found = materialize(found, "vector-links")
         edges = found.select("cid", "root").where("cid <> root")
         counts = found.groupBy("cid").agg(F.sum("n").alias("n"))

@@ -1,5 +1,8 @@
 """Cases that an earlier form of the operators left out."""
 
+import numpy as np
+
+from evalspark.llm import embedding_dedup as ed
 from evalspark.llm import line_dedup as ld
 
 
@@ -26,3 +29,19 @@ def test_short_lines(spark, tmp_path):
                 left.append(line)
             seen.add(words)
         assert got[doc_id] == "\n".join(left), doc_id
+
+
+def test_vectors_near_few_dimensions(spark, monkeypatch):
+    """All links of vectors that lie near a space of 8 of 384 dimensions, in several groups and blocks."""
+    monkeypatch.setattr(ed, "GROUP_ROWS", 500)
+    monkeypatch.setattr(ed, "BLOCK_ROWS", 300)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 8)) @ r.normal(size=(8, 384)) + 0.02 * r.normal(size=(3000, 384))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ed.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    y = ed.unit(x)
+    cosine = y @ y.T
+    links = (cosine >= 0.9).sum(axis=1) - 1
+    assert links.sum() > 1000 and np.abs(cosine - 0.9).min() > 1e-12
+    assert [g["n_links"] for g in sorted(got)] == links.tolist()
