@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.components import components, forest
 from evalspark.llm.filters import packed, unpacked, without_rows
+from evalspark.llm.line_dedup import repeated_lines, text_shingles
 from evalspark.session import materialize, ship_package
 
 SEED = 42
@@ -211,8 +212,15 @@ def simhash_components(
 
 
 def drop_near_duplicates(documents: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
-    """The first row, in the order of the stored table, of every group of linked documents."""
+    """The first row, in the order of the stored table, of every group of linked documents.
+
+    Fingerprints find near copies only; rows whose set of shingles has a Jaccard similarity of at least 4/5
+    with that of an earlier row go as well, by the exact join of ``line_dedup`` over shingles.
+    """
     rows = packed(documents)
-    found = simhash_components(rows.select("row", F.col("own.text").alias("text")), width, radius, "row")
-    gone = materialize(found.where("row <> component_id").select("row"), "near-duplicates")
+    texts = rows.select("row", F.col("own.text").alias("text"))
+    found = simhash_components(texts, width, radius, "row")
+    gone = found.where("row <> component_id").select("row")
+    similar = repeated_lines(texts, text_shingles(width)).select("row")
+    gone = materialize(gone.unionAll(similar).distinct(), "near-duplicates")
     return without_rows(rows, gone).select(*unpacked(documents.columns))

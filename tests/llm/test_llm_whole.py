@@ -1,9 +1,13 @@
 """Cases that an earlier form of the operators left out."""
 
+import random
+
 import numpy as np
+from llm_fixtures import prose
 
 from evalspark.llm import embedding_dedup as ed
 from evalspark.llm import line_dedup as ld
+from evalspark.llm import simhash as sh
 
 
 def _stored(spark, path, data):
@@ -45,3 +49,30 @@ def test_vectors_near_few_dimensions(spark, monkeypatch):
     links = (cosine >= 0.9).sum(axis=1) - 1
     assert links.sum() > 1000 and np.abs(cosine - 0.9).min() > 1e-12
     assert [g["n_links"] for g in sorted(got)] == links.tolist()
+
+
+def test_edited_and_wrapped_copies(spark, tmp_path):
+    """Of two documents with a shingle similarity of 0.8 or more the later goes, however its lines are wrapped."""
+    r = random.Random(8)
+    texts = []
+    for i in range(40):
+        words = prose(1000 + i, 1, 300).split()
+        copy = words[:]
+        for k in r.sample(range(300), r.randint(1, 9)):
+            copy[k] = f"edit{i}"
+        texts += [words, copy]
+    wrapped = [
+        "\n".join(" ".join(w[k : k + 11 + i % 2 * 6]) for k in range(0, 300, 11 + i % 2 * 6))
+        for i, w in enumerate(texts)
+    ]
+    sets = [{tuple(w[k : k + 5]) for k in range(296)} for w in texts]
+    similar = {
+        i for i in range(80) if any(9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) for j in range(i))
+    }
+    kept = sh.drop_near_duplicates(_stored(spark, tmp_path / "d", list(enumerate(wrapped)))).select("doc_id").collect()
+    gone = set(range(80)) - {x["doc_id"] for x in kept}
+    assert len(similar) > 15 and similar <= gone
+    # Fingerprints link some pairs below the limit too, always of a text and its copy.
+    assert all(i % 2 == 1 for i in gone)
+    alone = sh.simhash_components(_stored(spark, tmp_path / "s", list(enumerate(wrapped))), 5, 3).collect()
+    assert len(similar - {x["doc_id"] for x in alone if x["doc_id"] != x["component_id"]}) > 5
