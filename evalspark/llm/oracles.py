@@ -15,6 +15,7 @@ from evalspark.llm.quality_rules import (
 )
 
 _BLANKS = r"[\x20\x09-\x0D]+"
+_WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def _list(words) -> str:
@@ -129,9 +130,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+def prefix_trie() -> str:
+    """CRC-32 by its table, a byte at a time; nodes by lists of whole turns."""
+    return rf"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           substr(sha256(length(r) || ':' || r || x), 1, 32)) AS pos, {{'role': r, 'text': x}} AS said
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce("text", '') AS x FROM conversations)
+  WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(said ORDER BY pos) AS said FROM turns GROUP BY conv_id),
+shares AS (
+  SELECT conv_id, said, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, crc_table),
+rebuilt AS (
+  SELECT s.conv_id, coalesce(f.said[:s.h], []) || s.said[s.h + 1:] AS said
+  FROM shares s LEFT JOIN own f ON f.conv_id = s.conv_id - s.conv_id % 20),
+members AS (SELECT conv_id, said, len(said) AS n, unnest(range(len(said) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT depth, said[:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM members GROUP BY ALL),
+family AS (
+  SELECT p.*, (SELECT count(*) FROM nodes c WHERE c.depth = p.depth + 1 AND c.path[:p.depth] = p.path) AS n_children,
+         CASE WHEN depth = 0 THEN 0
+              ELSE len(regexp_extract_all(path[depth]['text'], '{_WORDS}')) * (n_convs - 1) END AS saved
+  FROM nodes p)
+SELECT p.conv_id, p.depth,
+       (SELECT u.conv_id FROM nodes u WHERE u.depth = p.depth - 1 AND u.path = p.path[:p.depth - 1]) AS parent_conv_id,
+       p.n_convs, p.n_children, CAST(sum(CASE WHEN s.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+       CAST(sum(s.saved) AS BIGINT) AS saved_tokens, p.ends_sha256
+FROM family p JOIN family s ON s.depth >= p.depth AND s.path[:p.depth] = p.path
+GROUP BY ALL"""
+
+
+def fill_in_middle() -> str:
+    return """
+WITH docs AS (
+  SELECT doc_id, coalesce("text", '') AS x, length(coalesce("text", '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+drawn AS (
+  SELECT *, ('0x' || hex[1:8])::BIGINT % (n + 1) AS a, ('0x' || hex[9:16])::BIGINT % (n + 1) AS b,
+         ('0x' || hex[17:24])::BIGINT % 100 AS c, ('0x' || hex[25:32])::BIGINT % 100 AS d FROM docs),
+formed AS (
+  SELECT *, least(a, b) AS low, greatest(a, b) AS high,
+         CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR c >= 90 THEN 'plain'
+              WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (
+  SELECT *, '<P>' || substring(x, 1, low) AS p, '<S>' || substring(x, high + 1, n - high) AS s,
+         '<M>' || substring(x, low + 1, high - low) AS m FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM cut"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": license_scan(),
         "op4_embedding_dedup": embedding_dedup(),
         "op10_quality_rules": quality_rules(),
+        "op11_prefix_trie": prefix_trie(),
+        "op13_fill_in_middle": fill_in_middle(),
     }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.llm import byte_bpe, conversation_trie
 from evalspark.llm.embedding_dedup import near_vectors
+from evalspark.llm.fill_in_middle import fill_in_middle, restored, store_frames, with_digests
 from evalspark.llm.licenses import scan_licenses
 from evalspark.llm.line_dedup import dedup_lines
 from evalspark.llm.oracles import oracle_sql
@@ -23,6 +25,7 @@ __all__ = ["oracle_sql", "queries"]
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
 LABELS = "doc_id bigint, quality int, toxic int"
 
 
@@ -78,6 +81,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("lang")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.schema(CONVERSATIONS).parquet(f"{sf_dir}/conversations.parquet")
+    trie = conversation_trie.prefix_trie(*conversation_trie.rebuilt_turns(conversations))
+    key = conversation_trie.KEY
+    ended = trie.nodes.join(conversation_trie.end_digests(trie.ends), key, "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return ended.drop("k1", "k2", "turn_key", "words").withColumn("ends_sha256", F.coalesce("ends_sha256", nothing))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("ids")
+    return byte_bpe.encode(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode(ids), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = restored(fill_in_middle(store_frames(documents(spark, sf_dir))))
+    return with_digests(moved, {"output": "output_sha256", "restored": "restored_sha256"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_substring_dedup,
@@ -90,5 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_pieces,
         op10_quality_rules,
+        op11_prefix_trie,
+        op12_byte_bpe,
+        op13_fill_in_middle,
     ]
     return {f.__name__: f for f in named}
