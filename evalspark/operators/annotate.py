@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.answers import decision, explanation, prediction
+from evalspark.operators.inflight import InFlight
 from evalspark.schemas import ITEMS, Rubric
 from evalspark.session import ship_package
 
@@ -74,16 +77,21 @@ def score_items(
     backoff: Callable[[int], float] = linear_backoff,
     sleep: Callable[[float], None] = time.sleep,
     parallelism: int | None = None,
+    max_in_flight: int = 1,
 ) -> DataFrame:
     """Ask for every item under every rubric: ``responses`` and ``errors`` in the rubrics' order.
 
     ``scorer_factory`` runs once per partition and returns the function from prompt to answer. Spark
     may run a task again, so the scorer must tolerate a repeated prompt. ``parallelism`` sets the number
     of partitions, hence of scorers, at the price of a shuffle of the items; without it, one scorer runs
-    per input partition. Only the ``keep`` columns and the prompts travel to Python, in Arrow batches
+    per input partition. ``max_in_flight`` is the number of prompts a partition asks at a time, each by a
+    scorer of its own thread; a prompt that waits to be asked again does not hold up the others, and rows
+    come out in their order. Only the ``keep`` columns and the prompts travel to Python, in Arrow batches
     whose kept columns are passed on untouched. An item's answers stay together in its row, so neither
     the long nor the wide table needs a shuffle.
     """
+    if not rubrics:
+        raise ValueError("no rubric to ask about")
     ship_package(items.sparkSession)
     kept = list(keep)
     source = items if parallelism is None else items.repartition(parallelism)
@@ -98,18 +106,42 @@ def score_items(
         ]
     )
 
-    def answer(score: Scorer, prompt: str | None) -> tuple[str | None, str | None]:
+    def checked(prompt: str | None, response: object) -> tuple[str | None, str | None]:
         if prompt is None:
             return None, "no text"
-        response = ask(score, prompt, max_attempts, backoff, sleep)
         if isinstance(response, str):
             return response, None
         return None, f"scorer returned {type(response).__name__}, not text"
 
-    def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one_by_one(prompts: Iterable[str | None]) -> Iterator[str | None]:
         score = scorer_factory()
-        for batch in batches:
-            pairs = [[answer(score, p) for p in row] for row in batch.column("prompts").to_pylist()]
+        for p in prompts:
+            yield None if p is None else ask(score, p, max_attempts, backoff, sleep)
+
+    def several(prompts: Iterable[str | None]) -> Iterator[str | None]:
+        calls = InFlight(
+            scorer_factory, max_in_flight, max_attempts=max_attempts, backoff=backoff, sleep=sleep
+        )
+        return calls.answers(prompts)
+
+    def score_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Batches whose prompts have been handed out; reading ahead keeps calls in flight across batches.
+        waiting: deque[tuple[pa.RecordBatch, list]] = deque()
+
+        def handed_out() -> Iterator[str | None]:
+            for batch in batches:
+                rows = batch.column("prompts").to_pylist()
+                if not rows:
+                    continue
+                waiting.append((batch, rows))
+                for row in rows:
+                    yield from row
+
+        answers = (one_by_one if max_in_flight == 1 else several)(handed_out())
+        for first in answers:
+            batch, rows = waiting.popleft()
+            given = chain([first], answers)
+            pairs = [[checked(p, next(given)) for p in row] for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in kept],
