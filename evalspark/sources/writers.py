@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from evalspark.schemas import CSV_ITEM_COLUMNS
+from evalspark.schemas import CSV_ITEM_COLUMNS, ITEMS
 
 # Texts are written as they are: by default the CSV writer trims blanks.
 CSV_OPTIONS = {
@@ -29,6 +29,11 @@ def write_annotations(df: DataFrame, path: str) -> None:
     write_table(df.withColumnsRenamed({ours: c for c, ours in CSV_ITEM_COLUMNS.items()}), path, "csv")
 
 
+def write_items(df: DataFrame, path: str) -> None:
+    """Write the item columns as CSV under the headings that ``readers`` expects."""
+    write_annotations(df.select(*ITEMS.names), path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Write a result of a few rows as a single CSV file with a header."""
     write_table(df.coalesce(1), path, "csv")
