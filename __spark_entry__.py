@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.answers import DECISION_MARK, EXPLANATION_MARK, decision_name, response_field
 from evalspark.functions.bins import LENGTH_EDGES, bin_labels
+from evalspark.functions.scores import COUNTS
 from evalspark.functions.text import WHITESPACE, WORD
 from evalspark.operators import annotate as ann
 from evalspark.operators import dataset, evaluate, merge, slices, topics, transitions
@@ -90,6 +91,13 @@ def scan_items(spark, sf):
     return derived.items(spark, sf).drop("text_length")
 
 
+def scan_items_split(spark, sf):
+    """Items go through CSV files with line breaks in quoted fields, each read by many tasks."""
+    path = scratch_path(spark, "items-csv")
+    writers.write_items(derived.items(spark, sf), path)
+    return readers.read_items(spark, path, splittable=True)
+
+
 def scan_annotations(spark, sf):
     """Each model's annotations go through a CSV table and back."""
     tables = []
@@ -131,6 +139,14 @@ def annotate(spark, sf):
     return ann.annotate(derived.items(spark, sf), RUBRICS, "M", derived.length_scorer, sleep=derived.no_wait)
 
 
+def annotate_concurrent(spark, sf):
+    """Eight prompts in flight per partition."""
+    return ann.annotate(
+        derived.items(spark, sf), RUBRICS, "M", derived.length_scorer,
+        sleep=derived.no_wait, backoff=derived.at_once, max_in_flight=8,
+    )
+
+
 def annotate_incremental(spark, sf):
     """The documents arrive as a stream of files; the labels are a table."""
     stream = (
@@ -274,6 +290,16 @@ def length_cutoff_metrics(spark, sf):
     return _round(evaluate.length_cutoff_metrics(_rows(spark, sf, "text_length"), CUTOFFS))
 
 
+def length_cutoff_curve(spark, sf):
+    return _round(evaluate.length_cutoff_curve(_rows(spark, sf, "text_length")))
+
+
+def best_length_cutoff(spark, sf):
+    """The cut-off of the best F1 that keeps at least half of the labelled items."""
+    curve = evaluate.length_cutoff_curve(_rows(spark, sf, "text_length"))
+    return _round(evaluate.best_length_cutoff(curve, "f1", min_share=0.5))
+
+
 def length_bins(spark, sf):
     items = derived.texts(spark, sf).select("item_id", "text_length")
     return slices.length_bins(items)
@@ -408,11 +434,13 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {
         "scan_items": scan_items,
+        "scan_items_split": scan_items_split,
         "scan_annotations": scan_annotations,
         "limited_scan": limited_scan,
         "definition_fanout": definition_fanout,
         "build_prompt": build_prompt,
         "annotate": annotate,
+        "annotate_concurrent": annotate_concurrent,
         "annotate_incremental": annotate_incremental,
         "parse_response": parse_response,
         "response_field": response_body,
@@ -438,6 +466,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metrics_by_slice": metrics_by_slice,
         "metrics_rollup": metrics_rollup,
         "length_cutoff_metrics": length_cutoff_metrics,
+        "length_cutoff_curve": length_cutoff_curve,
+        "best_length_cutoff": best_length_cutoff,
         "length_bins": length_bins,
         "length_bins_wide": length_bins_wide,
         "fp_by_length": fp_by_length,
@@ -613,6 +643,23 @@ def _metrics(by: str, source: str = "ev") -> str:
 FROM (SELECT {by}, {_CELLS}, {_EXTRA} FROM {source} GROUP BY {by})"""
 
 
+def _curve() -> str:
+    """``curve``: counts and scores of every variant at every length as a cut-off."""
+    running = ", ".join(
+        f"CAST(sum({c}) OVER (PARTITION BY definition, model ORDER BY cutoff) AS BIGINT) AS {c}" for c in COUNTS
+    )
+    every = "sum(tp + fp + fn + tn) OVER (PARTITION BY definition, model)"
+    scored = ", ".join(f"{e} AS {n}" for n, e in _score_sql().items())
+    return f"""{_evaluation()},
+by_length AS (
+  SELECT definition, model, CAST(text_length AS BIGINT) AS cutoff, {_CELLS} FROM ev
+  WHERE truth IS NOT NULL AND pred IS NOT NULL AND text_length IS NOT NULL GROUP BY ALL),
+running AS (SELECT definition, model, cutoff, {running}, {every} AS n_all FROM by_length),
+curve AS (
+  SELECT definition, model, cutoff, tp, fp, fn, tn, {scored}, tp + fp AS predicted_positive, fp + fn AS total_errors,
+         tp + fp + fn + tn AS n_kept, (tp + fp + fn + tn) / CAST(n_all AS DOUBLE) AS share_kept FROM running)"""
+
+
 def _bins(edges: tuple[int, ...], open_ended: bool = False, length: str = "text_length") -> str:
     """SQL of the bin's index and label."""
     last = len(edges) - 2
@@ -704,6 +751,7 @@ def oracle_sql() -> dict[str, str]:
     by_variant = "definition, model"
     scored = f"scored AS ({_metrics(by_variant)})"
     exact = ", ".join(f"{e} AS {n}" for n, e in _score_sql().items())
+    rounded = ", ".join(f"round({n}, 10) AS {n}" for n in (*_score_sql(), "share_kept"))
     unrounded = (
         f"scored AS (SELECT {by_variant}, {exact} FROM "
         f"(SELECT {by_variant}, {_CELLS} FROM ev GROUP BY {by_variant}))"
@@ -786,6 +834,7 @@ SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * width, 10) AS lower,
 FROM range({HISTOGRAM_BINS}) b(bin) CROSS JOIN bounds LEFT JOIN placed p ON p.bin = b.bin"""
     own = {
         "scan_items": f"WITH {_ITEMS} SELECT * EXCLUDE (text_length) FROM items",
+        "scan_items_split": f"WITH {_ITEMS} SELECT * EXCLUDE (text_length) FROM items",
         "scan_annotations": f"""WITH {_answers()},
 tables AS ({_annotation_sql('S')} UNION ALL {_annotation_sql('L')})
 SELECT t.item_id, i.truth, i.keyword, i.text, A_Decision, A_Explanation, B_Decision, B_Explanation, model
@@ -797,6 +846,7 @@ FROM tables t JOIN items i USING (item_id)""",
         "build_prompt": f"WITH {_ITEMS}, rubrics(definition, prefix, suffix) AS (VALUES {rubric_values}) "
         "SELECT item_id, definition, prefix || text || suffix AS prompt FROM items CROSS JOIN rubrics",
         "annotate": _annotated_sql(),
+        "annotate_concurrent": _annotated_sql(),
         "annotate_incremental": _annotated_sql(),
         "parse_response": f"""WITH {_answers("'reason ' || text")}
 SELECT item_id, definition, model, ingest_seq, decision, explanation FROM predictions""",
@@ -857,6 +907,18 @@ leveled AS (
 {_metrics('definition, model, level, length_bin, keyword', 'leveled')}""",
         "length_cutoff_metrics": f"WITH {_evaluation()}, "
         f"counted AS (SELECT definition, model, {cells} FROM ev GROUP BY definition, model) {cutoffs}",
+        "length_cutoff_curve": f"WITH {_curve()} SELECT definition, model, cutoff, {rounded}, "
+        "predicted_positive, total_errors, tp, fp, fn, tn, n_kept FROM curve",
+        "best_length_cutoff": f"""WITH {_curve()},
+ranked AS (
+  SELECT definition, model, cutoff, n_kept, share_kept, f1,
+         row_number() OVER (PARTITION BY definition, model ORDER BY f1 DESC, cutoff DESC) AS place,
+         last_value(f1) OVER (PARTITION BY definition, model ORDER BY cutoff
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS original, share_kept >= 0.5 AS enough
+  FROM curve)
+SELECT definition, model, cutoff, n_kept, round(share_kept, 10) AS share_kept, round(f1, 10) AS with_cutoff,
+       round(original, 10) AS original
+FROM ranked WHERE enough QUALIFY place = min(place) OVER (PARTITION BY definition, model)""",
         "length_bins": f"WITH {_ITEMS} SELECT item_id, text_length, {_bins(LENGTH_EDGES)} FROM items",
         "length_bins_wide": f"WITH {_ITEMS} SELECT item_id, text_length, {_bins(WIDE_EDGES, True)} FROM items",
         "fp_by_length": f"WITH {_evaluation()}, binned AS (SELECT *, {_bins(LENGTH_EDGES)} FROM ev) "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.counting import count_where
@@ -164,3 +164,68 @@ def length_cutoff_metrics(
         for m in metrics
     ]
     return counted.select(*by, F.inline(F.array(*entries)))
+
+
+# Lengths that are summed as one range first.
+CUTOFF_RANGE = 1024
+
+
+def length_cutoff_curve(
+    rows: DataFrame, by: Sequence[str] = BY_VARIANT, weight: str | None = None, beta: float = 0.5
+) -> DataFrame:
+    """Every score at every cut-off that makes a difference, in one pass over the rows.
+
+    One row per group and length that occurs among the rows with a label and an answer: ``cutoff``, the counts over the
+    items no longer than that, ``n_kept`` and ``share_kept`` of them, and the scores. Rows are counted by length before the
+    shuffle. Prefix sums then run over ranges of lengths and, apart from that, within each range, so a task sees one
+    range of lengths or one row per range, however many lengths there are. Items without a length are in no row.
+    """
+    keys = list(by)
+    counted = rows.where("truth IS NOT NULL AND pred IS NOT NULL AND text_length IS NOT NULL")
+    cells = counted.groupBy(*keys, F.col("text_length").cast("long").alias("cutoff")).agg(*_cells(weight))
+    cells = cells.withColumn("range", F.floor(F.col("cutoff") / CUTOFF_RANGE))
+    ranges = cells.groupBy(*keys, "range").agg(*[F.sum(c).alias(f"{c}_range") for c in COUNTS])
+    whole = Window.partitionBy(*keys)
+    shorter = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *keys,
+        "range",
+        *[F.coalesce(F.sum(f"{c}_range").over(shorter), F.lit(0)).alias(f"{c}_before") for c in COUNTS],
+        F.sum(F.expr(" + ".join(f"{c}_range" for c in COUNTS))).over(whole).alias("n_all"),
+    )
+    within = Window.partitionBy(*keys, "range").orderBy("cutoff").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"cells.{k}").eqNullSafe(F.col(f"ranges.{k}")) for k in (*keys, "range")]
+    joined = cells.alias("cells").join(ranges.alias("ranges"), same).select(
+        "cells.*", *[f"{c}_before" for c in COUNTS], "n_all"
+    )
+    summed = joined.select(
+        *keys, "cutoff", "n_all", *[(F.sum(c).over(within) + F.col(f"{c}_before")).alias(c) for c in COUNTS]
+    )
+    kept = summed.withColumn("n_kept", F.expr(" + ".join(COUNTS)))
+    return score(kept.withColumn("share_kept", F.col("n_kept") / F.col("n_all")).drop("n_all"), beta)
+
+
+def best_length_cutoff(
+    curve: DataFrame,
+    metric: str,
+    by: Sequence[str] = BY_VARIANT,
+    lowest: bool = False,
+    min_share: float = 0.0,
+) -> DataFrame:
+    """The cut-off of each group at which ``metric`` is best, and what it gains over all items.
+
+    Of equal scores the longest cut-off wins, as it keeps most items. ``min_share`` asks for cut-offs that keep at least
+    that share of the items; ``lowest`` looks for the smallest value, as for ``fp_rate``. Undefined scores are never best. An
+    arg-max combines before the shuffle, so the number of cut-offs does not matter. Pass ``by=["definition"]`` on a curve of
+    all models to choose one cut-off per definition.
+    """
+    worth = -F.col(metric) if lowest else F.col(metric)
+    rank = F.when(
+        F.col(metric).isNotNull() & (F.col("share_kept") >= min_share), F.struct(worth.alias("worth"), "cutoff")
+    )
+    best = {c: F.max_by(c, rank).alias(c) for c in ("cutoff", "n_kept", "share_kept")}
+    return curve.groupBy(*by).agg(
+        *best.values(),
+        F.max_by(metric, rank).alias("with_cutoff"),
+        F.max_by(metric, "cutoff").alias("original"),
+    )

@@ -149,3 +149,8 @@ def length_scorer() -> Callable[[str], str]:
 
 def no_wait(seconds: float) -> None:
     """Stand-in for sleep where failures are final, so that waiting would not help."""
+
+
+def at_once(attempt: int) -> float:
+    """No back-off, for the same reason."""
+    return 0.0
