@@ -4,9 +4,10 @@ Documents are encoded once; only what is longer than a sequence is cut. Pieces t
 alone. The others are dealt evenly to blocks of about ``BLOCK_ROWS`` pieces, by their row and not by a key, so
 copies spread. A block is packed by several islands, each a Spark row: an individual is a set of
 bins, crossover injects well-filled bins of one parent into the other, drops the bins that then hold an
-item twice, and puts the displaced items back by best fit. After each epoch an island's elite moves to the
-next island of its block. The best individual of a block stands; what lies in its badly filled bins
-is packed once more across blocks, so blocks leave no remainders behind.
+item twice, and puts the displaced items back by best fit; mutation empties a few bins instead. An island evolves until it
+needs no more bins than its tokens fill, or until ``PATIENCE`` items have been packed without a better individual. After
+each epoch an island's elite moves to the next island of its block. The best individual of a block stands; what lies in its
+badly filled bins is packed once more across blocks where that saves sequences, so blocks leave no remainders behind.
 
 Defined cases: a null or empty text is the end token alone; a null id is carried; repeated rows give
 pieces each, told apart by their place only; an empty table gives an empty result; columns other than the id and the text
@@ -28,7 +29,9 @@ from evalspark.session import materialize, ship_package
 
 CAPACITY, END = 2048, 0
 BLOCK_ROWS = 4096
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 3, 6
+ISLANDS, EPOCHS, POPULATION = 2, 2, 20
+# Children without a gain after which an island stops: so many items over those of the block, and at least LEAST_CHILDREN.
+PATIENCE, LEAST_CHILDREN = 100_000, 100
 # Bins filled less than this share are opened again in the second round.
 WELL_FILLED = 0.995
 PIECE = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -82,22 +85,29 @@ def pieces(
     return documents.select("doc_id", "text").mapInArrow(make, schema)
 
 
-class _Packer:
-    """Individuals are lists of bins; a bin is a list of item numbers."""
+class _Plan:
+    """An individual: bins of item numbers and how far each is filled."""
+
+    def __init__(self, bins: list[list[int]], fills: list[int]):
+        self.bins, self.fills = bins, fills
+        # Fewer bins first, then unevenly filled ones, which leave room to close a bin.
+        self.fitness = (-len(bins), sum(f * f for f in fills))
+
 
+class _Packer:
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
         self.lengths, self.capacity = lengths.tolist(), capacity
         self.random = np.random.default_rng(seed)
 
-    def fill(self, items: list[int]) -> int:
-        return sum(map(self.lengths.__getitem__, items))
+    def plan(self, bins: list[list[int]]) -> _Plan:
+        return _Plan(bins, [sum(map(self.lengths.__getitem__, b)) for b in bins])
 
-    def best_fit(self, bins: list[list[int]], items: list[int]) -> list[list[int]]:
-        """Put items, in their order, where they leave the least room."""
+    def best_fit(self, bins: list[list[int]], fills: list[int], items: list[int]) -> _Plan:
+        """Put items, in their order, where they leave the least room; changes ``bins`` and ``fills``."""
         room: dict[int, list[int]] = {}
         mask = 0
-        for b, content in enumerate(bins):
-            gap = self.capacity - self.fill(content)
+        for b, fill in enumerate(fills):
+            gap = self.capacity - fill
             if gap:
                 room.setdefault(gap, []).append(b)
                 mask |= 1 << gap
@@ -111,55 +121,78 @@ class _Packer:
                 if not stack:
                     mask &= ~(1 << gap)
                 bins[b].append(item)
+                fills[b] += n
             else:
                 gap, b = self.capacity, len(bins)
                 bins.append([item])
+                fills.append(n)
             gap -= n
             if gap:
                 room.setdefault(gap, []).append(b)
                 mask |= 1 << gap
-        return bins
+        return _Plan(bins, fills)
 
-    def fresh(self, noise: float) -> list[list[int]]:
+    def fresh(self, noise: float) -> _Plan:
         keys = np.array(self.lengths) * (1 + noise * self.random.random(len(self.lengths)))
-        return self.best_fit([], np.argsort(-keys, kind="stable").tolist())
-
-    def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
-        """Fewer bins first, then unevenly filled ones, which leave room to close a bin."""
-        return -len(bins), sum(self.fill(b) ** 2 for b in bins)
-
-    def crossover(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-        fills = np.array([self.fill(x) for x in b])
-        well = np.nonzero(fills >= np.quantile(fills, 0.5))[0]
-        chosen = self.random.choice(well, max(1, len(well) // 8), replace=False)
-        injected = [list(b[i]) for i in chosen]
-        inside = {item for x in injected for item in x}
-        kept, displaced = injected, []
-        for content in a:
-            if inside.isdisjoint(content):
-                kept.append(list(content))
+        return self.best_fit([], [], np.argsort(-keys, kind="stable").tolist())
+
+    def _put_back(self, bins: list[list[int]], fills: list[int], items: list[int]) -> _Plan:
+        items.sort(key=lambda i: (-self.lengths[i], i))
+        return self.best_fit(bins, fills, items)
+
+    def crossover(self, a: _Plan, b: _Plan) -> _Plan:
+        half = sorted(b.fills)[len(b.fills) // 2]
+        well = [i for i, f in enumerate(b.fills) if f >= half]
+        chosen = self.random.choice(well, self.random.integers(1, max(1, len(well) // 2) + 1), replace=False).tolist()
+        bins, fills = [list(b.bins[i]) for i in chosen], [b.fills[i] for i in chosen]
+        inside = {item for x in bins for item in x}
+        displaced: list[int] = []
+        # The emptiest bin is given up too: its items may fit elsewhere.
+        worst = min(range(len(a.fills)), key=a.fills.__getitem__)
+        for i, content in enumerate(a.bins):
+            if i != worst and inside.isdisjoint(content):
+                bins.append(list(content))
+                fills.append(a.fills[i])
             else:
                 displaced.extend(item for item in content if item not in inside)
-        # The emptiest bin is given up too: its items may fit elsewhere.
-        worst = min(range(len(kept)), key=lambda i: self.fill(kept[i]))
-        displaced.extend(kept.pop(worst))
-        displaced.sort(key=lambda i: (-self.lengths[i], i))
-        return self.best_fit(kept, displaced)
+        return self._put_back(bins, fills, displaced)
+
+    def mutate(self, a: _Plan) -> _Plan:
+        gone = set(self.random.choice(len(a.bins), min(len(a.bins), 1 + self.random.integers(1, 4)), replace=False).tolist())
+        gone.add(min(range(len(a.fills)), key=a.fills.__getitem__))
+        bins = [list(x) for i, x in enumerate(a.bins) if i not in gone]
+        fills = [f for i, f in enumerate(a.fills) if i not in gone]
+        items = [item for i in gone for item in a.bins[i]]
+        # Not by length alone, or the same bins would come back.
+        order = self.random.permutation(len(items)).tolist()
+        cut = self.random.integers(len(items) + 1)
+        first = [items[i] for i in order[:cut]]
+        plan = self.best_fit(bins, fills, sorted(first, key=lambda i: -self.lengths[i]))
+        return self._put_back(plan.bins, plan.fills, [items[i] for i in order[cut:]])
 
     def evolve(self, elites: list[list[list[int]]]) -> list[list[int]]:
-        people = list(elites)
-        while len(people) < POPULATION:
-            people.append(self.fresh(0.0 if not people else 0.3))
         least = -(-sum(self.lengths) // self.capacity)
-        people.sort(key=self.fitness, reverse=True)
-        for _ in range(CHILDREN):
-            if len(people[0]) <= least:
-                break
-            i, j = self.random.choice(len(people), 2, replace=False)
-            people.append(self.crossover(people[i], people[j]))
-            people.sort(key=self.fitness, reverse=True)
-            people.pop()
-        return people[0]
+        people = [self.plan(e) for e in elites] or [self.fresh(0.0)]
+        best = max(people, key=lambda x: x.fitness)
+        if len(best.bins) <= least:
+            return best.bins
+        while len(people) < POPULATION:
+            people.append(self.fresh(0.3))
+        patience = max(LEAST_CHILDREN, PATIENCE // len(self.lengths))
+        idle = 0
+        while idle < patience:
+            # Of two drawn at random the better one is a parent.
+            drawn = self.random.choice(len(people), 4, replace=False).tolist()
+            a, b = (max((people[i] for i in pair), key=lambda x: x.fitness) for pair in (drawn[:2], drawn[2:]))
+            child = self.crossover(a, b) if self.random.random() < 0.7 else self.mutate(a)
+            best = max(people, key=lambda x: x.fitness)
+            idle = 0 if child.fitness > best.fitness else idle + 1
+            if len(child.bins) <= least:
+                return child.bins
+            worst = min(range(len(people)), key=lambda i: people[i].fitness)
+            if child.fitness > people[worst].fitness and all(child.fitness != x.fitness for x in people):
+                people[worst] = child
+        return max(people, key=lambda x: x.fitness).bins
 
 
 def _bins(code: np.ndarray) -> list[list[int]]:
@@ -249,16 +282,21 @@ def pack(
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
-    rounds = []
     items = materialize(cut.where(F.col("length") < capacity), "items")
-    for last in (False, True):
-        placed = _pack_round(items, capacity, block_rows, islands, epochs)
-        done = placed if last else placed.where(F.col("fill") >= WELL_FILLED * capacity)
+    first = _pack_round(items, capacity, block_rows, islands, epochs)
+    open_ = F.col("fill") < WELL_FILLED * capacity
+    again = _pack_round(
+        materialize(first.where(open_).select(*columns), "displaced"), capacity, block_rows, islands, epochs
+    )
+    sequences = F.count_distinct("block", "bin").alias("n")
+    # Bins are opened for a second round only where that needs fewer of them.
+    fewer = again.agg(sequences).first()["n"] < first.where(open_).agg(sequences).first()["n"]
+    packed = None
+    for placed, base in ((first.where(~open_), 0), (again, 1 << 62)) if fewer else ((first, 0),):
         # Rounds, blocks and bins have digits of their own.
-        number = F.lit(1 << 62 if last else 0) + F.col("block") * (1 << 20) + F.col("bin")
-        rounds.append(done.withColumn("sequence_id", number.cast("long")).select(*columns, "sequence_id"))
-        items = materialize(placed.where(F.col("fill") < WELL_FILLED * capacity).select(*columns), "displaced")
-    packed = rounds[0].unionByName(rounds[1])
+        number = F.lit(base) + F.col("block") * (1 << 20) + F.col("bin")
+        placed = placed.withColumn("sequence_id", number.cast("long")).select(*columns, "sequence_id")
+        packed = placed if packed is None else packed.unionByName(placed)
     # A sequence holds at most ``capacity`` pieces, so its window is small.
     offset = F.expr(
         "sum(length) OVER (PARTITION BY sequence_id ORDER BY length DESC, doc_id, piece "
