@@ -1,10 +1,10 @@
 """License scan by a positional index of rare words.
 
 Each template is a key phrase with a label. Document frequencies of all template words are counted over
-the whole table, and the two rarest words of a phrase (the first of equals) become its postings: word, phrase,
-place in the phrase. A text's words are looked up in the postings; a hit gives the place where the phrase
-would have to start, both postings must agree on that start, and the whole phrase is then compared
-there. Texts are never exploded or shuffled: the only shuffle holds one count per template word.
+the whole table, and the ``ANCHORS`` rarest words of a phrase (the first of equals) become its postings: word, phrase,
+place in the phrase. All words of a text are looked up in the postings. A hit gives the place where the phrase would have to
+start; the postings that agree on that start are intersected there, so a start is proposed once. Where all of
+them agree, the whole phrase is compared; where some do, the phrase stands altered and has a share. Texts are never exploded or shuffled: the only shuffle holds one count per template word.
 
 Defined cases: a null or empty text has no words, no labels and score 0; repeated rows each give their own
 row; an empty table gives an empty result; other columns are carried along only if asked for by ``keep``.
@@ -62,6 +62,8 @@ all rights reserved: all-rights-reserved
     False,
 )
 PHRASES = BASE_PHRASES + MORE_PHRASES
+# Rare words by which a template is looked up.
+ANCHORS = 3
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -85,7 +87,8 @@ def word_weights(words: DataFrame, phrases: Sequence[Phrase]) -> dict[str, float
     return {w: math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) + 1e-9 for w in vocabulary}
 
 
-def _rarest(phrase: Phrase, weights: dict[str, float], n: int = 2) -> list[int]:
+def _rarest(phrase: Phrase, weights: dict[str, float], n: int = ANCHORS) -> list[int]:
+    """Places of the phrase's rarest words, the rarest first; all of them in a short phrase."""
     return sorted(range(len(phrase.words)), key=lambda i: (-weights[phrase.words[i]], i))[:n]
 
 
@@ -94,21 +97,20 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per document: the places of base phrases, labels, and a score.
 
-    ``score`` is the best share, over the places that the index proposes, of a phrase's word weights that
-    stand where they should: 1 where a whole phrase stands, less for altered ones, 0 without a rare word.
+    ``score`` is the best share, over all places where one of a phrase's rare words stands as it should, of the phrase's
+    word weights that do: 1 where a whole phrase stands, less for altered ones, 0 without a rare word.
     """
     words = documents.select(*keep, words_of(F.col("text")).alias("words"))
     weights = word_weights(words, phrases)
     anchors = {p: _rarest(phrase, weights) for p, phrase in enumerate(phrases)}
-    lookup = sorted({phrases[p].words[at[0]] for p, at in anchors.items()})
+    posted = [(phrases[p].words[at], p, at) for p, places in anchors.items() for at in places]
+    lookup = sorted({word for word, *_ in posted})
     postings = F.array(*
         [
             F.struct(
-                F.lit(phrases[p].words[at[0]]).alias("word"),
-                F.lit(p).alias("phrase"),
-                F.lit(at[0]).alias("at"),
+                F.lit(word).alias("word"), F.lit(p).alias("phrase"), F.lit(at).alias("at")
             )
-            for p, at in anchors.items()
+            for word, p, at in posted
         ]
     )
     templates = F.array(*
@@ -117,7 +119,7 @@ def scan_licenses(
                 F.array(*map(F.lit, phrase.words)).alias("words"),
                 F.array(*[F.lit(weights[w]) for w in phrase.words]).alias("weights"),
                 F.lit(sum(weights[w] for w in phrase.words)).alias("whole"),
-                F.lit(anchors[p][-1]).alias("second"),
+                F.array(*map(F.lit, anchors[p])).alias("anchors"),
                 F.lit(phrase.label).alias("label"),
                 F.lit(phrase.base).alias("base"),
             )
@@ -128,11 +130,20 @@ def scan_licenses(
     def word_at(i: Column) -> Column:
         return F.when((i >= 0) & (i < F.size("words")), F.get("words", i))
 
+    def agrees(t: Column, start: Column) -> Column:
+        return F.filter(t["anchors"], lambda at: word_at(start + at) == F.get(t["words"], at))
+
     def proposals(i: Column) -> Column:
+        """Starts at which a template's rare words would stand here; each by the rarest word that does."""
         own = F.filter(postings, lambda p: p["word"] == F.get("words", i))
-        return F.transform(
-            own, lambda p: F.struct(F.get(templates, p["phrase"]).alias("t"), (i - p["at"]).alias("start"))
+        starts = F.transform(
+            own,
+            lambda p: F.struct(
+                F.get(templates, p["phrase"]).alias("t"), (i - p["at"]).alias("start"), p["at"].alias("at")
+            ),
         )
+        starts = F.transform(starts, lambda c: c.withField("agree", agrees(c["t"], c["start"])))
+        return F.filter(starts, lambda c: F.get(c["agree"], F.lit(0)) == c["at"])
 
     def share(c: Column) -> Column:
         hit = F.transform(
@@ -143,7 +154,7 @@ def scan_licenses(
 
     def stands(c: Column) -> Column:
         t, start = c["t"], c["start"]
-        agree = word_at(start + t["second"]) == F.get(t["words"], t["second"])
+        agree = F.size(c["agree"]) == F.size(t["anchors"])
         inside = (start >= 0) & (start + F.size(t["words"]) <= F.size("words"))
         # A slice has to begin inside the array even where the rest of the condition is false.
         there = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size(t["words"])) == t["words"]

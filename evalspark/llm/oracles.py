@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm.licenses import NOT_WORD, PHRASES
+from evalspark.llm.licenses import ANCHORS, NOT_WORD, PHRASES
 from evalspark.llm.quality_rules import (
     CLASSES,
     COMMON_WORDS,
@@ -41,18 +41,19 @@ spelled AS (SELECT p, label, base, unnest(ws) AS w, unnest(range(len(ws))) AS k,
 weighed AS (SELECT s.*, x, sum(x) OVER (PARTITION BY p) AS whole,
                    row_number() OVER (PARTITION BY p ORDER BY x DESC, k) AS rarity FROM spelled s JOIN weights USING (w)),
 places AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM docs),
-proposed AS (SELECT DISTINCT doc_id, p, i - k AS start FROM places JOIN (SELECT * FROM weighed WHERE rarity = 1) USING (w)),
+starts AS (SELECT DISTINCT doc_id, p, i - k AS start FROM places JOIN weighed USING (w)),
 judged AS (
   SELECT doc_id, p, start, any_value(label) AS label, bool_or(base) AS base,
          coalesce(sum(CASE WHEN l.w = g.w THEN x END), 0) / any_value(whole) AS share,
-         count(CASE WHEN l.w = g.w THEN 1 END) = any_value(n) AS stands
-  FROM proposed JOIN weighed g USING (p) LEFT JOIN places l USING (doc_id)
+         count(CASE WHEN l.w = g.w THEN 1 END) = any_value(n) AS stands,
+         count(CASE WHEN l.w = g.w AND rarity <= {ANCHORS} THEN 1 END) > 0 AS rare
+  FROM starts JOIN weighed g USING (p) LEFT JOIN places l USING (doc_id)
   WHERE l.i = start + k GROUP BY doc_id, p, start),
 found AS (
   SELECT doc_id, count(*) FILTER (stands AND base) AS n_base, min(start) FILTER (stands AND base) AS first_word,
          max(start) FILTER (stands AND base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stands AND base) AS base_labels,
-         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stands) AS labels, max(share) AS score
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stands) AS labels, max(share) FILTER (rare) AS score
   FROM judged GROUP BY doc_id)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
