@@ -15,9 +15,11 @@ from evalspark.functions.scores import COUNTS
 from evalspark.functions.text import WHITESPACE, WORD
 from evalspark.operators import annotate as ann
 from evalspark.operators import dataset, evaluate, merge, slices, topics, transitions
+from evalspark.operators.upsert import MergedAnswers
 from evalspark.schemas import Rubric, Variant
 from evalspark.session import materialize, scratch_path
 from evalspark.sources import derived, readers, writers
+from evalspark.streaming import row_ranges
 from evalspark.streaming.incremental import annotate_incrementally, read_batches
 
 VARIANTS, DEFINITIONS, MODELS = derived.VARIANTS, derived.DEFINITIONS, derived.MODELS
@@ -167,6 +169,24 @@ def annotate_incremental(spark, sf):
     return read_batches(spark, output).drop("batch_id")
 
 
+def annotate_ranges(spark, sf):
+    """Four ranges of rows, each a part under its name; then all parts as rows per definition."""
+    items = row_ranges.number_rows(derived.texts(spark, sf), scratch_path(spark, "numbered"))
+
+    def annotate_batch(batch, first):
+        return ann.annotation_table(
+            batch, RUBRICS, derived.length_scorer, keep=["item_id"], sleep=derived.no_wait
+        )
+
+    parts = row_ranges.annotate_ranges(
+        items, scratch_path(spark, "ranges"), DEFINITIONS, -(-items.count() // 4), annotate_batch
+    )
+    entries = ", ".join(
+        f"struct('{d}' AS definition, {d}_Decision AS decision, {d}_Explanation AS explanation)" for d in DEFINITIONS
+    )
+    return parts.selectExpr("item_id", f"inline(array({entries}))")
+
+
 def parse_response(spark, sf):
     parsed = derived.predictions(derived.items(spark, sf), quote_text=True)
     return parsed.select("item_id", "definition", "model", "ingest_seq", "decision", "explanation")
@@ -213,6 +233,16 @@ def merge_comparative(spark, sf):
     return merge.comparative(binary["S"], "S", {"L": binary["L"]}, DEFINITIONS)
 
 
+def merge_upsert(spark, sf):
+    """Answers come in three lots, the last ones first, and are merged into a stored table of 16 buckets."""
+    answers = materialize(_predictions(spark, sf), "answers")
+    columns = answers.select("item_id", "truth", "keyword", "text_length").schema
+    merged = MergedAnswers(spark, scratch_path(spark, "merged"), VARIANTS, 16, columns)
+    for lot in (2, 0, 1):
+        merged.upsert(answers.where(F.pmod(F.col("item_id") + F.col("ingest_seq"), F.lit(3)) == lot))
+    return merged.read()
+
+
 def text_length(spark, sf):
     return readers.with_length(derived.texts(spark, sf)).select("item_id", "text_length")
 
@@ -442,6 +472,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "annotate": annotate,
         "annotate_concurrent": annotate_concurrent,
         "annotate_incremental": annotate_incremental,
+        "annotate_ranges": annotate_ranges,
         "parse_response": parse_response,
         "response_field": response_body,
         "decision_counts": decision_counts,
@@ -449,6 +480,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "combine_models": combine_models,
         "dedup_last_wins": dedup_last_wins,
         "merge_comparative": merge_comparative,
+        "merge_upsert": merge_upsert,
         "text_length": text_length,
         "unpivot_predictions": unpivot_predictions,
         "select_models": select_models,
@@ -848,6 +880,7 @@ FROM tables t JOIN items i USING (item_id)""",
         "annotate": _annotated_sql(),
         "annotate_concurrent": _annotated_sql(),
         "annotate_incremental": _annotated_sql(),
+        "annotate_ranges": f"SELECT item_id, definition, decision, explanation FROM ({_annotated_sql()})",
         "parse_response": f"""WITH {_answers("'reason ' || text")}
 SELECT item_id, definition, model, ingest_seq, decision, explanation FROM predictions""",
         "response_field": f"""WITH {_answers("'reason ' || text")}
@@ -884,6 +917,7 @@ ANTI JOIN predictions p ON p.item_id = i.item_id AND p.definition = r.definition
         "fp_rows": f"WITH {_evaluation()} SELECT * EXCLUDE (text) FROM ev WHERE truth = 0 AND pred = 1",
         "filter_keywords": f"WITH {_evaluation()} SELECT * EXCLUDE (text, text_length) FROM ev "
         "WHERE keyword IN ({})".format(", ".join(f"'{k}'" for k in KEYWORDS)),
+        "merge_upsert": f"WITH {_evaluation()} SELECT item_id, truth, keyword, text_length, {names} FROM wide",
         "fp_flags": f"WITH {_evaluation()} SELECT item_id, truth, {names}, {flags} FROM wide",
         "fp_transitions": f"WITH {_evaluation()} {category_counts}",
         "fp_fixed_rows": review("fixed"),
