@@ -14,7 +14,8 @@ from evalspark.functions.bins import LENGTH_EDGES, bin_labels
 from evalspark.functions.scores import COUNTS
 from evalspark.functions.text import WHITESPACE, WORD
 from evalspark.operators import annotate as ann
-from evalspark.operators import dataset, evaluate, merge, slices, topics, transitions
+from evalspark.operators import dataset, evaluate, merge, sketches, slices, topics, transitions
+from evalspark.operators.range_join import range_join
 from evalspark.operators.upsert import MergedAnswers
 from evalspark.schemas import Rubric, Variant
 from evalspark.session import materialize, scratch_path
@@ -27,6 +28,7 @@ WIDE_EDGES = (0, 500, 1000, 1500, 2000, 3000, 5000, 10000, 20000)
 CUTOFFS = {"A": 3000, "B": 5000}
 KEYWORDS = ["src1-en", "src2-en", "src3-fr", "src5-en"]
 LIMIT, TOP_KEYWORDS, HISTOGRAM_BINS = 100, 15, 20
+QUANTILES = (0.0, 0.25, 0.5, 0.95, 1.0)
 RUBRICS = [
     Rubric("A", 'Definition A: rude or hurtful words.\n\nText: "', '"\n\nAnswer yes or no, then explain.'),
     Rubric("B", 'Definition B: {threats} only.\n\nText: "', '"\n\nAnswer yes or no, then explain at length.'),
@@ -377,6 +379,31 @@ def keyword_topn(spark, sf):
     return dataset.keyword_counts(derived.texts(spark, sf)).limit(TOP_KEYWORDS)
 
 
+def keyword_topn_summary(spark, sf):
+    """The same by a summary of bounded size that proposes candidates, which alone are counted."""
+    return sketches.top_values(derived.texts(spark, sf), "keyword", TOP_KEYWORDS)
+
+
+def keyword_length_quantiles(spark, sf):
+    """Quantiles per keyword from mergeable sketches of parts, checked against exact ranks."""
+    items = derived.texts(spark, sf).where("keyword IS NOT NULL").select("item_id", "keyword", "text_length")
+    parts = sketches.quantile_sketches(items.withColumn("day", F.col("item_id") % 7), ["keyword", "day"])
+    found = sketches.sketch_quantiles(sketches.merge_sketches(parts, ["keyword"]), QUANTILES)
+    errors = sketches.rank_errors(found, items, ["keyword"])
+    exact = F.when(F.col("share").isin(0.0, 1.0), F.col("quantile"))
+    return errors.select(
+        "keyword", "share", "n_items", exact.alias("extreme"), (F.col("rank_error") <= sketches.RANK_ERROR).alias("near")
+    )
+
+
+def length_bins_joined(spark, sf):
+    """Items per bin, the bins being a table: 2,500 narrow ones, and wide ones that overlap and are open above."""
+    items = derived.texts(spark, sf).select("item_id", "text_length")
+    bins = spark.range(2500).selectExpr("id * 8 AS low", "id * 8 + 8 AS high", "concat('narrow ', id) AS bin")
+    wide = spark.range(12).selectExpr("id * 500 AS low", "if(id < 11, id * 700 + 900, NULL) AS high", "concat('wide ', id) AS bin")
+    return range_join(items, bins.unionByName(wide), "text_length").groupBy("bin").agg(F.count("*").alias("n_items"))
+
+
 def keyword_positive_rate(spark, sf):
     rates = dataset.keyword_positive_rate(derived.labelled_items(spark, sf))
     return _round(rates.limit(TOP_KEYWORDS))
@@ -510,6 +537,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dataset_overview": dataset_overview,
         "keyword_counts": keyword_counts,
         "keyword_topn": keyword_topn,
+        "keyword_topn_summary": keyword_topn_summary,
+        "keyword_length_quantiles": keyword_length_quantiles,
+        "length_bins_joined": length_bins_joined,
         "keyword_positive_rate": keyword_positive_rate,
         "length_stats": length_stats,
         "length_histogram": length_histogram,
@@ -976,6 +1006,17 @@ SELECT count(*) AS n_items, count(truth) AS n_labelled, count(*) FILTER (WHERE t
         "WHERE keyword IS NOT NULL GROUP BY keyword",
         "keyword_topn": f"WITH {_ITEMS} SELECT keyword, count(*) AS n_items FROM items "
         f"WHERE keyword IS NOT NULL GROUP BY keyword ORDER BY n_items DESC, keyword LIMIT {TOP_KEYWORDS}",
+        "keyword_topn_summary": f"WITH {_ITEMS} SELECT keyword, count(*) AS n_items FROM items "
+        f"WHERE keyword IS NOT NULL GROUP BY keyword ORDER BY n_items DESC, keyword LIMIT {TOP_KEYWORDS}",
+        "keyword_length_quantiles": f"""WITH {_ITEMS}, shares(share) AS (VALUES {', '.join(f'({q}::DOUBLE)' for q in QUANTILES)})
+SELECT keyword, share, count(text_length) AS n_items,
+       CASE share WHEN 0 THEN min(text_length) WHEN 1 THEN max(text_length) END::BIGINT AS extreme, true AS near
+FROM items, shares WHERE keyword IS NOT NULL GROUP BY keyword, share""",
+        "length_bins_joined": f"""WITH {_ITEMS}, bins(low, high, bin) AS (
+  SELECT i * 8, i * 8 + 8, 'narrow ' || i FROM range(2500) t(i)
+  UNION ALL SELECT i * 500, CASE WHEN i < 11 THEN i * 700 + 900 END, 'wide ' || i FROM range(12) t(i))
+SELECT bin, count(*) AS n_items FROM items JOIN bins ON text_length > low AND (high IS NULL OR text_length <= high)
+GROUP BY bin""",
         "keyword_positive_rate": f"""WITH {_ITEMS}
 SELECT keyword, count(truth) AS n_items, round(avg(truth), 10) AS positive_rate FROM items
 WHERE keyword IS NOT NULL AND truth IS NOT NULL GROUP BY keyword HAVING count(truth) >= 10

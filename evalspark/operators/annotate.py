@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.answers import decision, explanation, prediction
 from evalspark.operators.inflight import InFlight
-from evalspark.schemas import ITEMS, Rubric
+from evalspark.schemas import DECISIONS, ITEMS, Rubric
 from evalspark.session import ship_package
 
 Scorer = Callable[[str], str]
@@ -239,3 +239,30 @@ def decision_counts(predictions: DataFrame) -> DataFrame:
         F.count_if(F.col("decision") == "Unclear").alias("n_unclear"),
         F.count_if(F.col("decision") == "Error").alias("n_error"),
     )
+
+
+def observe_decisions(table: DataFrame, definitions: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """An annotation table that counts its rows and decisions while it is written, and the observation of them.
+
+    The counts are there once the returned table has been written; nothing is read for them.
+    """
+    seen = Observation()
+    counts = [
+        F.count_if(F.col(f"{d}_Decision") == decision).alias(f"{d}|{decision}")
+        for d in definitions
+        for decision in DECISIONS
+    ]
+    return table.observe(seen, F.count(F.lit(1)).alias("n_rows"), *counts), seen
+
+
+def observed_counts(
+    spark: SparkSession, seen: Observation, definitions: Sequence[str], model: str
+) -> DataFrame:
+    """``decision_counts`` of an observed table."""
+    counts = seen.get
+    rows = [
+        (d, model, counts["n_rows"], *[counts[f"{d}|{x}"] for x in ("Yes", "No", "Unclear", "Error")])
+        for d in definitions
+    ]
+    kinds = "definition string, model string, n_answers long, n_yes long, n_no long, n_unclear long, n_error long"
+    return spark.createDataFrame(rows, kinds)

@@ -44,7 +44,7 @@ TOPICS = (
     "definition string, model string, topic int, label string, words array<string>, "
     "weights array<double>"
 )
-ASSIGNMENTS = "definition string, model string, item_id bigint, topic int"
+ASSIGNMENTS = "definition string, model string, item_id bigint, text_no bigint, text_key bigint, topic int"
 
 
 class TopicTables(NamedTuple):
@@ -65,7 +65,7 @@ def fp_tokens(
     stop_words: Sequence[str] | None = None,
     texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Words of every text that some variant flags wrongly, with one 0/1 flag per variant.
+    """Words of every text that some variant flags wrongly, with one 0/1 flag per variant and ``text_key``, its hash.
 
     A text is split once, however many variants flag it. It is a column of ``wide`` or comes from
     ``texts``, a table with one row per item.
@@ -75,7 +75,8 @@ def fp_tokens(
     flagged = fp_flags(wide, variants).where(F.greatest(*flags, F.lit(0)) == 1)
     if texts is not None:
         flagged = flagged.select("item_id", *flags).join(texts.select("item_id", "text"), "item_id")
-    return flagged.select("item_id", *flags, content_words(F.col("text"), stops).alias("words"))
+    key = F.xxhash64("text").alias("text_key")
+    return flagged.select("item_id", *flags, key, content_words(F.col("text"), stops).alias("words"))
 
 
 def by_variant(tokens: DataFrame, variants: Sequence[Variant]) -> DataFrame:
@@ -152,46 +153,63 @@ def _infer(n: np.ndarray, beta: np.ndarray, starts: np.ndarray, alpha: float) ->
     return gamma, theta[of] * beta * (n / norm)[:, None]
 
 
-def _by_text(k: int, alpha: float, assign: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by variant and text: the words' shares of the topics, or each text's topic."""
+# Counts of words in texts that a block holds, about.
+BLOCK_COUNTS = 1 << 18
+BLOCKS = "variant int, block int, codes array<int>, n array<int>, text_nos array<bigint>, starts array<int>, words array<string>"
+
+
+def _block(key: tuple, counts: pa.Table) -> pa.Table:
+    """The counts of one block in one row: its texts in a row, its different words by number."""
+    word = counts.column("word").combine_chunks().dictionary_encode()
+    word = word.chunk(0) if isinstance(word, pa.ChunkedArray) else word
+    text, codes = counts.column("text_no").to_numpy(), word.indices.to_numpy()
+    # Words by their own order, so that sums do not depend on the order of the rows.
+    order = np.argsort(np.argsort(word.dictionary.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    codes = order[codes]
+    rows = np.lexsort((codes, text))
+    text = text[rows]
+    starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    values = [
+        ([key[0].as_py()], pa.int32()),
+        ([key[1].as_py()], pa.int32()),
+        ([codes[rows]], pa.list_(pa.int32())),
+        ([counts.column("n").to_numpy()[rows]], pa.list_(pa.int32())),
+        ([text[starts]], pa.list_(pa.int64())),
+        ([starts], pa.list_(pa.int32())),
+        ([np.sort(word.dictionary.to_numpy(zero_copy_only=False))], pa.list_(pa.string())),
+    ]
+    names = ["variant", "block", "codes", "n", "text_nos", "starts", "words"]
+    return pa.table([pa.array(v, kind) for v, kind in values], names)
+
+
+def text_blocks(counts: DataFrame) -> DataFrame:
+    """Counts (``variant``, ``text_no``, ``word``, ``n``) as a stored table of blocks; the counts of a text stay together."""
+    n_blocks = max(1, -(-counts.count() // BLOCK_COUNTS))
+    block = F.pmod(F.xxhash64("text_no"), F.lit(n_blocks)).cast("int")
+    blocks = counts.withColumn("block", block).groupBy("variant", "block").applyInArrow(_block, BLOCKS)
+    return materialize(blocks, "text-blocks")
 
-    def work(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        column = lambda c: table.column(c).to_numpy()
-        text, variant = column("text_no"), column("variant")
-        starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (variant[1:] != variant[:-1])))
-        weight = np.stack([column(f"w{i}") for i in range(k)], axis=1)
-        total = np.stack([column(f"t{i}") for i in range(k)], axis=1)
+
+def _by_block(k: int, alpha: float, assign: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block and the weights of its words: the words' shares of the topics, or each text's topic."""
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        row = {c: block.column(c)[0].values.to_numpy() for c in ("codes", "n", "text_nos", "starts")}
+        place = np.argsort(asked.column("code").to_numpy())
+        columns = {c: asked.column(c).to_numpy()[place] for c in asked.column_names if c[0] in "wt" and c[1:].isdigit()}
+        weight, total = (np.stack([columns[f"{x}{i}"] for i in range(k)], axis=1) for x in "wt")
         beta = np.exp(_digamma(weight) - _digamma(total))
-        gamma, shares = _infer(column("n").astype(float), beta, starts, alpha)
+        gamma, shares = _infer(row["n"].astype(float), beta[row["codes"]], row["starts"], alpha)
+        variant = block.column("variant")[0].as_py()
         if assign:
-            values = [pa.array(variant[starts]), pa.array(text[starts]), pa.array(gamma.argmax(axis=1).astype(np.int32))]
-            return pa.RecordBatch.from_arrays(values, ["variant", "text_no", "topic"])
-        words = table.column("word").combine_chunks()
-        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        values = [pa.array(variant), words, *[pa.array(np.ascontiguousarray(shares[:, i])) for i in range(k)]]
-        return pa.RecordBatch.from_arrays(values, ["variant", "word", *[f"s{i}" for i in range(k)]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            text, variant = batch.column("text_no").to_numpy(), batch.column("variant").to_numpy()
-            # The last text may go on in the next batch.
-            cut = int(np.argmax((text == text[-1]) & (variant == variant[-1])))
-            last = held[-1].slice(held[-1].num_rows - 1) if held else None
-            ends = last is not None and (last["text_no"][0].as_py(), last["variant"][0].as_py()) != (text[0], variant[0])
-            if held and (ends or cut):
-                yield work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            elif cut:
-                yield work(pa.Table.from_batches([batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
-        if held:
-            yield work(pa.Table.from_batches(held))
+            n = len(row["text_nos"])
+            values = [pa.array(np.full(n, variant, np.int32)), pa.array(row["text_nos"])]
+            return pa.table([*values, pa.array(gamma.argmax(axis=1).astype(np.int32))], ["variant", "text_no", "topic"])
+        n = len(place)
+        sums = [np.bincount(row["codes"], shares[:, i], n) for i in range(k)]
+        words = asked.column("word").take(pa.array(place))
+        names = ["variant", "word", *[f"s{i}" for i in range(k)]]
+        return pa.table([pa.array(np.full(n, variant, np.int32)), words, *map(pa.array, sums)], names)
 
     return run
 
@@ -223,9 +241,9 @@ def fit_topics(
 ) -> TopicTables:
     """Fit one topic model per variant on all the texts it flags wrongly, by full-batch variational Bayes.
 
-    All variants are fitted in the same jobs. Term counts and topic weights are tables with a row per word,
-    joined by word in each pass; a pass reads every text, infers its topics from the weights of the pass before, and
-    the words' shares add up to the next weights. The start is a hash of word and topic. Nothing of the
+    All variants are fitted in the same jobs. Counts of words are stored once, as blocks of whole texts. In a pass each block
+    asks for the weights of its different words, infers its texts' topics from them and adds up the words' shares;
+    only weights and sums of blocks and the blocks' numbers are shuffled. The sums make the next weights. The start is a hash of word and topic. Nothing of the
     vocabulary comes to the driver. Variants with fewer than ``min_texts`` texts, or without a vocabulary,
     have no topics; a text without a word of the vocabulary goes to topic 0.
     """
@@ -246,18 +264,24 @@ def fit_topics(
     weights = counts.select("variant", "word").distinct().select("variant", "word", *[start(i).alias(c) for i, c in enumerate(names)])
     weights = materialize(weights, "topic-weights")
 
-    def sorted_by_text(weights: DataFrame) -> DataFrame:
+    blocks = text_blocks(counts)
+    # What a block asks for in each pass: its different words.
+    asked = blocks.select("variant", "block", F.posexplode("words").alias("code", "word"))
+    asked = materialize(asked, "block-words")
+    by_block = blocks.drop("words").groupBy("variant", "block")
+
+    def passed(weights: DataFrame, assign: bool, schema: str) -> DataFrame:
         totals = weights.groupBy("variant").agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(names)])
         # One row per variant is broadcast.
-        joined = counts.join(weights, ["variant", "word"]).join(F.broadcast(totals), "variant")
-        return joined.repartition("variant", "text_no").sortWithinPartitions("variant", "text_no", "word")
+        given = asked.join(weights, ["variant", "word"]).join(F.broadcast(totals), "variant")
+        return by_block.cogroup(given.groupBy("variant", "block")).applyInArrow(_by_block(k, alpha, assign), schema)
 
     shares = ", ".join(["variant int, word string", *[f"s{i} double" for i in range(k)]])
     for _ in range(max_iter):
-        found = sorted_by_text(weights).mapInArrow(_by_text(k, alpha, False), shares)
-        summed = found.groupBy("variant", "word").agg(*[(eta + F.sum(f"s{i}")).alias(c) for i, c in enumerate(names)])
+        summed = passed(weights, False, shares).groupBy("variant", "word")
+        summed = summed.agg(*[(eta + F.sum(f"s{i}")).alias(c) for i, c in enumerate(names)])
         weights = materialize(summed, "topic-weights")
-    topic_of = sorted_by_text(weights).mapInArrow(_by_text(k, alpha, True), "variant int, text_no bigint, topic int")
+    topic_of = passed(weights, True, "variant int, text_no bigint, topic int")
     fitted = [r["variant"] for r in weights.select("variant").distinct().collect()]
     entries = [
         F.struct(
@@ -271,9 +295,9 @@ def fit_topics(
     ]
     if not entries:
         return TopicTables(spark.createDataFrame([], TOPICS), spark.createDataFrame([], ASSIGNMENTS))
-    texts = tokens.select("text_no", "item_id", F.inline(F.array(*entries))).where("flag = 1")
+    texts = tokens.select("text_no", "item_id", "text_key", F.inline(F.array(*entries))).where("flag = 1")
     assigned = texts.join(topic_of, ["variant", "text_no"], "left").select(
-        "definition", "model", "item_id", F.coalesce("topic", F.lit(0)).alias("topic")
+        "definition", "model", "item_id", "text_no", "text_key", F.coalesce("topic", F.lit(0)).alias("topic")
     )
     return TopicTables(
         materialize(topic_rows(weights, variants, k, top_words), "topics"), materialize(assigned, "fp-topic-assignments")
@@ -315,18 +339,20 @@ def topic_counts(tables: TopicTables) -> DataFrame:
 
 
 def topic_examples(tables: TopicTables, items: DataFrame, n: int = 5) -> DataFrame:
-    """The texts of the first ``n`` items, by id, of every topic.
+    """The texts of the first ``n`` rows, by id, of every topic; rows that share an id or a text count each.
 
-    The ids are chosen first; at most ``n`` per topic and variant are broadcast to fetch the texts, so
-    the texts are not shuffled. An id that occurs on many rows gives one example.
+    The rows are chosen first; their ids and texts' hashes, at most ``n`` per topic and variant, are broadcast to fetch the
+    texts, so the texts are not shuffled.
     """
     topic = ["definition", "model", "topic"]
-    first = Window.partitionBy(*topic).orderBy("item_id")
+    first = Window.partitionBy(*topic).orderBy("item_id", "text_no")
     chosen = (
-        tables.assignments.select(*topic, "item_id")
-        .distinct()
+        tables.assignments.select(*topic, "item_id", "text_no", "text_key")
         .withColumn("example", F.row_number().over(first))
         .where(F.col("example") <= n)
     )
-    found = items.select("item_id", "text").join(F.broadcast(chosen), "item_id")
-    return found.groupBy(*topic, "example", "item_id").agg(F.min("text").alias("text"))
+    chosen = chosen.drop("text_no")
+    keys = chosen.select("item_id", "text_key").distinct()
+    hashed = items.select("item_id", "text", F.xxhash64("text").alias("text_key"))
+    found = hashed.join(F.broadcast(keys), ["item_id", "text_key"]).dropDuplicates(["item_id", "text_key"])
+    return chosen.join(F.broadcast(found), ["item_id", "text_key"]).select(*topic, "example", "item_id", "text")

@@ -90,8 +90,11 @@ def fp_transitions(
 def review_rows(changes: DataFrame, category: str, texts: DataFrame | None = None) -> DataFrame:
     """The items behind one category, for reading.
 
-    Where ``changes`` does not keep the text, it comes from ``texts``, a table with one row per item,
-    and is joined only after the filter.
+    Where ``changes`` does not keep the text, it comes from ``texts``, a table with one row per item, with
+    whatever other columns that has, and is joined only after the filter.
     """
     wanted = changes.where(F.col("category") == category)
-    return wanted if texts is None else wanted.join(texts.select("item_id", "text"), "item_id")
+    if texts is None:
+        return wanted
+    more = [c for c in texts.columns if c not in wanted.columns]
+    return wanted.join(texts.select("item_id", *more), "item_id")

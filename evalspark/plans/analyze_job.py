@@ -15,7 +15,13 @@ from evalspark.operators.dataset import (
     length_stats,
     run_summary,
 )
-from evalspark.operators.evaluate import classification_metrics, metric_comparison, metric_improvement
+from evalspark.operators.evaluate import (
+    best_length_cutoff,
+    classification_metrics,
+    length_cutoff_curve,
+    metric_comparison,
+    metric_improvement,
+)
 from evalspark.operators.merge import unpivot_predictions
 from evalspark.operators.profile import WEIGHT, answer_profile
 from evalspark.operators.slices import (
@@ -42,13 +48,15 @@ def analyze(
     edges: tuple[int, ...] = LENGTH_EDGES,
     topics: int | None = None,
     texts: DataFrame | None = None,
+    cutoff_metric: str = "f1",
 ) -> dict[str, DataFrame]:
     """All result tables for a comparative table, written under ``output`` and returned by name.
 
     ``wide`` has one row per item and an answer column per variant. All counts come from one pass over
     its narrow columns, the profile; only review rows and topics need the text, either a column of
     ``wide``, so that nothing is joined, or from ``texts``, a table with one row per item.
-    ``topics`` asks for that many topics per variant.
+    ``topics`` asks for that many topics per variant. Review rows keep all columns of ``wide`` and of ``texts``.
+    ``length_cutoffs`` has the cut-off of each variant at which ``cutoff_metric`` is best.
     """
     definitions = list(dict.fromkeys(v.definition for v in variants))
     profile = materialize(answer_profile(wide, variants), "profile")
@@ -72,6 +80,7 @@ def analyze(
         "dataset_overview": dataset_overview(profile, WEIGHT),
         "length_stats": length_stats(profile, WEIGHT),
         "length_histogram": length_histogram(profile, weight=WEIGHT),
+        "length_cutoffs": best_length_cutoff(length_cutoff_curve(rows, weight=WEIGHT), cutoff_metric),
     }
     tables = {
         "fp_by_keyword": highest_rate_first(by_keyword, "keyword"),
@@ -79,15 +88,13 @@ def analyze(
         "keyword_positive_rate": keyword_positive_rate(profile, weight=WEIGHT),
         "run_summary": run_summary(profile, variants, comparison, improvement, transitions, WEIGHT),
     }
-    keep = ["item_id", "truth", "keyword", "text_length"]
-    if texts is None:
-        keep.append("text")
-    changes = fp_changes(wide, definitions, small, large, keep)
+    changes = fp_changes(wide, definitions, small, large, wide.columns)
     for category in ("fixed", "introduced"):
         tables[f"fp_{category}_rows"] = review_rows(changes, category, texts)
     if topics:
         fitted = fit_topics(fp_tokens(wide, variants, texts=texts), variants, topics)
         tables["topics"] = topic_counts(fitted)
+        tables["topic_assignments"] = fitted.assignments
         tables["topic_examples"] = topic_examples(fitted, wide if texts is None else texts)
 
     for name, table in reports.items():

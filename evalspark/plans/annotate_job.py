@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.annotate import ScorerFactory, annotation_table, decision_counts
+from evalspark.operators.annotate import (
+    ScorerFactory,
+    annotation_table,
+    decision_counts,
+    observe_decisions,
+    observed_counts,
+)
 from evalspark.operators.merge import binarize, long_answers
 from evalspark.schemas import ITEMS, Rubric
 from evalspark.sources.readers import limited, read_items
@@ -39,12 +45,11 @@ def annotate_table(
     if limit and limit > 0 and options.get("parallelism") is None:
         # A limit leaves one partition, and one scorer.
         options["parallelism"] = min(limit, spark.sparkContext.defaultParallelism)
-    write_table(
-        annotation_table(items, rubrics, scorer_factory, **options), f"{output}/annotations"
-    )
-    annotations = spark.read.parquet(f"{output}/annotations")
-    _report(annotations, rubrics, model, output)
-    return annotations
+    definitions = [r.definition for r in rubrics]
+    table, seen = observe_decisions(annotation_table(items, rubrics, scorer_factory, **options), definitions)
+    write_table(table, f"{output}/annotations")
+    write_report(observed_counts(spark, seen, definitions, model), f"{output}/decision_counts")
+    return spark.read.parquet(f"{output}/annotations")
 
 
 def annotate_folder(

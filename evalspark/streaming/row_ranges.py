@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from evalspark.operators.annotate import observe_decisions
 from evalspark.schemas import DECISIONS
 from evalspark.session import ship_package
 
@@ -100,19 +101,10 @@ def range_name(first: int, last: int) -> str:
     return f"{first:012d}-{last:012d}"
 
 
-def _decided(definitions: Sequence[str]) -> list[Column]:
-    return [
-        F.count_if(F.col(f"{d}_Decision") == decision).alias(f"{d}|{decision}")
-        for d in definitions
-        for decision in DECISIONS
-    ]
-
-
 def _save(batch: DataFrame, definitions: Sequence[str], output: str, first: int, last: int) -> None:
     """Write the part, then its row of the ledger."""
     spark, name = batch.sparkSession, range_name(first, last)
-    seen = Observation()
-    observed = batch.observe(seen, F.count(F.lit(1)).alias("n_rows"), *_decided(definitions))
+    observed, seen = observe_decisions(batch, definitions)
     observed.write.mode("overwrite").parquet(f"{output}/parts/rows={name}")
     counts = seen.get
     row = [(first, last, counts["n_rows"], [(k, n) for k, n in sorted(counts.items()) if k != "n_rows"])]

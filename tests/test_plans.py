@@ -25,11 +25,15 @@ NARROW = [
     "definition_fanout",
 ]
 OPTIONAL = {n for m in entry.OPTIONAL for n in m.queries()}
+# Queries that write and read back what they are about.
+EAGER = ("annotate_ranges", "merge_upsert", "keyword_topn_summary")
 LAZY = [
     n
     for n in entry.queries()
-    if n not in ("scan_annotations", "annotate_incremental", "run_summary", *OPTIONAL) and "topic" not in n
+    if n not in ("scan_annotations", "annotate_incremental", "run_summary", *EAGER, *OPTIONAL) and "topic" not in n
 ]
+# Scorers, and the reader that cuts records.
+PYTHON = ("annotate", "annotate_concurrent", "scan_items_split")
 
 
 def _plan(spark, name):
@@ -41,7 +45,7 @@ def _plan(spark, name):
 def test_no_cross_joins_and_python_only_in_scoring(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert ("InArrow" in plan) == (name == "annotate")
+    assert ("InArrow" in plan) == (name in PYTHON)
     assert "EvalPython" not in plan and "ExternalRDD" not in plan
 
 
@@ -75,11 +79,12 @@ def test_limits_avoid_a_full_sort(spark):
 
 
 def test_topic_examples_are_chosen_before_texts_are_fetched(spark):
-    assigned = spark.range(1000).selectExpr(
-        "'A' AS definition", "'S' AS model", "id AS item_id", "int(id % 3) AS topic"
-    )
-    tables = topics.TopicTables(None, assigned)
     texts = spark.read.schema(derived.DOCUMENTS).parquet(f"{SF_DIR}/documents.parquet")
+    assigned = texts.selectExpr(
+        "'A' AS definition", "'S' AS model", "doc_id AS item_id", "doc_id AS text_no",
+        "xxhash64(text) AS text_key", "int(doc_id % 3) AS topic",
+    )
+    tables = topics.TopicTables(None, assigned)
     examples = topics.topic_examples(tables, texts.withColumnRenamed("doc_id", "item_id"))
     plan = examples._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

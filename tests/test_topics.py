@@ -98,6 +98,13 @@ def test_repeated_ids(spark):
     examples = topics.topic_examples(tables, hot)
     keys = examples.select("topic", "example").distinct().count()
     assert examples.count() == keys <= 10
+    # The first rows by id, those that share it each with their own text.
+    per_topic = {r["topic"]: r["n"] for r in tables.assignments.groupBy("topic").agg(F.count("*").alias("n")).collect()}
+    assert examples.count() == sum(min(5, n) for n in per_topic.values())
+    own = {(r["item_id"], r["text"]) for r in hot.select("item_id", "text").collect()}
+    rows = examples.collect()
+    assert {(r["item_id"], r["text"]) for r in rows} <= own
+    assert len({(r["topic"], r["text"]) for r in rows if r["item_id"] == 0}) > 1
 
 
 def _weights(spark, wide, items, partitions):
