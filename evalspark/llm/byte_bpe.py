@@ -5,9 +5,9 @@ are encoded once, whichever documents hold them. A word is an array of single by
 over it: the pair of lowest rank in the table becomes one piece, until no pair is in the table. The table is a
 literal: ranks by pair, dealt to small maps by hash, as a lookup in a Spark map reads the map from its start.
 
-A round of the fold merges all pairs of the lowest rank from left to right. One by one gives the same unless a merge
-makes a pair of lower rank than its own. ``read_table`` finds the pieces of which that is possible beside certain
-others; where such neighbours stand together, the round merges its first pair only. So that a round is one pass, pieces
+A round of the fold merges one pair wherever it stands, from left to right. One by one gives the same unless a merge
+makes a pair of lower rank than its own, or two pairs of one rank share a piece. ``pair_rules`` has patterns of the
+neighbours of which that is possible; where such stand together, the round merges its first pair only. So that a round is one pass, pieces
 are written as one character each (rank + ``FIRST``), and a merge is a replacement in a string.
 
 The words of a block, then its documents as numbers of words, pass through the tasks as rows of bounded size, so
@@ -113,32 +113,31 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
 
 
-def pair_maps(table: Table) -> Column:
-    """Rank by the two characters of a pair, as an array of maps; Spark's hash of the pair gives the map."""
+def pair_rules(table: Table) -> tuple[Column, Column]:
+    """All pairs by rank, numbered, as two literals: small maps from pair to number, and by number the rule of the pair.
+
+    A rule has ``pair`` and ``to``, its piece, as characters. Some have ``watch``, a pattern of places where the order of the
+    merges of that rank matters: ``late`` neighbours, and pieces that two pairs of one rank could claim. There
+    ``any`` is the pattern of all pairs of the rank.
+    """
     from xxhash import xxh64_intdigest
 
     maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for rank, forms in table.forms.items():
-        for a, b in forms:
-            pair = _char(a) + _char(b)
-            maps[xxh64_intdigest(pair.encode(), 42) % MAPS][pair] = rank
-    return _literal(maps, "array<map<string,int>>")
-
-
-def merge_rules(table: Table) -> Column:
-    """By rank: ``to``, the piece's character, ``pairs``, a pattern of its pairs, and ``late``, one of those to watch."""
-    rules: list[dict[str, str] | None] = [None] * (max(table.ranks.values()) + 1)
-    for rank, forms in table.forms.items():
-        pairs = "|".join(_char(a) + _char(b) for a, b in forms)
-        rules[rank] = {"to": _char(rank), "pairs": pairs}
+    rules: list[dict[str, str]] = []
+    for rank in sorted(table.forms):
+        forms = [(_char(a), _char(b)) for a, b in table.forms[rank]]
+        pairs = "|".join(a + b for a, b in forms)
+        watch = [a + b + d for a, b in forms for c, d in forms if b == c and (a, b) != (c, d)]
         if rank in table.late:
             before, behind = map(sorted, table.late[rank])
             # A piece that makes such a pair with its like may stand beside another of its pairs, about to be merged.
             like = f"|{pairs}" if rank in (*before, *behind) else ""
-            watched = [f"(?:{'|'.join(map(_char, before))}{like})(?:{pairs})"] if before else []
-            watched += [f"(?:{pairs})(?:{'|'.join(map(_char, behind))}{like})"] if behind else []
-            rules[rank]["late"] = "|".join(watched)
-    return _literal(rules, "array<struct<to:string,pairs:string,late:string>>")
+            watch += [f"(?:{'|'.join(map(_char, before))}{like})(?:{pairs})"] if before else []
+            watch += [f"(?:{pairs})(?:{'|'.join(map(_char, behind))}{like})"] if behind else []
+        for a, b in forms:
+            maps[xxh64_intdigest((a + b).encode(), 42) % MAPS][a + b] = len(rules)
+            rules.append({"pair": a + b, "to": _char(rank), **({"watch": "|".join(watch), "any": pairs} if watch else {})})
+    return _literal(maps, "array<map<string,int>>"), _literal(rules, "array<struct<pair:string,to:string,watch:string,any:string>>")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -147,38 +146,36 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _lowest(maps: Column, text: Column) -> Column:
-    """The lowest rank of any pair of neighbours, null if there is none."""
-
-    def of(pieces: Column) -> Column:
-        def rank(piece: Column, i: Column) -> Column:
-            def found(pair: Column) -> Column:
-                return F.get(maps, F.xxhash64(pair).bitwiseAND(F.lit(MAPS - 1)).cast("int"))[pair]
+    """The number of the pair of lowest rank among neighbours, null if no pair is in the table."""
 
-            return _let(F.concat(piece, F.get(pieces, i + 1)), found)
+    def number(pair: Column) -> Column:
+        return F.get(maps, F.xxhash64(pair).bitwiseAND(F.lit(MAPS - 1)).cast("int"))[pair]
 
-        return F.array_min(F.transform(pieces, rank))
+    def of(pieces: Column) -> Column:
+        # The last piece has no neighbour: its pair is null.
+        pairs = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.concat(a, b))
+        return F.array_min(F.transform(pairs, number))
 
     return _let(F.split(text, ""), of)
 
 
 def _merged(text: Column, rule: Column) -> Column:
-    all_of = F.regexp_replace(text, rule["pairs"], rule["to"])
+    """All merges of the pair, from the left, or the first one of its rank where their order matters."""
     first = F.regexp_replace(
-        text, F.concat(F.lit(r"\A(.*?)(?:"), rule["pairs"], F.lit(")")), F.concat(F.lit("$1"), rule["to"])
+        text, F.concat(F.lit(r"\A(.*?)(?:"), rule["any"], F.lit(")")), F.concat(F.lit("$1"), rule["to"])
     )
-    return F.when(rule["late"].isNull(), all_of).when(F.rlike(text, rule["late"]), first).otherwise(all_of)
+    watched = rule["watch"].isNotNull() & F.rlike(text, rule["watch"])
+    return F.when(watched, first).otherwise(F.replace(text, rule["pair"], rule["to"]))
 
 
 def encode_word(maps: Column, rules: Column, word: Column, of_bytes: tuple[str, str]) -> Column:
     """The ids of one word, given as bytes."""
 
     def state(text: Column) -> Column:
-        return F.struct(text.alias("text"), _lowest(maps, text).alias("rank"))
+        return F.struct(text.alias("text"), _lowest(maps, text).alias("next"))
 
     def step(s: Column, _: Column) -> Column:
-        return F.when(s["rank"].isNull(), s).otherwise(
-            _let(_let(F.get(rules, s["rank"]), lambda rule: _merged(s["text"], rule)), state)
-        )
+        return F.when(s["next"].isNull(), s).otherwise(_let(_merged(s["text"], F.get(rules, s["next"])), state))
 
     def ids(s: Column) -> Column:
         return F.transform(F.split(s["text"], ""), lambda x: F.ascii(x) - FIRST)
@@ -191,7 +188,8 @@ def encode_word(maps: Column, rules: Column, word: Column, of_bytes: tuple[str,
 def encode_words(words: Column, table: Table) -> Column:
     """``words`` (array<binary>, none of them empty) as an array of arrays of ids."""
     of_bytes = ("".join(map(chr, range(256))), "".join(_char(table.ranks[bytes([b])]) for b in range(256)))
-    literals = F.struct(pair_maps(table).alias("maps"), merge_rules(table).alias("rules"))
+    maps, rules = pair_rules(table)
+    literals = F.struct(maps.alias("maps"), rules.alias("rules"))
     return _let(
         literals, lambda x: F.transform(words, lambda w: encode_word(x["maps"], x["rules"], w, of_bytes))
     )
@@ -353,13 +351,13 @@ def encode(
 def decode(ids: Column, vocabulary: tuple[str, str] | None = None) -> Column:
     """The bytes that an array of ids stands for."""
     ranks = read_table((vocabulary or default_vocabulary())[0]).ranks
-    pieces = [""] * (max(ranks.values()) + 1)
+    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
     unknown = F.raise_error(F.lit("an id that the rank table does not have"))
 
     def spelled(table: Column) -> Column:
-        return F.transform(ids, lambda i: F.coalesce(F.nullif(F.get(table, i), F.lit("")), unknown))
+        return F.transform(ids, lambda i: F.coalesce(F.get(table, i), unknown))
 
     # A concatenation of the pieces' digits, as array_join takes one pass where folding bytes copies them each time.
     return F.unhex(F.array_join(_let(_literal(pieces, "array<string>"), spelled), ""))
