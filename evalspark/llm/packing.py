@@ -31,7 +31,7 @@ CAPACITY, END = 2048, 0
 BLOCK_ROWS = 4096
 ISLANDS, EPOCHS, POPULATION = 2, 2, 20
 # Children without a gain after which an island stops: so many items over those of the block, and at least LEAST_CHILDREN.
-PATIENCE, LEAST_CHILDREN = 100_000, 100
+PATIENCE, LEAST_CHILDREN = 40_000, 40
 # Bins filled less than this share are opened again in the second round.
 WELL_FILLED = 0.995
 PIECE = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -249,7 +249,8 @@ def _pack_round(items: DataFrame, capacity: int, block_rows: int, islands: int,
         "block", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), lengths.alias("lengths")
     ).withColumn("elites", F.expr("cast(array() AS array<array<int>>)"))
     for epoch in range(epochs):
-        state = state.repartition("block", "island")
+        # A number of partitions that adaptive execution does not lower: rows are few, their work is not.
+        state = state.repartition(min(islands * n_blocks, 4096), "block", "island")
         elites = materialize(state.mapInArrow(_island(capacity, epoch), ISLAND), "islands")
         moved = elites.withColumn("island", (F.col("island") + 1) % islands)
         # At most two rows meet: an island's own elite and its neighbour's.
