@@ -417,15 +417,31 @@ def length_histogram(spark, sf):
     return _round(dataset.length_histogram(derived.texts(spark, sf), HISTOGRAM_BINS))
 
 
-def run_summary(spark, sf):
+def _summary(spark, sf):
     scored = materialize(_scored(spark, sf), "scored")
-    summary = dataset.run_summary(
+    return dataset.run_summary(
         derived.items(spark, sf),
         VARIANTS,
         evaluate.metric_comparison(scored, VARIANTS),
         evaluate.metric_improvement(scored, DEFINITIONS, "S", "L"),
         transitions.fp_transitions(_wide(spark, sf), DEFINITIONS, "S", "L"),
     )
+
+
+def run_summary_tables(spark, sf):
+    """Every value of the three tables that the summary nests."""
+    summary = materialize(_summary(spark, sf), "summary")
+    names = [v.name for v in VARIANTS]
+    tables = []
+    for section, columns in (("comparison", names), ("improvement", DEFINITIONS), ("fp_changes", DEFINITIONS)):
+        cells = F.array(*[F.struct(F.lit(c).alias("variant"), F.col("v")[c].cast("double").alias("value")) for c in columns])
+        rows = summary.select(F.explode(section).alias("entry", "v"))
+        tables.append(rows.select(F.lit(section).alias("section"), "entry", F.inline(cells)))
+    return _round(tables[0].unionByName(tables[1]).unionByName(tables[2]))
+
+
+def run_summary(spark, sf):
+    summary = _summary(spark, sf)
     return _round(
         summary.select(
             "n_items",
@@ -544,6 +560,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "length_stats": length_stats,
         "length_histogram": length_histogram,
         "run_summary": run_summary,
+        "run_summary_tables": run_summary_tables,
         "fp_tokens": fp_tokens,
         "fp_vocabulary": fp_vocabulary,
         "fp_topics": fp_topics,
@@ -1040,4 +1057,14 @@ SELECT (SELECT count(*) FROM items) AS n_items, (SELECT count(*) FROM items WHER
         "array_to_string(words, ' ') AS words FROM tokens",
         "fp_vocabulary": f"WITH {_token_sql()} {vocabulary}",
     }
+    sections = [
+        ("comparison", "metric_comparison", "metric", [v.name for v in VARIANTS]),
+        ("improvement", "metric_improvement", "metric", DEFINITIONS),
+        ("fp_changes", "fp_transitions", "category", DEFINITIONS),
+    ]
+    own["run_summary_tables"] = "WITH " + ", ".join(f"{n} AS ({own[query]})" for n, query, *_ in sections) + " UNION ALL ".join(
+        f" SELECT '{n}' AS section, {key} AS entry, '{c}' AS variant, CAST({c} AS DOUBLE) AS value FROM {n}"
+        for n, _, key, columns in sections
+        for c in columns
+    )
     return {**own, **{k: sql for m in OPTIONAL for k, sql in m.oracle_sql().items()}}

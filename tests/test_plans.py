@@ -26,7 +26,7 @@ NARROW = [
 ]
 OPTIONAL = {n for m in entry.OPTIONAL for n in m.queries()}
 # Queries that write and read back what they are about.
-EAGER = ("annotate_ranges", "merge_upsert", "keyword_topn_summary")
+EAGER = ("run_summary_tables", "annotate_ranges", "merge_upsert", "keyword_topn_summary")
 LAZY = [
     n
     for n in entry.queries()
