@@ -1,17 +1,19 @@
 """Encoding and decoding with a byte-level BPE rank table, by Spark's higher-order functions.
 
 Texts are cut into words by the vocabulary's pattern, and the different words of every block of about ``BLOCK_BYTES``
-are encoded once, whichever documents hold them. A word is an array of single bytes, and ``aggregate`` folds the merges
-over it: the pair of lowest rank in the table becomes one piece, until no pair is in the table. The table is a
-literal: ranks by pair, dealt to small maps by hash, as a lookup in a Spark map reads the map from its start.
+are encoded once, whichever documents hold them. Words that are frequent in a sample can be encoded once for all blocks and
+broadcast (``known``); which words these are changes no result. A word is an array of single bytes, and ``aggregate`` folds the merges
+over it: the pair of lowest rank in the table becomes one piece, until no pair is in the table. The rank map is a
+literal: a lookup in a Spark map reads the map from its start, so the pairs lie in arrays, as rows of a sparse table pushed
+into each other, and a lookup is three reads by position.
 
 A round of the fold merges one pair wherever it stands, from left to right. One by one gives the same unless a merge
-makes a pair of lower rank than its own, or two pairs of one rank share a piece. ``pair_rules`` has patterns of the
+makes a pair of lower rank than its own, or two pairs of one rank share a piece. ``pair_literals`` has patterns of the
 neighbours of which that is possible; where such stand together, the round merges its first pair only. So that a round is one pass, pieces
 are written as one character each (rank + ``FIRST``), and a merge is a replacement in a string.
 
 The words of a block, then its documents as numbers of words, pass through the tasks as rows of bounded size, so
-there is no shuffle, nothing is held but one block's words, and a lost task is repeated from its input. Rows carry
+texts are not shuffled, nothing is held but one block's words, and a lost task is repeated from its input. Rows carry
 their place in the task's sequence, which the last step checks. Work grows with the text; for one word, with its
 length times its rounds, which are few for repeated characters and at most its length.
 
@@ -26,12 +28,14 @@ from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,6 @@ from evalspark.session import ship_package
 BLOCK_BYTES = 16 << 20
 # Rows between the steps: words in one, and words of a document in one.
 WORDS_A_ROW, CODES_A_ROW = 256, 2048
-# Small maps that the pairs are dealt to, a power of two; there are about as many pairs.
-MAPS = 1 << 17
 # The character of rank 0: no character from here on means anything in a pattern.
 FIRST = 0x10000
 OUTPUT_IDS = 1 << 20
@@ -108,22 +110,55 @@ def _char(rank: int) -> str:
     return chr(FIRST + rank)
 
 
-def _literal(value: object, kind: str) -> Column:
+def _json(value: object) -> str:
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def _literal(text: str, kind: str) -> Column:
     """A large constant, which the optimizer evaluates once."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
+    return F.from_json(F.lit(text), kind)
+
+
+def _placed(rows: dict[int, list[int]]) -> tuple[dict[int, int], np.ndarray]:
+    """A start for each row of a sparse table so that no two entries, at start + column, share a place; and the owners."""
+    taken, starts = 0, {}
+    for row, columns in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        # A bit for each start that would put some column on a taken place; the lowest start without it.
+        barred, own = 0, 0
+        for c in columns:
+            barred |= taken >> c
+            own |= 1 << c
+        starts[row] = (~barred & (barred + 1)).bit_length() - 1
+        taken |= own << starts[row]
+    owners = np.full(taken.bit_length(), -1, np.int64)
+    for row, columns in rows.items():
+        owners[starts[row] + np.array(columns)] = row
+    return starts, owners
+
+
+LITERALS = {
+    "starts": "array<int>",
+    "owners": "array<int>",
+    "numbers": "array<int>",
+    "rules": "array<struct<pair:string,to:string,watch:string,any:string>>",
+}
+
 
+@lru_cache(4)
+def pair_literals(path: str) -> dict[str, str]:
+    """All pairs by rank, numbered, as the JSON of literals of the types in ``LITERALS``.
 
-def pair_rules(table: Table) -> tuple[Column, Column]:
-    """All pairs by rank, numbered, as two literals: small maps from pair to number, and by number the rule of the pair.
+    They are a map from pair to number, and by number the rule of the pair.
 
+    The map is a sparse table with a row per second piece: ``starts`` by that piece, ``owners`` and ``numbers`` by place.
     A rule has ``pair`` and ``to``, its piece, as characters. Some have ``watch``, a pattern of places where the order of the
     merges of that rank matters: ``late`` neighbours, and pieces that two pairs of one rank could claim. There
     ``any`` is the pattern of all pairs of the rank.
     """
-    from xxhash import xxh64_intdigest
-
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+    table = read_table(path)
+    rows: dict[int, list[int]] = {}
     rules: list[dict[str, str]] = []
+    entries: list[tuple[int, int]] = []
     for rank in sorted(table.forms):
         forms = [(_char(a), _char(b)) for a, b in table.forms[rank]]
         pairs = "|".join(a + b for a, b in forms)
@@ -134,10 +169,17 @@ def pair_rules(table: Table) -> tuple[Column, Column]:
             like = f"|{pairs}" if rank in (*before, *behind) else ""
             watch += [f"(?:{'|'.join(map(_char, before))}{like})(?:{pairs})"] if before else []
             watch += [f"(?:{pairs})(?:{'|'.join(map(_char, behind))}{like})"] if behind else []
-        for a, b in forms:
-            maps[xxh64_intdigest((a + b).encode(), 42) % MAPS][a + b] = len(rules)
+        for (a, b), (first, second) in zip(forms, table.forms[rank]):
+            rows.setdefault(second, []).append(first)
+            entries.append((first, second))
             rules.append({"pair": a + b, "to": _char(rank), **({"watch": "|".join(watch), "any": pairs} if watch else {})})
-    return _literal(maps, "array<map<string,int>>"), _literal(rules, "array<struct<pair:string,to:string,watch:string,any:string>>")
+    starts, owners = _placed(rows)
+    numbers = [-1] * len(owners)
+    for number, (first, second) in enumerate(entries):
+        numbers[starts[second] + first] = number
+    by_piece = [starts.get(r) for r in range(max(table.ranks.values()) + 1)]
+    values = {"starts": by_piece, "owners": owners.tolist(), "numbers": numbers, "rules": rules}
+    return {name: _json(value) for name, value in values.items()}
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -145,18 +187,22 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _lowest(maps: Column, text: Column) -> Column:
+def _codes(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda x: F.ascii(x) - FIRST)
+
+
+def _lowest(known: Column, text: Column) -> Column:
     """The number of the pair of lowest rank among neighbours, null if no pair is in the table."""
 
-    def number(pair: Column) -> Column:
-        return F.get(maps, F.xxhash64(pair).bitwiseAND(F.lit(MAPS - 1)).cast("int"))[pair]
+    def number(first: Column, second: Column) -> Column:
+        # The last piece has no neighbour: null.
+        place = F.get(known["starts"], second) + first
+        return F.when(F.get(known["owners"], place) == second, F.get(known["numbers"], place))
 
-    def of(pieces: Column) -> Column:
-        # The last piece has no neighbour: its pair is null.
-        pairs = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.concat(a, b))
-        return F.array_min(F.transform(pairs, number))
+    def of(codes: Column) -> Column:
+        return F.array_min(F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), number))
 
-    return _let(F.split(text, ""), of)
+    return _let(_codes(text), of)
 
 
 def _merged(text: Column, rule: Column) -> Column:
@@ -168,53 +214,89 @@ def _merged(text: Column, rule: Column) -> Column:
     return F.when(watched, first).otherwise(F.replace(text, rule["pair"], rule["to"]))
 
 
-def encode_word(maps: Column, rules: Column, word: Column, of_bytes: tuple[str, str]) -> Column:
-    """The ids of one word, given as bytes."""
+def encode_word(known: Column, word: Column, of_bytes: tuple[str, str]) -> Column:
+    """The ids of one word, given as bytes, by the literals of ``pair_literals`` in one struct."""
 
     def state(text: Column) -> Column:
-        return F.struct(text.alias("text"), _lowest(maps, text).alias("next"))
+        return F.struct(text.alias("text"), _lowest(known, text).alias("next"))
 
     def step(s: Column, _: Column) -> Column:
-        return F.when(s["next"].isNull(), s).otherwise(_let(_merged(s["text"], F.get(rules, s["next"])), state))
-
-    def ids(s: Column) -> Column:
-        return F.transform(F.split(s["text"], ""), lambda x: F.ascii(x) - FIRST)
+        merged = _merged(s["text"], F.get(known["rules"], s["next"]))
+        return F.when(s["next"].isNull(), s).otherwise(_let(merged, state))
 
     spelled = F.translate(F.decode(word, "ISO-8859-1"), *of_bytes)
     rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    return F.aggregate(rounds, _let(spelled, state), step, ids)
+    return F.aggregate(rounds, _let(spelled, state), step, lambda s: _codes(s["text"]))
 
 
-def encode_words(words: Column, table: Table) -> Column:
-    """``words`` (array<binary>, none of them empty) as an array of arrays of ids."""
-    of_bytes = ("".join(map(chr, range(256))), "".join(_char(table.ranks[bytes([b])]) for b in range(256)))
-    maps, rules = pair_rules(table)
-    literals = F.struct(maps.alias("maps"), rules.alias("rules"))
-    return _let(
-        literals, lambda x: F.transform(words, lambda w: encode_word(x["maps"], x["rules"], w, of_bytes))
-    )
+def encode_words(words: Column, path: str) -> Column:
+    """``words`` (array<binary>, none of them empty) as an array of arrays of ids, by the rank file ``path``."""
+    ranks = read_table(path).ranks
+    of_bytes = ("".join(map(chr, range(256))), "".join(_char(ranks[bytes([b])]) for b in range(256)))
+    literals = F.struct(*[_literal(pair_literals(path)[name], kind).alias(name) for name, kind in LITERALS.items()])
+    return _let(literals, lambda known: F.transform(words, lambda w: encode_word(known, w, of_bytes)))
+
+
+def _counted(pattern: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        cut = regex.compile(pattern).findall
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch.column("text"):
+                counts.update(cut(text.as_py() or ""))
+            words = [w.encode() for w in counts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
+            )
+
+    return run
+
+
+def known_words(documents: DataFrame, path: str, pattern: str, rows: int, words: int) -> list[tuple[str, bytes]]:
+    """Up to ``words`` words that are frequent in about ``rows`` texts, with their ids as little-endian 32-bit bytes."""
+    n = documents.count() if rows and words else 0
+    if not n:
+        return []
+    sample = documents.select("text").sample(min(1.0, rows / n), seed=1)
+    counted = sample.mapInArrow(_counted(pattern), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(words)
+    # A number of rows that is bounded, dealt to tasks again.
+    spread = top.select(F.array("word").alias("words")).repartition(32, "words")
+    coded = spread.select(F.get("words", F.lit(0)).alias("word"), F.get(encode_words(F.col("words"), path), F.lit(0)).alias("ids"))
+    return [(bytes(w).decode(), np.array(ids, "<i4").tobytes()) for w, ids in coded.collect()]
 
 
 class _Numbers(dict):
-    """A number for each different word, in the order of first use."""
+    """A number for each different word: that of a known one, or the next one, in the order of first use, as ``own``."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known, self.own = known, []
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
+        n = self.known.get(word)
+        if n is None:
+            n = len(self.known) + len(self.own)
+            self.own.append(word)
+        self[word] = n
         return n
 
 
 _LINKS = "words array<binary>, codes binary, place bigint, kind string"
 
 
-def _split(names: list[str], pattern: str, block_bytes: int) -> Callable:
-    """Rows of a block: its different words, then its documents as numbers of words, in pieces of bounded size."""
+def _split(names: list[str], pattern: str, block_bytes: int, known: Broadcast) -> Callable:
+    """Rows of a block: its words that are not known, then its documents as numbers of words, in pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         cut = regex.compile(pattern).findall
         place = 0
-        of, codes, held, slices = _Numbers(), [], 0, []
+        numbers = {w: i for i, (w, _) in enumerate(known.value)}
+        of, codes, held, slices = _Numbers(numbers), [], 0, []
 
         def rows(kept: list[pa.Array], words: pa.Array, coded: pa.Array, kinds: list[str]) -> pa.RecordBatch:
             nonlocal place
@@ -227,7 +309,7 @@ def _split(names: list[str], pattern: str, block_bytes: int) -> Callable:
 
         def block() -> Iterator[pa.RecordBatch]:
             kept = pa.Table.from_batches(slices).select(names)
-            spelled = [w.encode() for w in of]
+            spelled = [w.encode() for w in of.own]
             at = [*range(0, len(spelled), WORDS_A_ROW)] or [0]
             for some in (at[i : i + 64] for i in range(0, len(at), 64)):
                 words = pa.array([spelled[i : i + WORDS_A_ROW] for i in some], pa.list_(pa.binary()))
@@ -264,7 +346,7 @@ def _split(names: list[str], pattern: str, block_bytes: int) -> Callable:
                 if held >= block_bytes:
                     slices.append(batch.slice(start, i + 1 - start))
                     yield from block()
-                    start, of, codes, held, slices = i + 1, _Numbers(), [], 0, []
+                    start, of, codes, held, slices = i + 1, _Numbers(numbers), [], 0, []
             if start < len(texts):
                 slices.append(batch.slice(start))
         if codes:
@@ -273,10 +355,11 @@ def _split(names: list[str], pattern: str, block_bytes: int) -> Callable:
     return run
 
 
-def _join(names: list[str]) -> Callable:
+def _join(names: list[str], known: Broadcast) -> Callable:
     """The rows of ``_split``, with ``ids`` of their words, to one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_ids = [ids for _, ids in known.value]
         ids_of: list[bytes] = []
         parts: list[bytes] = []
         expected = 0
@@ -300,7 +383,7 @@ def _join(names: list[str]) -> Callable:
             for r, kind in enumerate(kinds):
                 if kind in ("first", "words"):
                     if kind == "first":
-                        ids_of = []
+                        ids_of = list(first_ids)
                     words = ids[r].values
                     flat = words.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
                     ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)) * 4
@@ -330,8 +413,14 @@ def encode(
     keep: tuple[str, ...] = ("doc_id",),
     vocabulary: tuple[str, str] | None = None,
     block_bytes: int = BLOCK_BYTES,
+    known: tuple[int, int] = (0, 0),
 ) -> DataFrame:
-    """The columns ``keep`` and ``ids`` (array<int>), the encoding of ``text``, one row per document."""
+    """The columns ``keep`` and ``ids`` (array<int>), the encoding of ``text``, one row per document.
+
+    ``known`` is the number of texts that are sampled for frequent words and the most words encoded ahead, as (20_000, 1 << 17); it
+    bounds what is broadcast and changes no result. It saves work on the executors and costs the driver a second plan with
+    the literals, some 100 MB, so by default none are.
+    """
     if "ids" in keep:
         raise ValueError("ids is the name of the result")
     ship_package(documents.sparkSession)
@@ -341,10 +430,11 @@ def encode(
     kinds = dict(documents.dtypes)
     own = [f"{n} {kinds[c]}" for n, c in zip(names, keep)]
     texts = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)], "text")
-    rows = texts.mapInArrow(_split(names, pattern, block_bytes), ", ".join([*own, _LINKS]))
-    ids = encode_words(F.col("words"), read_table(path))
+    ahead = documents.sparkSession.sparkContext.broadcast(known_words(documents, path, pattern, *known))
+    rows = texts.mapInArrow(_split(names, pattern, block_bytes, ahead), ", ".join([*own, _LINKS]))
+    ids = encode_words(F.col("words"), path)
     folded = rows.select(*names, "codes", "place", "kind", ids.alias("ids"))
-    coded = folded.mapInArrow(_join(names), ", ".join([*own, "ids array<int>"]))
+    coded = folded.mapInArrow(_join(names, ahead), ", ".join([*own, "ids array<int>"]))
     return coded.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "ids")
 
 
@@ -360,4 +450,4 @@ def decode(ids: Column, vocabulary: tuple[str, str] | None = None) -> Column:
         return F.transform(ids, lambda i: F.coalesce(F.get(table, i), unknown))
 
     # A concatenation of the pieces' digits, as array_join takes one pass where folding bytes copies them each time.
-    return F.unhex(F.array_join(_let(_literal(pieces, "array<string>"), spelled), ""))
+    return F.unhex(F.array_join(_let(_literal(_json(pieces), "array<string>"), spelled), ""))

@@ -125,9 +125,9 @@ def test_bpe(spark, name):
     ranks = bb.read_table(vocabulary[0]).ranks
     library = tiktoken.Encoding("t", pat_str=vocabulary[1], mergeable_ranks=ranks, special_tokens={})
     data = rows() + [(1000 + i, t, "en", "s", 1, "r", 1, "l") for i, t in enumerate(odd_texts())]
-    # Several blocks in a task; kept columns with the names of inner ones.
+    # Several blocks in a task; some words known ahead, most not; kept columns with the names of inner ones.
     df = table(spark, data=data).withColumnsRenamed({"row": "words", "at": "place", "lines": "codes"})
-    coded = bb.encode(df, ("doc_id", "text", "words", "place", "codes"), vocabulary, block_bytes=9000)
+    coded = bb.encode(df, ("doc_id", "text", "words", "place", "codes"), vocabulary, 9000, (30, 50))
     got = coded.withColumn("decoded", bb.decode(F.col("ids"), vocabulary)).collect()
     key = lambda x: (str(x["doc_id"]), x["text"] or "")
     assert sorted(map(key, got)) == sorted((str(x[0]), x[1] or "") for x in data)
@@ -152,7 +152,7 @@ def test_bpe_late_merges(spark, tmp_path):
     words = ["".join(r.choices("abc", k=n)).encode() for n in range(1, 40) for _ in range(6)]
     words += ["".join(r.choices(" th", k=n)).encode() for n in range(1, 30) for _ in range(6)]
     df = spark.createDataFrame([(w, [w, w]) for w in words], "word binary, words array<binary>").coalesce(2)
-    got = df.select("word", bb.encode_words(F.col("words"), bb.read_table(str(path))).alias("ids")).collect()
+    got = df.select("word", bb.encode_words(F.col("words"), str(path)).alias("ids")).collect()
     for x in got:
         assert x["ids"] == [bb.merge(ranks, bytes(x["word"]))] * 2, x["word"]
 
