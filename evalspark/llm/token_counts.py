@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.tokens import with_token_counts
+from evalspark.session import materialize
 
 RANGE = 1024
 
@@ -97,4 +98,5 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
 
 
 def token_counts(documents: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    return suffix_sums(length_histogram(documents, vocabulary))
+    # Stored, as the sums read the histogram twice and its texts should be encoded once.
+    return suffix_sums(materialize(length_histogram(documents, vocabulary), "histogram"))
