@@ -155,9 +155,9 @@ def annotate_incremental(spark, sf):
     """The documents arrive as a stream of files; the labels are a table."""
     stream = (
         spark.readStream.schema(derived.DOCUMENTS)
-        .option("pathGlobFilter", "documents.parquet")
         .option("maxFilesPerTrigger", 100)
-        .parquet(sf)
+        # As a pattern, for which the table may be one file or a folder of files.
+        .parquet(f"{sf}/[d]ocuments.parquet")
     )
     items = derived.items_of(stream, derived.labels(spark, sf))
     output, checkpoint = scratch_path(spark, "incremental"), scratch_path(spark, "progress")

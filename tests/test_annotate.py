@@ -1,6 +1,7 @@
 import pytest
 from helpers import by
 
+import __spark_entry__ as entry
 from evalspark.operators.annotate import (
     annotate,
     annotation_table,
@@ -11,6 +12,7 @@ from evalspark.operators.annotate import (
     linear_backoff,
 )
 from evalspark.schemas import Rubric
+from evalspark.sources import derived
 from evalspark.streaming.incremental import annotate_incrementally, read_batches
 
 RUBRICS = [Rubric("A", "<", ">"), Rubric("B", "[{x} ", "]")]
@@ -127,3 +129,20 @@ def test_incremental_equals_batch_and_resumes(spark, tmp_path):
     expected = sorted(map(tuple, batch.select(columns).collect()))
     assert sorted(map(tuple, again.select(columns).collect())) == expected
     assert len(expected) == 16
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_documents_stream_as_a_file_or_a_folder(spark, tmp_path, files):
+    """0 files: the table is a single file, not a folder."""
+    rows = [(i, f"text {i}", "en", "src1", 6) for i in range(12)]
+    docs = spark.createDataFrame(rows, derived.DOCUMENTS).repartition(files or 1)
+    docs.write.parquet(str(tmp_path / ("documents.parquet" if files else "rows")))
+    if not files:
+        (part,) = (tmp_path / "rows").glob("part-*.parquet")
+        (tmp_path / "documents.parquet").write_bytes(part.read_bytes())
+    spark.createDataFrame([(3, 1, 0)], derived.LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    found = entry.annotate_incremental(spark, str(tmp_path))
+    batch = entry.annotate(spark, str(tmp_path))
+    columns = ["item_id", "definition", "raw_response", "truth", "decision"]
+    assert found.count() == 24
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, batch.select(columns).collect()))
