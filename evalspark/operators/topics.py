@@ -122,94 +122,325 @@ def vocabulary(
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
-    """By recurrence up to 8, then the asymptotic series."""
-    x, shift = x.copy(), np.zeros_like(x)
-    while (low := x < 8).any():
-        shift[low] -= 1 / x[low]
-        x[low] += 1
+    """Eight steps of the recurrence, then the asymptotic series."""
+    shift = sum(1 / (x + j) for j in range(8))
+    x = x + 8
     y = 1 / (x * x)
-    return shift + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - shift
+
+
+# Counts of words in texts that are inferred together, about: their arrays stay in a processor's cache. After so many
+# rounds the texts that have not settled are brought together anew.
+TOGETHER, ROUNDS = 1 << 15, (8, 12, 20, 60)
 
 
 def _infer(n: np.ndarray, beta: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Topic weights of texts, and of each of their words, for texts whose words begin at ``starts``.
+    """A row of topic weights per text, and a row per topic of the shares of each word, for texts whose words begin at ``starts``.
 
-    Each text goes on until its own weights settle, so the texts beside it do not matter.
+    Each text goes on until its own weights settle, so the texts beside it do not matter; settled ones are left out.
+    Texts of similar size are taken together, filled up with words of weight 0.
     """
-    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
-    gamma = np.ones((len(starts), beta.shape[1]))
-    active = np.ones(len(starts), bool)
-    for _ in range(100):
-        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(axis=1))[:, None])
-        norm = np.einsum("ij,ij->i", theta[of], beta) + 1e-100
-        new = alpha + theta * np.add.reduceat(beta * (n / norm)[:, None], starts, axis=0)
+    sizes = np.diff(np.append(starts, len(n)))
+    gamma = np.ones((len(starts), len(beta)))
+    filled_n, filled_beta = np.append(n, 0.0), np.hstack([beta, np.zeros((len(beta), 1))])
+    left = np.argsort(sizes, kind="stable")
+    for rounds in ROUNDS:
+        going = [left[:0]]
+        for own in _together(left, sizes):
+            place = np.arange(sizes[own[-1]])
+            at = np.where(place < sizes[own, None], starts[own, None] + place, len(n))
+            own_beta = np.ascontiguousarray(filled_beta[:, at].transpose(1, 0, 2))
+            gamma[own], on = _settle(filled_n[at], own_beta, gamma[own], alpha, rounds)
+            going.append(own[on])
+        left = np.concatenate(going)
+        if not len(left):
+            break
+    shares = np.repeat(_theta(gamma).T, sizes, axis=1)
+    shares *= beta
+    shares *= n / (shares.sum(axis=0) + 1e-100)
+    return gamma, shares
+
+
+def _together(texts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Groups of ``texts``, which come by size, of about ``TOGETHER`` words each."""
+    first = 0
+    while first < len(texts):
+        last = first + 1
+        while last < len(texts) and (last + 1 - first) * sizes[texts[last]] <= TOGETHER:
+            last += 1
+        yield texts[first:last]
+        first = last
+
+
+def _theta(gamma: np.ndarray) -> np.ndarray:
+    logs = _digamma(np.hstack([gamma, gamma.sum(axis=1)[:, None]]))
+    return np.exp(logs[:, :-1] - logs[:, -1:])
+
+
+def _settle(n: np.ndarray, beta: np.ndarray, gamma: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights of texts after so many rounds more, and which have not settled. ``beta``: by text, topic and word."""
+    found, on = gamma.copy(), np.ones(len(n), bool)
+    text = np.arange(len(n))
+    for _ in range(rounds):
+        theta = _theta(gamma)
+        norm = np.einsum("tkl,tk->tl", beta, theta)
+        norm += 1e-100
+        np.divide(n, norm, out=norm)
+        new = alpha + theta * np.einsum("tkl,tl->tk", beta, norm)
+        going = on[text]
         settled = np.abs(new - gamma).mean(axis=1) < 1e-3
-        gamma[active] = new[active]
-        active &= ~settled
-        if not active.any():
+        gamma = new
+        found[text[going]] = gamma[going]
+        on[text[going & settled]] = False
+        going &= ~settled
+        if not going.any():
             break
-    theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(axis=1))[:, None])
-    norm = np.einsum("ij,ij->i", theta[of], beta) + 1e-100
-    return gamma, theta[of] * beta * (n / norm)[:, None]
-
-
-# Counts of words in texts that a block holds, about.
-BLOCK_COUNTS = 1 << 18
-BLOCKS = "variant int, block int, codes array<int>, n array<int>, text_nos array<bigint>, starts array<int>, words array<string>"
-
-
-def _block(key: tuple, counts: pa.Table) -> pa.Table:
-    """The counts of one block in one row: its texts in a row, its different words by number."""
-    word = counts.column("word").combine_chunks().dictionary_encode()
-    word = word.chunk(0) if isinstance(word, pa.ChunkedArray) else word
-    text, codes = counts.column("text_no").to_numpy(), word.indices.to_numpy()
-    # Words by their own order, so that sums do not depend on the order of the rows.
-    order = np.argsort(np.argsort(word.dictionary.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-    codes = order[codes]
-    rows = np.lexsort((codes, text))
-    text = text[rows]
+        if 4 * going.sum() < 3 * len(n):
+            text, n, beta, gamma = text[going], n[going], beta[going], gamma[going]
+    return found, on
+
+
+# Counts of words in texts that a block holds, about; words of blocks that a shard of the vocabulary answers, about.
+BLOCK_COUNTS, SHARD_WORDS = 1 << 18, 1 << 15
+# Arrays of numbers travel as their bytes.
+COUNTED = "variant int, codes binary, n binary, text_nos binary, starts binary, words array<string>, df binary"
+ASKED = "variant int, shard bigint, block bigint, words array<string>, codes binary, df binary"
+SHARDS = "variant int, shard bigint, words array<string>, blocks binary, lens binary, idx binary, codes binary"
+BLOCKS = "variant int, block bigint, codes binary, n binary, text_nos binary, starts binary"
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array, row: int, kind: type) -> np.ndarray:
+    return np.frombuffer(column[row].as_buffer(), kind)
+
+
+def _pieces(values: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """``values`` cut into one binary value for each of ``lens`` rows of it."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    offsets = np.concatenate([[0], np.cumsum(lens) * width]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _joined(column: pa.ChunkedArray, order: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows in that order, and how many each row has."""
+    parts = [_numbers(column, int(i), kind) for i in order]
+    return np.concatenate([np.empty(0, kind), *parts]), np.array([len(x) for x in parts], np.int64)
+
+
+def _one(schema: str, *values: object) -> pa.Table:
+    """A table of one row."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+    names, types = zip(*(x.split(" ") for x in schema.split(", ")))
+    packed = [x.tobytes() if isinstance(x, np.ndarray) and t == "binary" else x for x, t in zip(values, types)]
+    return pa.table([pa.array([x], kinds[t]) for x, t in zip(packed, types)], list(names))
+
+
+def _none(schema: str) -> pa.Table:
+    return _one(schema, *[None] * len(schema.split(", "))).slice(0, 0)
+
+
+def _block(variant: int, parts: list[tuple]) -> pa.RecordBatch:
+    """The counts of some texts in one row: the texts in a row, their different words by number."""
+    words = pa.concat_arrays([p[3] for p in parts]).dictionary_encode()
+    before = np.cumsum([0, *[len(p[3]) for p in parts[:-1]]])
+    codes = words.indices.to_numpy()[np.concatenate([p[1] + at for p, at in zip(parts, before)])]
+    text = np.concatenate([p[0] for p in parts])
+    n = np.concatenate([p[2] for p in parts])
     starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-    values = [
-        ([key[0].as_py()], pa.int32()),
-        ([key[1].as_py()], pa.int32()),
-        ([codes[rows]], pa.list_(pa.int32())),
-        ([counts.column("n").to_numpy()[rows]], pa.list_(pa.int32())),
-        ([text[starts]], pa.list_(pa.int64())),
-        ([starts], pa.list_(pa.int32())),
-        ([np.sort(word.dictionary.to_numpy(zero_copy_only=False))], pa.list_(pa.string())),
-    ]
-    names = ["variant", "block", "codes", "n", "text_nos", "starts", "words"]
-    return pa.table([pa.array(v, kind) for v, kind in values], names)
+    df = np.bincount(codes, minlength=len(words.dictionary)).astype(np.int32)
+    row = [variant, codes.astype(np.int32), n.astype(np.int32), text[starts], starts.astype(np.int32), words.dictionary, df]
+    return _one(COUNTED, *row).combine_chunks().to_batches()[0]
+
+
+def _counter(flags: dict[int, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of counts for each variant, of the texts of a partition as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {v: [] for v in flags}
+        for batch in batches:
+            ends = np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                gone = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, gone + BLOCK_COUNTS // 4, "right")))
+                part = batch.slice(at, end - at)
+                at = end
+                lists = part.column("words")
+                words = lists.flatten().dictionary_encode()
+                text = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+                # A text and a word in one number; each pair is counted once, for all variants.
+                width = max(1, len(words.dictionary))
+                pairs, n = np.unique(text * width + words.indices.to_numpy(), return_counts=True)
+                text, code = np.divmod(pairs, width)
+                numbers = part.column("text_no").to_numpy()
+                for v, flag in flags.items():
+                    mine = (part.column(flag).to_numpy(zero_copy_only=False) == 1)[text]
+                    if not mine.any():
+                        continue
+                    used, codes = np.unique(code[mine], return_inverse=True)
+                    held[v].append((numbers[text[mine]], codes, n[mine], words.dictionary.take(pa.array(used))))
+                    if sum(len(p[0]) for p in held[v]) >= BLOCK_COUNTS:
+                        yield _block(v, held[v])
+                        held[v] = []
+        for v, parts in held.items():
+            if parts:
+                yield _block(v, parts)
+
+    return run
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every shard that has words of a block; ``shards`` names each word's."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            of = batch.column("shards")[i].values.to_numpy()
+            order = np.argsort(of, kind="stable")
+            shard, lens = np.unique(of, return_counts=True)
+            ends = np.cumsum([0, *lens]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), batch.column("words")[i].values.take(pa.array(order)))
+            df = _numbers(batch.column("df"), i, np.int32)[order]
+            ids = [np.full(len(lens), batch.column(c)[i].as_py(), t) for c, t in (("variant", np.int32), ("block", np.int64))]
+            columns = [pa.array(ids[0]), pa.array(shard), pa.array(ids[1]), words]
+            columns += [_pieces(x, lens) for x in (order.astype(np.int32), df)]
+            yield pa.RecordBatch.from_arrays(columns, ["variant", "shard", "block", "words", "codes", "df"])
+
+
+def _shard(sizes: dict[int, int], min_df: int | float, max_df: int | float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The words of a shard that are in bounds, and which of them each block asks for."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        variant = key[0].as_py()
+        order = np.argsort(rows.column("block").to_numpy())
+        words = pa.concat_arrays([rows.column("words")[int(i)].values for i in order]).dictionary_encode()
+        codes = words.indices.to_numpy()
+        own, lens = _joined(rows.column("codes"), order, np.int32)
+        total = np.bincount(codes, _joined(rows.column("df"), order, np.int32)[0])
+        low, high = (x if isinstance(x, int) else x * sizes[variant] for x in (min_df, max_df))
+        chosen = np.flatnonzero((total >= low) & (total <= high))
+        if not len(chosen):
+            return _none(SHARDS)
+        place = np.full(len(total), -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        keep = place[codes] >= 0
+        blocks, lens = np.unique(np.repeat(rows.column("block").to_numpy()[order], lens)[keep], return_counts=True)
+        asked = [place[codes[keep]], own[keep]]
+        return _one(SHARDS, variant, key[1].as_py(), words.dictionary.take(pa.array(chosen)), blocks, lens, *asked)
+
+    return run
+
+
+def _spread(batch: pa.RecordBatch, i: int, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for every block that asks shard ``i`` of the batch, with the block's part of each of the ``values``."""
+    blocks, lens = (_numbers(batch.column(c), i, np.int64) for c in ("blocks", "lens"))
+    shard = pa.array(np.full(len(blocks), batch.column("shard")[i].as_py(), np.int64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(blocks), shard, *[_pieces(x, lens) for x in values.values()]], ["block", "shard", *values]
+    )
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _spread(batch, i, {"codes": _numbers(batch.column("codes"), i, np.int32)})
+
+
+def _narrow(block: pa.Table, known: pa.Table) -> pa.Table:
+    """A block without the words that no shard knows; the others numbered in the order in which shards answer."""
+    if not block.num_rows or not known.num_rows:
+        return _none(BLOCKS)
+    at, _ = _joined(known.column("codes"), np.argsort(known.column("shard").to_numpy()), np.int32)
+    codes, n, starts = (_numbers(block.column(c), 0, np.int32) for c in ("codes", "n", "starts"))
+    place = np.full(codes.max() + 1, -1, np.int32)
+    place[at] = np.arange(len(at))
+    codes = place[codes]
+    text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))[codes >= 0]
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1])).astype(np.int32)
+    numbers = _numbers(block.column("text_nos"), 0, np.int64)[text[first]]
+    ids = [block.column(c)[0].as_py() for c in ("variant", "block")]
+    return _one(BLOCKS, *ids, codes[codes >= 0], n[codes >= 0], numbers, first)
+
+
+def _weights_schema(k: int) -> str:
+    sums = "".join(f", t{i} double" for i in range(k))
+    return f"variant int, shard bigint, blocks binary, lens binary, idx binary, w binary{sums}"
+
+
+def _starter(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Shards with their first weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w = np.stack([batch.column(f"w{j}")[i].values.to_numpy() for j in range(k)], axis=1)
+                kept = [batch.column(c)[i].as_py() for c in ("variant", "shard", "blocks", "lens", "idx")]
+                yield from _one(_weights_schema(k), *kept, w, *w.sum(axis=0)).to_batches()
+
+    return run
+
 
+def _giver(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What every block asks of a shard: its words' weights, but for the topics' totals."""
 
-def text_blocks(counts: DataFrame) -> DataFrame:
-    """Counts (``variant``, ``text_no``, ``word``, ``n``) as a stored table of blocks; the counts of a text stay together."""
-    n_blocks = max(1, -(-counts.count() // BLOCK_COUNTS))
-    block = F.pmod(F.xxhash64("text_no"), F.lit(n_blocks)).cast("int")
-    blocks = counts.withColumn("block", block).groupBy("variant", "block").applyInArrow(_block, BLOCKS)
-    return materialize(blocks, "text-blocks")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                idx = _numbers(batch.column("idx"), i, np.int32)
+                beta = np.exp(_digamma(_numbers(batch.column("w"), i, np.float64).reshape(-1, k)))
+                yield _spread(batch, i, {"idx": idx, "beta": beta[idx]})
+
+    return run
 
 
-def _by_block(k: int, alpha: float, assign: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _by_block(k: int, alpha: float, totals: dict[int, list[float]], assign: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For a block and the weights of its words: the words' shares of the topics, or each text's topic."""
 
-    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
-        row = {c: block.column(c)[0].values.to_numpy() for c in ("codes", "n", "text_nos", "starts")}
-        place = np.argsort(asked.column("code").to_numpy())
-        columns = {c: asked.column(c).to_numpy()[place] for c in asked.column_names if c[0] in "wt" and c[1:].isdigit()}
-        weight, total = (np.stack([columns[f"{x}{i}"] for i in range(k)], axis=1) for x in "wt")
-        beta = np.exp(_digamma(weight) - _digamma(total))
-        gamma, shares = _infer(row["n"].astype(float), beta[row["codes"]], row["starts"], alpha)
+    def run(block: pa.Table, given: pa.Table) -> pa.Table:
         variant = block.column("variant")[0].as_py()
+        order = np.argsort(given.column("shard").to_numpy())
+        beta, sizes = _joined(given.column("beta"), order, np.float64)
+        beta, lens = beta.reshape(-1, k), sizes // k
+        codes, n, starts = (_numbers(block.column(c), 0, np.int32) for c in ("codes", "n", "starts"))
+        weight = beta.T * np.exp(-_digamma(np.array(totals[variant])))[:, None]
+        gamma, shares = _infer(n.astype(float), weight[:, codes], starts, alpha)
         if assign:
-            n = len(row["text_nos"])
-            values = [pa.array(np.full(n, variant, np.int32)), pa.array(row["text_nos"])]
-            return pa.table([*values, pa.array(gamma.argmax(axis=1).astype(np.int32))], ["variant", "text_no", "topic"])
-        n = len(place)
-        sums = [np.bincount(row["codes"], shares[:, i], n) for i in range(k)]
-        words = asked.column("word").take(pa.array(place))
-        names = ["variant", "word", *[f"s{i}" for i in range(k)]]
-        return pa.table([pa.array(np.full(n, variant, np.int32)), words, *map(pa.array, sums)], names)
+            numbers = _numbers(block.column("text_nos"), 0, np.int64)
+            values = [np.full(len(numbers), variant, np.int32), numbers, gamma.argmax(axis=1).astype(np.int32)]
+            return pa.table([pa.array(x) for x in values], ["variant", "text_no", "topic"])
+        sums = np.stack([np.bincount(codes, x, len(beta)) for x in shares], axis=1)
+        ids = [pa.array(np.full(len(lens), variant, np.int32)), given.column("shard").take(pa.array(order))]
+        ids.append(pa.array(np.full(len(lens), block.column("block")[0].as_py(), np.int64)))
+        idx = given.column("idx").take(pa.array(order))
+        return pa.table([*ids, idx, _pieces(sums, lens)], ["variant", "shard", "block", "idx", "sums"])
+
+    return run
+
+
+def _gatherer(k: int, eta: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The next weights of a shard: its blocks' sums, added in the order of the blocks, and the prior."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        blocks = rows.column("block").to_numpy()
+        order = np.argsort(blocks)
+        idx, lens = _joined(rows.column("idx"), order, np.int32)
+        sums = _joined(rows.column("sums"), order, np.float64)[0].reshape(-1, k)
+        w = eta + np.stack([np.bincount(idx, sums[:, i]) for i in range(k)], axis=1)
+        kept = [blocks[order], lens, idx, w]
+        return _one(_weights_schema(k), key[0].as_py(), key[1].as_py(), *kept, *w.sum(axis=0))
+
+    return run
+
+
+def _lister(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for every word of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].values
+                w = _numbers(batch.column("w"), i, np.float64).reshape(-1, k)
+                variant = pa.array(np.full(len(words), batch.column("variant")[i].as_py(), np.int32))
+                columns = [variant, words, *[pa.array(np.ascontiguousarray(w[:, j])) for j in range(k)]]
+                yield pa.RecordBatch.from_arrays(columns, ["variant", "word", *[f"w{j}" for j in range(k)]])
 
     return run
 
@@ -241,9 +472,10 @@ def fit_topics(
 ) -> TopicTables:
     """Fit one topic model per variant on all the texts it flags wrongly, by full-batch variational Bayes.
 
-    All variants are fitted in the same jobs. Counts of words are stored once, as blocks of whole texts. In a pass each block
-    asks for the weights of its different words, infers its texts' topics from them and adds up the words' shares;
-    only weights and sums of blocks and the blocks' numbers are shuffled. The sums make the next weights. The start is a hash of word and topic. Nothing of the
+    All variants are fitted in the same jobs. Words are counted once, where their texts are, in blocks of whole texts; the
+    vocabulary is dealt to shards by a hash of the word. In a pass each shard sends every block the weights of the words that
+    the block holds, the block infers its texts' topics from them, adds up the words' shares and sends the sums back, which make the
+    next weights: a row per block and shard, no row per word. The start is a hash of word and topic. Nothing of the
     vocabulary comes to the driver. Variants with fewer than ``min_texts`` texts, or without a vocabulary,
     have no topics; a text without a word of the vocabulary goes to topic 0.
     """
@@ -253,36 +485,45 @@ def fit_topics(
     tokens = materialize(tokens.withColumn("text_no", F.monotonically_increasing_id()), "fp-tokens")
     # One row of numbers; variants are configuration.
     sizes = tokens.agg(*[F.count_if(F.col(f"{v.name}_fp") == 1).alias(v.name) for v in variants]).first()
-    counts = term_counts(tokens, variants, min_df, max_df)
-    enough = [i for i, v in enumerate(variants) if sizes[v.name] >= min_texts]
-    counts = materialize(counts.where(F.col("variant").isin(enough)), "term-counts")
-    names = [f"w{i}" for i in range(k)]
+    flags = {i: f"{v.name}_fp" for i, v in enumerate(variants) if sizes[v.name] >= min_texts}
+    counted = tokens.select("text_no", "words", *flags.values()).mapInArrow(_counter(flags), COUNTED)
+    counted = materialize(counted.withColumn("block", F.monotonically_increasing_id()), "text-counts")
+
+    n_asked = counted.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_shards = max(1, -(-n_asked // SHARD_WORDS))
+    shard_of = F.transform("words", lambda word: F.pmod(F.xxhash64(word), F.lit(n_shards)))
+    asked = counted.select("variant", "block", "words", "df", shard_of.alias("shards")).mapInArrow(_ask, ASKED)
+    texts_of = {i: sizes[v.name] for i, v in enumerate(variants)}
+    shards = materialize(asked.groupBy("variant", "shard").applyInArrow(_shard(texts_of, min_df, max_df), SHARDS), "topic-words")
+    known = shards.select("shard", "blocks", "lens", "codes").mapInArrow(_codes, "block bigint, shard bigint, codes binary")
+    blocks = counted.drop("words", "df").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_narrow, BLOCKS)
+    blocks = materialize(blocks, "text-blocks")
 
     def start(i: int) -> Column:
-        return 1 + 0.35 * (F.pmod(F.xxhash64("word", F.lit(i)), F.lit(1000003)) / 1000003.0 - 0.5)
+        def of(word: Column) -> Column:
+            return 1 + 0.35 * (F.pmod(F.xxhash64(word, F.lit(i)), F.lit(1000003)) / 1000003.0 - 0.5)
+
+        return F.transform("words", of).alias(f"w{i}")
 
-    weights = counts.select("variant", "word").distinct().select("variant", "word", *[start(i).alias(c) for i, c in enumerate(names)])
-    weights = materialize(weights, "topic-weights")
+    begun = shards.select("variant", "shard", "blocks", "lens", "idx", *[start(i) for i in range(k)])
+    weights = materialize(begun.mapInArrow(_starter(k), _weights_schema(k)), "topic-weights")
 
-    blocks = text_blocks(counts)
-    # What a block asks for in each pass: its different words.
-    asked = blocks.select("variant", "block", F.posexplode("words").alias("code", "word"))
-    asked = materialize(asked, "block-words")
-    by_block = blocks.drop("words").groupBy("variant", "block")
+    def totals() -> dict[int, list[float]]:
+        """A row of numbers per variant."""
+        summed = weights.groupBy("variant").agg(*[F.sum(f"t{i}") for i in range(k)])
+        return {r[0]: list(r[1:]) for r in summed.collect()}
 
-    def passed(weights: DataFrame, assign: bool, schema: str) -> DataFrame:
-        totals = weights.groupBy("variant").agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(names)])
-        # One row per variant is broadcast.
-        given = asked.join(weights, ["variant", "word"]).join(F.broadcast(totals), "variant")
-        return by_block.cogroup(given.groupBy("variant", "block")).applyInArrow(_by_block(k, alpha, assign), schema)
+    def passed(assign: bool, schema: str) -> DataFrame:
+        given = weights.select("shard", "blocks", "lens", "idx", "w")
+        given = given.mapInArrow(_giver(k), "block bigint, shard bigint, idx binary, beta binary")
+        return blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_by_block(k, alpha, totals(), assign), schema)
 
-    shares = ", ".join(["variant int, word string", *[f"s{i} double" for i in range(k)]])
     for _ in range(max_iter):
-        summed = passed(weights, False, shares).groupBy("variant", "word")
-        summed = summed.agg(*[(eta + F.sum(f"s{i}")).alias(c) for i, c in enumerate(names)])
+        sums = passed(False, "variant int, shard bigint, block bigint, idx binary, sums binary")
+        summed = sums.groupBy("variant", "shard").applyInArrow(_gatherer(k, eta), _weights_schema(k))
         weights = materialize(summed, "topic-weights")
-    topic_of = passed(weights, True, "variant int, text_no bigint, topic int")
-    fitted = [r["variant"] for r in weights.select("variant").distinct().collect()]
+    topic_of = passed(True, "variant int, text_no bigint, topic int")
+    fitted = totals()
     entries = [
         F.struct(
             F.lit(i).alias("variant"),
@@ -299,8 +540,10 @@ def fit_topics(
     assigned = texts.join(topic_of, ["variant", "text_no"], "left").select(
         "definition", "model", "item_id", "text_no", "text_key", F.coalesce("topic", F.lit(0)).alias("topic")
     )
+    listed = weights.select("variant", "shard", "w").join(shards.select("variant", "shard", "words"), ["variant", "shard"])
+    listed = listed.mapInArrow(_lister(k), ", ".join(["variant int, word string", *[f"w{i} double" for i in range(k)]]))
     return TopicTables(
-        materialize(topic_rows(weights, variants, k, top_words), "topics"), materialize(assigned, "fp-topic-assignments")
+        materialize(topic_rows(listed, variants, k, top_words), "topics"), materialize(assigned, "fp-topic-assignments")
     )
 
 

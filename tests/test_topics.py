@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from helpers import A_L, A_S, by
 from pyspark.sql import functions as F
 
 from evalspark.operators import topics
+from evalspark.session import materialize
 
 VARIANTS = [A_S, A_L]
 
@@ -135,3 +137,73 @@ def test_every_text_counts_in_every_pass(spark):
         for i, v in enumerate(VARIANTS):
             total = sum(sum(r.weights) for r in tables.topics.where(F.col("model") == v.model).collect())
             assert total == pytest.approx(n[i] + words[i])
+
+
+def _infer_plainly(n, beta, starts, alpha):
+    """Every text on its own, word by word."""
+    ends = [*starts[1:], len(n)]
+    gammas, shares = [], []
+    for a, b in zip(starts, ends):
+        gamma, old = np.ones(len(beta)), None
+        for _ in range(100):
+            theta = np.exp(topics._digamma(gamma) - topics._digamma(gamma.sum(keepdims=True)))
+            old, gamma = gamma, alpha + theta * (beta[:, a:b] * (n[a:b] / (theta @ beta[:, a:b]))).sum(axis=1)
+            if np.abs(gamma - old).mean() < 1e-3:
+                break
+        theta = np.exp(topics._digamma(gamma) - topics._digamma(gamma.sum(keepdims=True)))
+        gammas.append(gamma)
+        shares.append(theta[:, None] * beta[:, a:b] * (n[a:b] / (theta @ beta[:, a:b])))
+    return np.array(gammas), np.hstack(shares)
+
+
+def test_texts_inferred_together_equal_texts_inferred_alone(monkeypatch):
+    """Texts of one to many words that settle after different rounds, in groups of all kinds."""
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([[1, 1, 700], rng.integers(1, 60, 80)])
+    starts = np.cumsum(sizes) - sizes
+    n = rng.integers(1, 9, sizes.sum()).astype(float)
+    beta = rng.gamma(0.3, 1, (4, len(n))) + 1e-6
+    expected = _infer_plainly(n, beta, starts, 0.25)
+    for together in (1, 64, 1 << 15):
+        monkeypatch.setattr(topics, "TOGETHER", together)
+        for found, wanted in zip(topics._infer(n, beta, starts, 0.25), expected):
+            assert found == pytest.approx(wanted, abs=1e-9)
+
+
+def test_small_blocks_and_shards_change_nothing(spark, monkeypatch):
+    """Many blocks of few texts and many shards of few words give the topics of one block and one shard."""
+    wide, items = _inputs(spark, TEXTS, 12)
+    tokens = topics.fp_tokens(wide, VARIANTS, texts=items).coalesce(1)
+    key = ("model", "topic")
+    one = by(topics.fit_topics(tokens, VARIANTS, 3, top_words=50).topics.collect(), *key)
+    monkeypatch.setattr(topics, "BLOCK_COUNTS", 20)
+    monkeypatch.setattr(topics, "SHARD_WORDS", 5)
+    many = by(topics.fit_topics(tokens, VARIANTS, 3, top_words=50).topics.collect(), *key)
+    assert set(one) == set(many)
+    for k in one:
+        x, y = (dict(zip(r[k].words, r[k].weights)) for r in (one, many))
+        assert x == pytest.approx(y, abs=1e-9)
+
+
+def test_a_pass_moves_a_row_per_block_and_shard(spark, monkeypatch):
+    """Words travel as arrays: what a shard tells is a row per block, however many words that asks for."""
+    wide, items = _inputs(spark, TEXTS, 40)
+    rows = {}
+
+    def counted(df, label):
+        stored = materialize(df, label)
+        rows.setdefault(label, stored.count())
+        return stored
+
+    monkeypatch.setattr(topics, "materialize", counted)
+    topics.fit_topics(topics.fp_tokens(wide, VARIANTS, texts=items).coalesce(1), VARIANTS, 3, max_iter=1)
+    assert rows["text-blocks"] == rows["topic-words"] == rows["topic-weights"] == 2
+
+
+def test_null_texts_and_texts_without_words(spark):
+    texts = [*TEXTS, None, "", "the of", "alone1 alone2"]
+    wide, items = _inputs(spark, texts, 12)
+    tables = topics.fit_topics(topics.fp_tokens(wide, VARIANTS, texts=items), VARIANTS, 3)
+    found = {r["item_id"]: r["topic"] for r in tables.assignments.where("model = 'S'").collect()}
+    assert len(found) == len(texts)
+    assert [found[i] for i in range(len(TEXTS), len(texts))] == [0, 0, 0, 0]
