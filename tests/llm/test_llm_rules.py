@@ -4,8 +4,11 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from llm_fixtures import WORDS, ascii_lower, rows, table
+from pyspark.sql import functions as F
 
+from evalspark.llm import quality_lm as ql
 from evalspark.llm import quality_rules as qr
 from evalspark.llm.licenses import PHRASES, scan_licenses
 
@@ -107,3 +110,21 @@ def test_rule_distances(spark):
 
 def test_rules_empty(spark):
     assert qr.quality_rules(table(spark, data=[])).count() == 0
+
+
+def test_the_quality_model_counts_every_trusted_document(spark, monkeypatch):
+    n = 24_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 12 > 0) AS quality", "0 AS toxic")
+    seen = []
+    monkeypatch.setattr(ql, "train", lambda texts: seen.append(texts.agg(F.count("*"), F.sum(F.length("text"))).first()))
+    ql.Judge(docs, labels)
+    trusted = docs.where("doc_id % 12 > 0").agg(F.count("*"), F.sum(F.length("text"))).first()
+    assert seen == [trusted] and trusted[0] == 22_000
+
+
+def test_counts_of_a_task_are_added_over_its_batches(spark):
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(x, pa.string())}) for x in (["ab", None], [], ["ab", "ba"])]
+    found = [b.to_pydict() for b in ql._count(iter(batches))]
+    assert len(found) == 1
+    assert sorted(found[0]["c"]) == [1, 1, 2, 2]
