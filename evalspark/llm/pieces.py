@@ -3,15 +3,15 @@
 Texts are cut where no piece can cross: in front of a run of word marks (a mark stands for a blank), around
 line breaks, and between letters or digits and other characters, which ``read_pieces`` checks. The different units of all texts are encoded once. A unit's substrings up to the longest piece are
 exploded and joined with the piece table; what matches are the edges of its lattice, which are grouped by unit and
-folded with ``aggregate``. The edges of a unit follow each other, as the join with the broadcast table keeps the
-order, so they are grouped as they come, without a shuffle or a sort of the exploded rows.
+folded with ``aggregate``. The units come from a shuffle by unit, so the edges are grouped without another one. Single characters are
+no edges for BPE, which starts from them; their ids are looked up by code point.
 
 * For a unigram table the fold is Viterbi's: the best score and the last edge of every prefix.
 * The vocabulary at hand is a BPE table, for which the best sum of scores is not the encoding. There the fold takes the
   edges by rank and applies one where it joins two neighbouring symbols. This is exact if no piece is built by a
   merge of later rank than its own, which ``read_pieces`` checks for every piece.
 
-Units meet their texts again by block: texts are dealt to blocks of about ``BLOCK_BYTES``, each block asks for its
+Units meet their texts again by block (``unit_blocks``): each block of about ``BLOCK_BYTES`` asks for its
 units once, and one task per block replaces them. The piece table has a fixed size and is broadcast. Characters
 that no piece covers become their bytes' pieces. Units longer than ``LONG`` characters are folded in Python,
 by the same rule.
@@ -22,19 +22,19 @@ comes back as a blank; repeated rows give one row each; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.filters import numbered
+from evalspark.llm.unit_blocks import encode_blocks
 from evalspark.session import ship_package
 
 MARK = "▁"
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 LONG = 128
 PIECES = "piece string, id int, rank int, score double"
 # A row that every unit's edges hold, so that a unit without any edge is not lost.
@@ -101,82 +101,30 @@ def units_of(text: str | None, mark: bool = True) -> list[str]:
     return _UNITS.findall((" " if mark else "") + text.replace(MARK, " "))
 
 
-def _lattice(units: DataFrame, pieces: DataFrame, longest: int, long: int | None) -> DataFrame:
-    """One row per substring that is a piece, those of a unit in a row; the first has its ``blocks``.
+def _lattice(units: DataFrame, pieces: DataFrame, shortest: int, longest: int, long: int | None) -> DataFrame:
+    """One row per substring of ``shortest`` characters and more that is a piece; a first one has the unit's ``blocks``.
 
     Units of more than ``long`` characters have that first row only.
     """
-
-    def from_(s: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - s)),
-            lambda k: F.struct(
-                s.alias("s"), (s + k).alias("e"), F.substr("marked", s + 1, k).alias("piece"), no_blocks.alias("blocks")
-            ),
-        )
-
-    no_blocks = F.lit(None).cast("array<int>")
+    kind = dict(units.dtypes)["blocks"]
     marked = units.withColumns(
         {"marked": F.replace("unit", F.lit(" "), F.lit(MARK)), "n": F.length("unit")}
     )
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), from_))
-    head = F.array(
-        F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece"), F.col("blocks").alias("blocks"))
+    # The first row starts before the unit and has no length.
+    last = F.greatest(F.col("n") - shortest, F.lit(-1))
+    last = last if long is None else F.when(F.col("n") > long, -1).otherwise(last)
+    started = marked.select("*", F.explode(F.sequence(F.lit(-1), last)).alias("at"))
+    lengths = F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("n") - F.col("at")))
     )
-    rows = F.concat(head, spans) if long is None else F.when(F.col("n") > long, head).otherwise(F.concat(head, spans))
-    exploded = marked.select("unit", F.explode(rows).alias("x")).select("unit", "x.*")
-    return exploded.join(F.broadcast(pieces), "piece").select("unit", "s", "e", "id", "rank", "score", "blocks")
-
-
-GROUPED = (
-    "unit string, n int, blocks array<int>, ids array<int>, "
-    "edges array<struct<rank:int,s:int,e:int,id:int,score:double>>"
-)
-
-
-def _grouper(encode_long: Callable[[str], list[int]], long: int | None) -> Callable:
-    """Edges, as they come, to one row per unit with its edges by rank and place."""
-
-    def group(x: pa.Table) -> pa.RecordBatch:
-        heads = np.flatnonzero(x.column("e").to_numpy() == 0)
-        sizes = np.diff(np.append(heads, x.num_rows))
-        of = np.repeat(np.arange(len(heads)), sizes)
-        s, rank = x.column("s").to_numpy(), x.column("rank").to_numpy()
-        order = np.lexsort((s, rank, of))
-        # The head has the lowest rank and so stays in front; it is left out.
-        order = order[x.column("e").to_numpy()[order] > 0]
-        names = ["rank", "s", "e", "id", "score"]
-        values = [x.column(c).combine_chunks().take(pa.array(order)) for c in names]
-        values = [v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in values]
-        ends = np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)
-        edges = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, names))
-        units = x.column("unit").take(pa.array(heads)).combine_chunks()
-        units = units.chunk(0) if isinstance(units, pa.ChunkedArray) else units
-        n = np.array([len(u) for u in units.to_pylist()], np.int32)
-        ids = [encode_long(u) if long is not None and k > long else None for u, k in zip(units.to_pylist(), n.tolist())]
-        blocks = x.column("blocks").take(pa.array(heads)).combine_chunks()
-        blocks = blocks.chunk(0) if isinstance(blocks, pa.ChunkedArray) else blocks
-        return pa.RecordBatch.from_arrays(
-            [units, pa.array(n), blocks, pa.array(ids, pa.list_(pa.int32())), edges],
-            ["unit", "n", "blocks", "ids", "edges"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            heads = np.flatnonzero(batch.column("e").to_numpy() == 0)
-            if not len(heads):
-                held.append(batch)
-                continue
-            cut = int(heads[-1])
-            whole = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            if whole.num_rows:
-                yield group(whole)
-            held = [batch.slice(cut)]
-        if held:
-            yield group(pa.Table.from_batches(held))
-
-    return run
+    spans = started.select("*", F.explode(lengths).alias("k")).select(
+        "unit",
+        F.greatest("at", F.lit(0)).alias("s"),
+        (F.greatest("at", F.lit(0)) + F.col("k")).alias("e"),
+        F.when(F.col("k") == 0, "").otherwise(F.substr("marked", F.col("at") + 1, F.col("k"))).alias("piece"),
+        F.when(F.col("k") == 0, F.col("blocks")).otherwise(F.lit(None).cast(kind)).alias("blocks"),
+    )
+    return spans.join(F.broadcast(pieces), "piece").select("unit", "s", "e", "id", "rank", "score", "blocks")
 
 
 def _bpe_fold() -> Column:
@@ -232,10 +180,17 @@ def _viterbi_fold(unknown: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), first, back, lambda done: done["ends"])
 
 
-def _ids(of_byte: list[int]) -> tuple[Column, Column]:
-    """Ids of the symbols in ``ends``: of their edges, or of the bytes of what has none."""
+def _ids(of_byte: list[int], of_char: dict[str, int]) -> tuple[Column, Column, Column]:
+    """Ids of the symbols in ``ends``: of their edges, of the characters that stand alone, or of the bytes of these."""
     chosen = F.filter("edges", lambda x: (x["e"] > x["s"]) & (F.get("ends", x["s"]) == x["e"]))
     bytes_ = F.array(*map(F.lit, of_byte))
+    by_code = [None] * (max(map(ord, of_char), default=0) + 1)
+    for c, i in of_char.items():
+        by_code[ord(c)] = i
+    chars = F.from_json(F.lit(json.dumps(by_code)), "array<int>")
+
+    def char(s: Column) -> Column:
+        return F.get(chars, F.ascii(F.substr("unit", s + 1, F.lit(1))))
 
     def symbol(s: Column) -> Column:
         own = F.transform(F.filter(F.col("chosen"), lambda x: x["s"] == s), lambda x: x["id"])
@@ -244,10 +199,17 @@ def _ids(of_byte: list[int]) -> tuple[Column, Column]:
             F.sequence(F.lit(1), F.octet_length(raw)),
             lambda i: F.get(bytes_, F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")),
         )
-        return F.when(F.size(own) > 0, own).otherwise(spelled)
+        return F.when(F.size(own) > 0, own).when(char(s).isNotNull(), F.array(char(s))).otherwise(spelled)
 
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("ends", i) > 0)
-    return chosen, F.flatten(F.transform(starts, symbol))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    pieces = F.transform("chosen", lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))
+    alone = F.filter(places, lambda i: (F.get("ends", i) == i + 1) & ~F.exists("chosen", lambda x: x["s"] == i))
+    symbols = F.concat(pieces, F.transform(alone, lambda i: F.struct(i.cast("int").alias("s"), char(i).alias("id"))))
+    # Where no symbol has to be spelled in bytes, which is nearly everywhere, the symbols in their order are all.
+    whole = F.forall("symbols", lambda x: x["id"].isNotNull())
+    starts = F.filter(places, lambda i: F.get("ends", i) > 0)
+    ids = F.when(whole, F.transform(F.array_sort("symbols"), lambda x: x["id"]))
+    return chosen, symbols, ids.otherwise(F.flatten(F.transform(starts, symbol)))
 
 
 def _long_encoder(rows: list[tuple], of_byte: list[int]) -> Callable[[str], list[int]]:
@@ -268,75 +230,52 @@ def encode_units(
     """``unit``, ``blocks`` and ``ids`` for a table of different units with ``blocks`` (an array, may be null)."""
     ship_package(units.sparkSession)
     pieces = units.sparkSession.createDataFrame([*rows, NONE], PIECES)
-    limit = long if algorithm == "bpe" else None
-    edges = _lattice(units, pieces, max(len(p) for p, *_ in rows), limit)
-    grouped = edges.mapInArrow(_grouper(_long_encoder(rows, of_byte), limit), GROUPED)
-    ends = _bpe_fold() if algorithm == "bpe" else _viterbi_fold(min(s for *_, s in rows) - 10.0)
-    chosen, ids = _ids(of_byte)
+    bpe = algorithm == "bpe"
+    edges = _lattice(units, pieces, 2 if bpe else 1, max(len(p) for p, *_ in rows), long if bpe else None)
+    # The units are different, so where they come from a shuffle by unit this needs no other.
+    edge = F.struct("rank", "s", "e", "id", "score")
+    grouped = edges.groupBy("unit").agg(
+        F.first("blocks", ignorenulls=True).alias("blocks"), F.collect_list(F.when(F.col("e") > 0, edge)).alias("edges")
+    )
+    grouped = grouped.withColumns({"n": F.length("unit"), "edges": F.array_sort("edges")})
+    if bpe:
+        encoder = _long_encoder(rows, of_byte)
+
+        def run(units: pa.Array) -> pa.Array:
+            return pa.array([None if u is None else encoder(u) for u in units.to_pylist()], pa.list_(pa.int32()))
+
+        run.__annotations__ = {"units": pa.Array, "return": pa.Array}
+        long_ids = F.arrow_udf(run, "array<int>")(F.when(F.col("n") > long, F.col("unit")))
+        grouped = grouped.withColumn("ids", long_ids)
+    else:
+        grouped = grouped.withColumn("ids", F.lit(None).cast("array<int>"))
+    ends = _bpe_fold() if bpe else _viterbi_fold(min(s for *_, s in rows) - 10.0)
+    of_char = {p: i for p, i, *_ in rows if len(p) == 1}
+    # Units have blanks where pieces have marks.
+    of_char |= {" ": of_char[MARK]} if MARK in of_char else {}
+    chosen, symbols, ids = _ids(of_byte, of_char)
     folded = grouped.withColumn("ends", F.when(F.col("ids").isNull(), ends)).withColumn("chosen", chosen)
+    folded = folded.withColumn("symbols", symbols)
     return folded.select("unit", "blocks", F.coalesce("ids", ids).alias("ids"))
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different units of every block of the partition."""
-    seen: dict[int, set[str]] = {}
-    for batch in batches:
-        texts = batch.column("text")
-        for i, block in enumerate(batch.column("block").to_pylist()):
-            seen.setdefault(block, set()).update(units_of(texts[i].as_py()))
-    for block, units in seen.items():
-        found = sorted(units)
-        for at in range(0, len(found), 1 << 16):
-            part = found[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "unit"]
-            )
-
-
-def _replace(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(texts: pa.Table, units: pa.Table) -> pa.Table:
-        ids = units.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-        ends = (np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * 4).tolist()
-        of = {
-            u: flat[ends[i] : ends[i + 1]] for i, u in enumerate(units.column("unit").to_pylist())
-        }
-        coded = [b"".join(map(of.__getitem__, units_of(t.as_py()))) for t in texts.column("text")]
-        offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-        return pa.table([*[texts.column(c) for c in names], lists], [*names, "ids"])
-
-    return run
-
-
 def encode(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``ids``, the encoding of ``text``, one row per document."""
-    spark: SparkSession = documents.sparkSession
-    ship_package(spark)
+    ship_package(documents.sparkSession)
     rows, of_byte = read_pieces(model)
-    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")
-    columns = list(dict.fromkeys([*keep, "text"]))
-    dealt = numbered(documents.select(*columns)).select(*columns, block.alias("block"))
-    dealt = dealt.repartition(n_blocks, "block")
-    asked = dealt.mapInArrow(_ask, "block int, unit string")
-    units = asked.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
-    answers = encode_units(units, rows, of_byte).select(F.explode("blocks").alias("block"), "unit", "ids")
-    kinds = dict(documents.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "ids array<int>"])
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace(list(keep)), schema)
+    return encode_blocks(
+        documents, keep, lambda: units_of, lambda units: encode_units(units, rows, of_byte), BLOCK_BYTES
+    )
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ``ids``; no ids give an empty text."""
     rows, of_byte = read_pieces(model)
     spelled = {i: p.replace(MARK, " ").encode() for p, i, *_ in rows} | {i: bytes([b]) for b, i in enumerate(of_byte)}
-
-    def run(ids: pa.Array) -> pa.Array:
-        texts = [b"".join(map(spelled.__getitem__, x or ()))[1:].decode("utf-8", "replace") for x in ids.to_pylist()]
-        return pa.array(texts, pa.string())
-
-    run.__annotations__ = {"ids": pa.Array, "return": pa.Array}
-    return encoded.withColumn("decoded", F.arrow_udf(run, "string")("ids"))
+    by_id = [spelled[i].hex() if i in spelled else None for i in range(max(spelled) + 1)]
+    table = F.array(F.from_json(F.lit(json.dumps(by_id, separators=(",", ":"))), "array<string>"))
+    unknown = F.raise_error(F.lit("an id that the vocabulary does not have")).cast("string")
+    # Digits of all pieces in one pass; the literal is looked at once per row.
+    digits = F.transform(table, lambda t: F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(t, i), unknown)), ""))
+    text = F.make_valid_utf8(F.unhex(F.get(digits, F.lit(0))).cast("string"))
+    return encoded.withColumn("decoded", F.coalesce(F.substr(text, F.lit(2)), F.lit("")))

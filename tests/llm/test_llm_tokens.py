@@ -142,3 +142,34 @@ def test_unigram_is_the_best_path(spark):
         marked = x["unit"].replace(" ", pc.MARK)
         assert "".join(scored[i][0] for i in x["ids"]) == marked
         assert abs(sum(scored[i][1] for i in x["ids"]) - best(marked)) < 1e-9
+
+
+def test_units_meet_their_blocks(spark):
+    """Many blocks per task: texts are not shuffled as rows, units are grouped once, every block gets its own ids back."""
+    from evalspark.llm.unit_blocks import encode_blocks
+
+    r = random.Random(3)
+    data = [(i, None if i % 17 == 0 else " ".join(r.choices("abcdefgh", k=r.randint(0, 30)))) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id int, text string").repartition(3).localCheckpoint()
+
+    def coded(units):
+        assert dict(units.dtypes)["unit"] == "string"
+        return units.selectExpr("unit", "blocks", "array(ascii(unit), 7) AS ids")
+
+    got = encode_blocks(df, ("doc_id", "text"), lambda: str.split, coded, 500, [("a", b"\x01\0\0\0")])
+    found = {x["doc_id"]: x for x in got.collect()}
+    assert len(found) == len(data)
+    for i, t in data:
+        expected = [k for u in (t or "").split() for k in ([1] if u == "a" else [ord(u), 7])]
+        assert (found[i]["text"], found[i]["ids"]) == (t, expected)
+
+
+def test_pieces_decode_in_one_python_step(spark):
+    """The ids are spelled by Spark, so a task needs no second Python worker."""
+    coded = pc.encode(table(spark), ("doc_id", "text"))
+    decoded = pc.decode(spark.createDataFrame([([],), (None,)], "ids array<int>"))
+    assert [x["decoded"] for x in decoded.collect()] == ["", ""]
+    last_step = pc.decode(coded)._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "ArrowEvalPython" not in last_step
+    with pytest.raises(Exception, match="does not have"):
+        pc.decode(spark.createDataFrame([([0, 10**6],)], "ids array<int>")).collect()
