@@ -1,8 +1,8 @@
 """Encoding and decoding with a byte-level BPE rank table, by Spark's higher-order functions.
 
-Texts are cut into words by the vocabulary's pattern, and the different words of every block of about ``BLOCK_BYTES``
-are encoded once, whichever documents hold them. Words that are frequent in a sample can be encoded once for all blocks and
-broadcast (``known``); which words these are changes no result. A word is an array of single bytes, and ``aggregate`` folds the merges
+Texts are cut into words by the vocabulary's pattern, and the different words of all texts are encoded once, whichever documents
+hold them: each block of about ``BLOCK_BYTES`` asks for its words and gets their ids back (``unit_blocks``). Words that are frequent in
+a sample can be encoded ahead and broadcast (``known``); which words these are changes no result. A word is an array of single bytes, and ``aggregate`` folds the merges
 over it: the pair of lowest rank in the table becomes one piece, until no pair is in the table. The rank map is a
 literal: a lookup in a Spark map reads the map from its start, so the pairs lie in arrays, as rows of a sparse table pushed
 into each other, and a lookup is three reads by position.
@@ -12,10 +12,9 @@ makes a pair of lower rank than its own, or two pairs of one rank share a piece.
 neighbours of which that is possible; where such stand together, the round merges its first pair only. So that a round is one pass, pieces
 are written as one character each (rank + ``FIRST``), and a merge is a replacement in a string.
 
-The words of a block, then its documents as numbers of words, pass through the tasks as rows of bounded size, so
-texts are not shuffled, nothing is held but one block's words, and a lost task is repeated from its input. Rows carry
-their place in the task's sequence, which the last step checks. Work grows with the text; for one word, with its
-length times its rounds, which are few for repeated characters and at most its length.
+Words are shuffled once per block that has them, texts as one compressed frame per block; a task holds one block's texts and
+words. Work grows with the text; for one word, with its length times its rounds, which are few for repeated characters and at most
+its length.
 
 ``decode`` looks each id up in a literal array of pieces and concatenates these.
 
@@ -35,18 +34,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.unit_blocks import MakeCut, encode_blocks
 from evalspark.session import ship_package
 
-BLOCK_BYTES = 16 << 20
-# Rows between the steps: words in one, and words of a document in one.
-WORDS_A_ROW, CODES_A_ROW = 256, 2048
+BLOCK_BYTES = 32 << 20
 # The character of rank 0: no character from here on means anything in a pattern.
 FIRST = 0x10000
-OUTPUT_IDS = 1 << 20
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -268,144 +264,13 @@ def known_words(documents: DataFrame, path: str, pattern: str, rows: int, words:
     return [(bytes(w).decode(), np.array(ids, "<i4").tobytes()) for w, ids in coded.collect()]
 
 
-class _Numbers(dict):
-    """A number for each different word: that of a known one, or the next one, in the order of first use, as ``own``."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known, self.own = known, []
-
-    def __missing__(self, word: str) -> int:
-        n = self.known.get(word)
-        if n is None:
-            n = len(self.known) + len(self.own)
-            self.own.append(word)
-        self[word] = n
-        return n
-
-
-_LINKS = "words array<binary>, codes binary, place bigint, kind string"
-
-
-def _split(names: list[str], pattern: str, block_bytes: int, known: Broadcast) -> Callable:
-    """Rows of a block: its words that are not known, then its documents as numbers of words, in pieces of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(pattern: str) -> MakeCut:
+    def make() -> Callable[[str], list[str]]:
         import regex
 
-        cut = regex.compile(pattern).findall
-        place = 0
-        numbers = {w: i for i, (w, _) in enumerate(known.value)}
-        of, codes, held, slices = _Numbers(numbers), [], 0, []
-
-        def rows(kept: list[pa.Array], words: pa.Array, coded: pa.Array, kinds: list[str]) -> pa.RecordBatch:
-            nonlocal place
-            places = np.arange(place, place + len(kinds))
-            place += len(kinds)
-            return pa.RecordBatch.from_arrays(
-                [*kept, words, coded, pa.array(places, pa.int64()), pa.array(kinds, pa.string())],
-                [*names, "words", "codes", "place", "kind"],
-            )
+        return regex.compile(pattern).findall
 
-        def block() -> Iterator[pa.RecordBatch]:
-            kept = pa.Table.from_batches(slices).select(names)
-            spelled = [w.encode() for w in of.own]
-            at = [*range(0, len(spelled), WORDS_A_ROW)] or [0]
-            for some in (at[i : i + 64] for i in range(0, len(at), 64)):
-                words = pa.array([spelled[i : i + WORDS_A_ROW] for i in some], pa.list_(pa.binary()))
-                none = [pa.nulls(len(some), kept.schema.field(c).type) for c in names]
-                kinds = ["first" if i == 0 else "words" for i in some]
-                yield rows(none, words, pa.nulls(len(some), pa.binary()), kinds)
-            pending: list[tuple[int, bytes, str]] = []
-            size = 0
-
-            def out() -> pa.RecordBatch:
-                own = kept.take(pa.array([r for r, _, _ in pending])).combine_chunks()
-                columns = [c.chunk(0) if c.num_chunks else pa.nulls(0, c.type) for c in own.columns]
-                coded = pa.array([c for _, c, _ in pending], pa.binary())
-                return rows(columns, pa.nulls(len(pending), pa.list_(pa.binary())), coded, [k for *_, k in pending])
-
-            for r, c in enumerate(codes):
-                starts = range(0, max(len(c), 1), CODES_A_ROW * 4)
-                for s in starts:
-                    pending.append((r, c[s : s + CODES_A_ROW * 4], "last" if s == starts[-1] else "part"))
-                    size += CODES_A_ROW
-                    if len(pending) == 512:
-                        yield out()
-                        pending = []
-            if pending:
-                yield out()
-
-        for batch in batches:
-            texts, start = batch.column("text"), 0
-            for i in range(len(texts)):
-                text = texts[i].as_py() or ""
-                found = cut(text)
-                codes.append(np.fromiter(map(of.__getitem__, found), "<u4", len(found)).tobytes())
-                held += len(text)
-                if held >= block_bytes:
-                    slices.append(batch.slice(start, i + 1 - start))
-                    yield from block()
-                    start, of, codes, held, slices = i + 1, _Numbers(numbers), [], 0, []
-            if start < len(texts):
-                slices.append(batch.slice(start))
-        if codes:
-            yield from block()
-
-    return run
-
-
-def _join(names: list[str], known: Broadcast) -> Callable:
-    """The rows of ``_split``, with ``ids`` of their words, to one row per document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_ids = [ids for _, ids in known.value]
-        ids_of: list[bytes] = []
-        parts: list[bytes] = []
-        expected = 0
-        for batch in batches:
-            places = batch.column("place").to_numpy()
-            if not np.array_equal(places, np.arange(expected, expected + len(places))):
-                raise ValueError("rows of a task came in another order")
-            expected += len(places)
-            kinds, codes, ids = batch.column("kind").to_pylist(), batch.column("codes"), batch.column("ids")
-            done: list[int] = []
-            coded: list[bytes] = []
-            size = 0
-
-            def out() -> pa.RecordBatch:
-                flat = np.frombuffer(b"".join(coded), "<i4")
-                ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                rows = batch.select(names).take(pa.array(done))
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                return pa.RecordBatch.from_arrays([*rows.columns, lists], [*names, "ids"])
-
-            for r, kind in enumerate(kinds):
-                if kind in ("first", "words"):
-                    if kind == "first":
-                        ids_of = list(first_ids)
-                    words = ids[r].values
-                    flat = words.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-                    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)) * 4
-                    at = 0
-                    for end in ends.tolist():
-                        ids_of.append(flat[at:end])
-                        at = end
-                    continue
-                numbers = np.frombuffer(codes[r].as_py(), "<u4").tolist()
-                parts.append(b"".join(map(ids_of.__getitem__, numbers)))
-                if kind == "last":
-                    done.append(r)
-                    coded.append(b"".join(parts))
-                    size += len(coded[-1]) // 4
-                    parts = []
-                    if size > OUTPUT_IDS:
-                        yield out()
-                        done, coded, size = [], [], 0
-            if done:
-                yield out()
-
-    return run
+    return make
 
 
 def encode(
@@ -425,17 +290,13 @@ def encode(
         raise ValueError("ids is the name of the result")
     ship_package(documents.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
-    # Columns on their way have names of their own, which none of the new ones has.
-    names = [f"own_{i}" for i in range(len(keep))]
-    kinds = dict(documents.dtypes)
-    own = [f"{n} {kinds[c]}" for n, c in zip(names, keep)]
-    texts = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)], "text")
-    ahead = documents.sparkSession.sparkContext.broadcast(known_words(documents, path, pattern, *known))
-    rows = texts.mapInArrow(_split(names, pattern, block_bytes, ahead), ", ".join([*own, _LINKS]))
-    ids = encode_words(F.col("words"), path)
-    folded = rows.select(*names, "codes", "place", "kind", ids.alias("ids"))
-    coded = folded.mapInArrow(_join(names, ahead), ", ".join([*own, "ids array<int>"]))
-    return coded.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "ids")
+
+    def encoded(units: DataFrame) -> DataFrame:
+        ids = F.get(encode_words(F.array(F.col("unit").cast("binary")), path), F.lit(0))
+        return units.select("unit", "blocks", ids.alias("ids"))
+
+    ahead = known_words(documents, path, pattern, *known)
+    return encode_blocks(documents, keep, _cutter(pattern), encoded, block_bytes, ahead)
 
 
 def decode(ids: Column, vocabulary: tuple[str, str] | None = None) -> Column:

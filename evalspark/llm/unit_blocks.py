@@ -1,8 +1,8 @@
 """Encoding of texts by their different units: blocks of texts ask for their units, each unit is encoded once for all.
 
 A block is a run of whole rows of a partition, of about a given number of bytes of text. It asks for its different units by
-number, in the order of first use; units are grouped over all blocks, encoded, and their ids go back to the blocks as
-(block, number). Texts travel as one compressed frame per block, not as rows, and meet the ids of their units there.
+number, in the order of first use; units are grouped over all blocks, encoded, and their ids go back to the blocks by
+number, as a compressed run per task and block. Texts travel as one compressed frame per block, not as rows, and meet the ids of their units there.
 
 Blocks are cut twice, once for units and once for frames, so their keys are digests of their place and of their texts: should the
 two passes ever see other rows, keys or numbers do not fit and the job stops.
@@ -19,6 +19,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Answers of a task that are packed together.
+HELD_ANSWERS = 1 << 19
 # Returns the function that cuts a text into units; called once per task.
 MakeCut = Callable[[], Callable[[str], list[str]]]
 
@@ -88,7 +90,7 @@ def _frames(block_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, table in _blocks(batches, block_bytes):
             out = pa.BufferOutputStream()
-            options = pa.ipc.IpcWriteOptions(compression="zstd")
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
             with pa.ipc.new_stream(out, table.schema, options=options) as stream:
                 stream.write_table(table.combine_chunks())
             frame = pa.array([out.getvalue().to_pybytes()], pa.binary())
@@ -114,11 +116,52 @@ class _InOrder(dict):
         raise ValueError("a block has a unit that it did not ask for")
 
 
-def _in_order(ids: pa.ChunkedArray, order: np.ndarray) -> Iterator[bytes]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of a task as a compressed run per block: how many, their numbers, their sizes, their ids."""
+
+    def runs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = np.concatenate([b.column("block").to_numpy() for b in held])
+        number = np.concatenate([b.column("number").to_numpy() for b in held])
+        flat = np.concatenate([b.column("ids").flatten().to_numpy(zero_copy_only=False) for b in held]).astype("<i4")
+        sizes = np.concatenate([b.column("ids").value_lengths().to_numpy(zero_copy_only=False) for b in held])
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        order = np.lexsort((number, block))
+        block, number, sizes, starts = block[order], number[order], sizes[order], starts[order]
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+        flat = flat[np.repeat(starts, sizes) + place]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        frames = []
+        for i, j in zip(edges, edges[1:]):
+            raw = np.concatenate([[j - i], number[i:j], sizes[i:j], flat[ends[i] : ends[j]]]).astype("<i4").tobytes()
+            frames.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(frames, pa.binary())], ["block", "frame"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= HELD_ANSWERS:
+            yield runs(held)
+            held, n = [], 0
+    if held:
+        yield runs(held)
+
+
+def _unpacked(frames: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, sizes and ids of all runs."""
+    parts = [(np.empty(0, "<i4"),) * 3]
+    for frame in frames:
+        whole = frame.as_py()
+        raw = np.frombuffer(pa.decompress(whole[8:], int.from_bytes(whole[:8], "little"), "zstd"), "<i4")
+        n = int(raw[0])
+        parts.append((raw[1 : 1 + n], raw[1 + n : 1 + 2 * n], raw[1 + 2 * n :]))
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _in_order(sizes: np.ndarray, flat: np.ndarray, order: np.ndarray) -> Iterator[bytes]:
     """The ids of one unit after the other, as little-endian 32-bit bytes."""
-    none = [np.empty(0, "<i4")]
-    flat = np.concatenate([*none, *[c.flatten().to_numpy(zero_copy_only=False).astype("<i4") for c in ids.chunks]])
-    sizes = np.concatenate([*none, *[c.value_lengths().to_numpy(zero_copy_only=False) for c in ids.chunks]])
     ends = np.cumsum(sizes, dtype=np.int64)
     for at in range(0, len(order), 1 << 14):
         part = order[at : at + (1 << 14)]
@@ -130,11 +173,11 @@ def _replaced(names: list[str], make_cut: MakeCut, known: Broadcast) -> Callable
     def run(frames: pa.Table, units: pa.Table) -> pa.Table:
         if frames.num_rows != 1:
             raise ValueError("the texts of a block changed between two passes over the table")
-        numbers = units.column("number").to_numpy()
+        numbers, sizes, flat_ids = _unpacked(units.column("frame"))
         order = np.argsort(numbers)
         if not np.array_equal(numbers[order], np.arange(len(numbers))):
             raise ValueError("units of a block are missing")
-        cut, of = make_cut(), _InOrder(known.value, _in_order(units.column("ids"), order))
+        cut, of = make_cut(), _InOrder(known.value, _in_order(sizes, flat_ids, order))
         table = pa.ipc.open_stream(frames.column("frame")[0].as_buffer()).read_all()
         ends, flat = [0], bytearray()
         for text in _texts(table):
@@ -170,11 +213,12 @@ def encode_blocks(
     # A block has a unit once, so there is nothing to combine before the shuffle.
     units = asked.repartition("unit").groupBy("unit").agg(F.collect_list(F.struct("block", "number")).alias("blocks"))
     answers = encode_units(units).select(F.explode("blocks").alias("at"), "ids").select("at.block", "at.number", "ids")
+    runs = answers.mapInArrow(_packed, "block bigint, frame binary")
     frames = documents.select(*own, "text").mapInArrow(_frames(block_bytes), "block bigint, frame binary")
     # Twice as many tasks as full blocks, as several blocks may fall to one.
     frames = frames.repartition(2 * max(1, -(-total // block_bytes)), "block")
     schema = ", ".join([*[f"own_{i} {kinds[c]}" for i, c in enumerate(keep)], "ids array<int>"])
-    coded = frames.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    coded = frames.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(
         _replaced(names, make_cut, ahead), schema
     )
     return coded.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(keep)], "ids")
