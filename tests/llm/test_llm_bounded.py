@@ -1,12 +1,15 @@
 """Work that has to stay bounded, or whole, at any size of the input."""
 
 import tracemalloc
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from llm_fixtures import prose
 
 from evalspark.llm import embedding_dedup as ed
+from evalspark.llm import quality_lm as ql
 
 
 def _vectors(n, seed, dimension=32):
@@ -71,3 +74,47 @@ def test_only_vectors_that_may_be_linked_travel_whole(spark, monkeypatch):
     links = (y @ y.T >= 0.9).sum(axis=1) - 1
     assert [g["n_links"] for g in sorted(got)] == links.tolist() and links.sum() > 100
     assert written["maybe-linked"].count() < 1000
+
+
+def test_ngrams_tell_all_texts_apart():
+    """Case, digits, signs and letters of all scripts count; an n-gram is the bytes themselves."""
+    texts = ["ab1.", "aB1.", "ab2.", "ab1!", "äb1.", "öb1.", "漢字", "漢学", "ж", "ш"]
+    codes = [tuple(ql.ngrams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).tolist()) for t in texts]
+    assert len(set(codes)) == len(texts)
+    for t, code in zip(texts, codes):
+        padded = b"\n\n\n" + t.encode()
+        assert [c.to_bytes(4) for c in code] == [padded[i : i + 4] for i in range(len(t.encode()))]
+
+
+def test_a_model_in_parts_judges_as_in_one(spark, tmp_path, monkeypatch):
+    """Weights that do not fit into memory at once are summed part by part."""
+    texts = [prose(i, 2) + ("" if i % 3 else " Ünd £5 漢字") for i in range(90)] + [None, "", "zzz 999 ###"]
+    data = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.range(80).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    found, kept = [], []
+    for part in (1 << 22, 500):
+        monkeypatch.setattr(ql, "PART", part)
+        found.append(sorted(map(tuple, ql.quality_scores(docs, labels).collect())))
+        kept.append(sorted(r["doc_id"] for r in ql.keep_good(docs, labels).collect()))
+    assert ql.train(docs.select("text")).n_parts > 3
+    assert [r[0::4] for r in found[0]] == [r[0::4] for r in found[1]] and kept[0] == kept[1]
+    assert kept[0] == [r[0] for r in found[0] if r[4]] and 70 < len(kept[0]) < 92
+    near = [np.isclose(a[2], b[2], rtol=1e-6) for a, b in zip(*found) if a[2] is not None]
+    assert all(near) and len(near) == 91
+
+
+def test_counts_sent_on_early_add_up(monkeypatch):
+    monkeypatch.setattr(ql, "COUNTED", 50)
+    texts = [prose(i, 2) for i in range(20)] * 2
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 5])}) for i in range(0, 40, 5)]
+    sent = [b.to_pydict() for b in ql._count(iter(batches))]
+    assert len(sent) > 2
+    got, expected = Counter(), Counter()
+    for b in sent:
+        got.update(dict(zip(b["g"], b["c"])))
+    for t in texts:
+        padded = b"\n\n\n" + t.encode()
+        expected.update(int.from_bytes(padded[i : i + 4]) for i in range(len(t)))
+    assert got == expected
