@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.components import components, forest
 from evalspark.llm.filters import packed, unpacked, without_rows
-from evalspark.llm.line_dedup import repeated_lines, text_shingles
+from evalspark.llm.line_dedup import similar_links, text_shingles
 from evalspark.session import materialize, ship_package
 
 SEED = 42
@@ -214,13 +214,12 @@ def simhash_components(
 def drop_near_duplicates(documents: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
     """The first row, in the order of the stored table, of every group of linked documents.
 
-    Fingerprints find near copies only; rows whose set of shingles has a Jaccard similarity of at least 4/5
-    with that of an earlier row go as well, by the exact join of ``line_dedup`` over shingles.
+    Fingerprints find near copies only; texts whose sets of shingles have a Jaccard similarity of at least 4/5 are
+    linked as well, by the exact join of ``line_dedup`` over shingles. Groups are connected by links of both kinds.
     """
     rows = packed(documents)
     texts = rows.select("row", F.col("own.text").alias("text"))
-    found = simhash_components(texts, width, radius, "row")
-    gone = found.where("row <> component_id").select("row")
-    similar = repeated_lines(texts, text_shingles(width)).select("row")
-    gone = materialize(gone.unionAll(similar).distinct(), "near-duplicates")
-    return without_rows(rows, gone).select(*unpacked(documents.columns))
+    found = simhash_components(texts, width, radius, "row").where("row <> component_id")
+    links = similar_links(texts, found.select(F.col("row").alias("a"), F.col("component_id").alias("b")), text_shingles(width))
+    gone = components(links).where("node <> root").select(F.col("node").alias("row"))
+    return without_rows(rows, materialize(gone, "near-duplicates")).select(*unpacked(documents.columns))

@@ -1,15 +1,17 @@
 """Work that has to stay bounded, or whole, at any size of the input."""
 
+import random
 import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from llm_fixtures import prose
+from llm_fixtures import groups, prose
 
 from evalspark.llm import embedding_dedup as ed
 from evalspark.llm import quality_lm as ql
+from evalspark.llm import simhash as sh
 
 
 def _vectors(n, seed, dimension=32):
@@ -118,3 +120,24 @@ def test_counts_sent_on_early_add_up(monkeypatch):
         padded = b"\n\n\n" + t.encode()
         expected.update(int.from_bytes(padded[i : i + 4]) for i in range(len(t)))
     assert got == expected
+
+
+def test_groups_are_connected_by_similar_documents(spark, tmp_path):
+    """Two documents that only a later third one is similar to are of its group; all but the first of a group go."""
+    r = random.Random(5)
+    texts = []
+    for i in range(40):
+        words = prose(500 + i, 1, 420).split()
+        chain = [words[0:300], words[50:350], words[25:325], words[75:375], words[0:300], words[100:400]]
+        texts += [" ".join(w) for w in chain[: r.randint(2, 6)]]
+    r.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    alone = [i for i in range(len(sets)) if not any(x == i for x, _ in linked)]
+    marks = {x["doc_id"]: x["fp"] for x in sh.fingerprints(docs, 5).collect()}
+    linked += [(i, j) for i in marks for j in range(i) if ((marks[i] ^ marks[j]) & (1 << 64) - 1).bit_count() <= 3]
+    first = {i for i, g in enumerate(groups(len(sets), linked)) if i == g}
+    kept = [x["doc_id"] for x in sh.drop_near_duplicates(docs).collect()]
+    assert sorted(kept) == sorted(first) and len(first) < len(alone)
