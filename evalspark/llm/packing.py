@@ -93,14 +93,23 @@ class _Plan:
         # Fewer bins first, then unevenly filled ones, which leave room to close a bin.
         self.fitness = (-len(bins), sum(f * f for f in fills))
 
+    def __iter__(self) -> Iterator[list[int]]:
+        return iter(self.bins)
+
+    def __len__(self) -> int:
+        return len(self.bins)
+
 
 class _Packer:
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
         self.lengths, self.capacity = lengths.tolist(), capacity
         self.random = np.random.default_rng(seed)
 
-    def plan(self, bins: list[list[int]]) -> _Plan:
-        return _Plan(bins, [sum(map(self.lengths.__getitem__, b)) for b in bins])
+    def fill(self, content: list[int]) -> int:
+        return sum(map(self.lengths.__getitem__, content))
+
+    def plan(self, bins: list[list[int]] | _Plan) -> _Plan:
+        return _Plan(list(bins), [self.fill(b) for b in bins])
 
     def best_fit(self, bins: list[list[int]], fills: list[int], items: list[int]) -> _Plan:
         """Put items, in their order, where they leave the least room; changes ``bins`` and ``fills``."""
